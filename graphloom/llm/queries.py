@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import quality_rules
-from graphloom.llm.common import table
+from graphloom.llm import minhash, quality_classifier, quality_rules
+from graphloom.llm.common import crc_mod, table
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +15,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows whose id has remainder 1 teach nothing."""
+    docs = table(spark, sf_dir, "documents")
+    weights = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
+    scored = quality_classifier.score_documents(docs, weights)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    grouped = minhash.group_rows(table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+QUERIES = {"op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
 ORACLES: dict[str, str] = {}
