@@ -222,7 +222,7 @@ def _block_pairs(batches):
     """Pairs across components of each (key, block) group, whose rows come one after another; queries come first."""
 
     def settle(t: pa.Table):
-        key = t.column("key").to_numpy() ^ (t.column("block").to_numpy() * 0x5851F42D4C957F2D)
+        key = t.column("key").to_numpy() ^ (t.column("block").to_numpy().astype(np.int64) * np.int64(0x5851F42D4C957F2D))
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         node, comp, query = (t.column(c).to_numpy() for c in ("node", "component", "query"))
         sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(t.num_rows, -1)
