@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import minhash, quality_classifier, quality_rules
-from graphloom.llm.common import crc_mod, table
+from graphloom.llm import chat, minhash, mixing, quality_classifier, quality_rules
+from graphloom.llm.common import crc_mod, materialize, table
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,22 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {"op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and the training time of its first draw."""
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.round(F.get("draws", F.lit(0))["position"], 6).alias("first_position"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of one that quotes control strings, read back from the formatted output."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    segments = materialize(chat.format_turns(turns.unionByName(quoting)), "formatted")
+    return chat.digest(segments).drop("valid")
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op9_chat": op9_chat, "op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
 #: Words of the texts as the SQL checks take them: runs without ASCII white space.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -47,4 +62,40 @@ l AS (
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id""",
+    "op3_mixing": f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size,
+    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 12)) AS BIGINT) AS at FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM d GROUP BY source),
+w AS (SELECT *, CASE kind WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
+o AS (
+  SELECT *, cap / weight AS ratio, sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
+v AS (SELECT min_by((budget - coalesce(below, 0)) / open, ratio) AS level FROM o WHERE (budget - coalesce(below, 0)) / open < ratio),
+t AS (SELECT w.*, least(cap, weight * coalesce((SELECT level FROM v), 0)) AS target FROM w),
+c AS (
+  SELECT d.*, t.source_size, t.kind, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS goal,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.at, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, greatest(least(size, goal - before), 0) AS first, greatest(least(size, goal - source_size - before), 0) AS second FROM c),
+y AS (SELECT *, (before + first / 2.0::DOUBLE) / greatest(goal, 1) AS share FROM p)
+SELECT doc_id, size, source_size, target, first + second AS taken,
+  CASE WHEN first > 0 THEN round(CASE kind WHEN 0 THEN 2 * share / (1.5::DOUBLE + sqrt(2.25::DOUBLE - 2 * share)) WHEN 1 THEN share
+    ELSE 2 * share / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * share)) END, 6) END AS first_position FROM y""",
+    "op9_chat": """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+    + list_sum(list_transform(['[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '</s>', '[ROLE]', '[/ROLE]'], lambda x: (length(text) - length(replace(text, x, ''))) // length(x)))
+    + list_sum(list_transform(range(1, 8), lambda k: CASE WHEN length(text) >= k AND list_contains(['[', '[I', '[IN', '[INS', '[INST', '[/', '[/I', '[/IN', '[/INS', '[/INST', '<', '<<', '<<S', '<<SY', '<<SYS', '<<SYS>',
+      '<</', '<</S', '<</SY', '<</SYS', '<</SYS>', '</', '</s', '[R', '[RO', '[ROL', '[ROLE', '[/R', '[/RO', '[/ROL', '[/ROLE'], right(text, k)) THEN 1 ELSE 0 END))
+    + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 4 ELSE 17 + length(role) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id""",
 }
