@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, minhash, mixing, quality_classifier, quality_rules
+from graphloom.llm import byte_bpe, chat, minhash, mixing, quality_classifier, quality_rules, token_output
 from graphloom.llm.common import crc_mod, materialize, table
 
 
@@ -29,6 +30,25 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+#: End id of op1's documents.
+END_ID = 2
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the packed chunks."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = f.read()
+    chunks = materialize(token_output.write_tokens(table(spark, sf_dir, "documents"), model, END_ID), "tokens")
+    return token_output.read_documents(chunks)
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes decoded from them."""
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        vocabulary = f.read()
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, and the training time of its first draw."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -44,7 +64,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(segments).drop("valid")
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op9_chat": op9_chat, "op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_token_output": op1_token_output, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op9_chat": op9_chat, "op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
 #: Words of the texts as the SQL checks take them: runs without ASCII white space.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
