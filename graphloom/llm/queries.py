@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, chat, fingerprint, minhash, mixing, quality_classifier, quality_rules, token_output
+from graphloom.llm import byte_bpe, chat, class_lm, fingerprint, minhash, mixing, quality_classifier, quality_rules, token_output
 from graphloom.llm.common import crc_mod, materialize, table
 
 
@@ -61,6 +61,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.round(F.get("draws", F.lit(0))["position"], 6).alias("first_position"))
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and class-model score of every document; rows whose id has remainder 2 teach nothing."""
+    docs = table(spark, sf_dir, "documents")
+    rest = crc_mod(F.col("doc_id"), 7)
+    scored = class_lm.score_documents(docs, class_lm.fit(docs, rest != 2))
+    return scored.select("doc_id", (rest == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation and of one that quotes control strings, read back from the formatted output."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -69,7 +77,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(segments).drop("valid")
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op9_chat": op9_chat, "op5_fingerprint": op5_fingerprint, "op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_token_output": op1_token_output, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op8_class_lm": op8_class_lm, "op9_chat": op9_chat, "op5_fingerprint": op5_fingerprint, "op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
 #: Words of the texts as the SQL checks take them: runs without ASCII white space.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
