@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, chat, class_lm, fingerprint, minhash, mixing, quality_classifier, quality_rules, token_output
+from graphloom.llm import byte_bpe, chat, class_lm, fingerprint, html_text, minhash, mixing, quality_classifier, quality_rules, token_output
 from graphloom.llm.common import crc_mod, materialize, table
 
 
@@ -29,6 +29,11 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages"), html_text.train())
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
     grouped = minhash.group_rows(table(spark, sf_dir, "documents"))
@@ -77,7 +82,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(segments).drop("valid")
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op8_class_lm": op8_class_lm, "op9_chat": op9_chat, "op5_fingerprint": op5_fingerprint, "op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_token_output": op1_token_output, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op8_class_lm": op8_class_lm, "op9_chat": op9_chat, "op5_fingerprint": op5_fingerprint, "op6_html_text": op6_html_text, "op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
 #: Words of the texts as the SQL checks take them: runs without ASCII white space.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
