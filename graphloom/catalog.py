@@ -391,7 +391,7 @@ for _loss in losses.LOSSES:
 
 @query(f"{BASE}, q AS (SELECT 's' AS side, a.emb AS v FROM e JOIN emb a ON a.id = src UNION ALL SELECT 'd', b.emb FROM e JOIN emb b ON b.id = dst), c AS (SELECT side, i, sqrt(sum(v[i] ** 2)) AS n FROM q, (SELECT unnest(range(1, 65)) AS i) GROUP BY side, i) SELECT round(sum(n) * 0.01::DOUBLE / 2, 6) AS loss FROM c")
 def norm_regularizer(x: Fixture) -> DataFrame:
-    ends = x.edges().select(F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("src").alias("id")), F.struct(F.lit("d"), F.col("dst")))).alias("p")).select("p.*")
+    ends = x.edges().select(F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("src").alias("id")), F.struct(F.lit("d").alias("side"), F.col("dst").alias("id")))).alias("p")).select("p.*")
     return losses.norm_regularizer(ends.join(x.embeddings(), "id").select("side", F.col("emb").alias("vec")), 0.01).select(r6("loss").alias("loss"))
 
 
