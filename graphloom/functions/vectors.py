@@ -109,5 +109,5 @@ def post_hook(a: Column, bias: Column | None, kind: str) -> Column:
 
 
 def linear(a: Column, weights: list[list[float]]) -> Column:
-    """W a for a literal matrix; for wide layers use :func:`graphloom.functions.blocks.linear_blocks`."""
+    """W a for a literal matrix, the weights being part of the plan."""
     return F.array(*[dot(a, F.array(*[F.lit(float(w)) for w in row])) for row in weights])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.hashing import h48
@@ -97,5 +97,5 @@ def select_hard(scored: DataFrame, keep: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
 
 
-def random_nodes(spark, nodes: int, count: int, salt: str = "nodes") -> DataFrame:
+def random_nodes(spark: SparkSession, nodes: int, count: int, salt: str = "nodes") -> DataFrame:
     return spark.range(count).select(F.col("id").alias("draw"), (h48(F.col("id"), salt) % F.lit(nodes)).alias("node"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
-from graphloom.operators.batches import all_node_negatives, assign_batches, uniform_negatives, with_chunks  # noqa: F401
+from graphloom.operators.batches import assign_batches, uniform_negatives, with_chunks
 from graphloom.runtime import materialize
 
 
