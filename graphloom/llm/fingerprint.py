@@ -4,7 +4,8 @@ A paragraph is a run of at most ``PARAGRAPH_WORDS`` words inside a line; its dig
 distinct digest of a text to three cells, one in each third; a cell holds a count and the exclusive-or of its digests
 and of their check hashes. Two sketches are subtracted cell by cell, which cancels what the texts share, and peeling
 takes out cells that hold one digest until nothing is left. Where cells remain, the sketch was too small: the digests are
-halved by their next bit and each half gets a sketch of its own, which doubles the cells, until every part peels. The
+halved by their next bit and each half gets a sketch of its own, which doubles the cells, until every part peels; the
+first sketches that are tried have a cell for at most every two digests. The
 likeness of two texts is 1 - d / (a + b) for d recovered digests of a and b distinct ones, and 1 for two empty texts.
 
 The next document comes from a window over ranges of ids whose borders are ids of the table; the rows at a border are
@@ -71,7 +72,7 @@ def fingerprint(cells: Column) -> Column:
 
 
 def peel(cells: Column) -> Column:
-    """(cells, found): what is left of a sketch's cells and the (digest, side) recovered from it; side is 1 or -1."""
+    """(cells, found, stuck): what is left of a sketch's cells and the (digest, side) recovered from it; side is 1 or -1."""
 
     def pure(c: Column) -> Column:
         return (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"]))
@@ -89,11 +90,12 @@ def peel(cells: Column) -> Column:
         def without(items: Column) -> Column:
             left = F.transform(state["cells"], lambda c, j: F.aggregate(F.filter(items, lambda p: _in_cell(p, j)), c, take))
             more = F.transform(items, lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n")))
-            return F.when(F.size(items) == 0, state).otherwise(F.struct(left.alias("cells"), F.concat(state["found"], more).alias("found")))
+            stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("stuck"))
+            return F.when(F.size(items) == 0, stuck).otherwise(F.struct(left.alias("cells"), F.concat(state["found"], more).alias("found"), F.lit(False).alias("stuck")))
 
-        return _bound(F.array_distinct(F.transform(F.filter(state["cells"], pure), item)), without)
+        return F.when(state["stuck"], state).otherwise(_bound(F.array_distinct(F.transform(F.filter(state["cells"], pure), item)), without))
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"), F.lit(False).alias("stuck"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, once)
 
 
@@ -104,10 +106,11 @@ def differences(a: Column, b: Column) -> Column:
     start = F.struct(pending.alias("pending"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"))
 
     def attempt(g: Column) -> Column:
-        return _bound(
+        larger = F.struct(g["a"].alias("a"), g["b"].alias("b"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"), F.lit(False).alias("done"))
+        return F.when(F.size(g["a"]) + F.size(g["b"]) > 2 * _CELLS, larger).otherwise(_bound(
             peel(sketch(g["a"], g["b"])),
             lambda p: F.struct(g["a"].alias("a"), g["b"].alias("b"), p["found"].alias("found"), F.forall(p["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)).alias("done")),
-        )
+        ))
 
     def step(state: Column, level: Column) -> Column:
         half = lambda v: lambda x: F.getbit(x["k"], level) == v
