@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import batch, map_arrow, shuffle_partitions, texts_of
 from graphloom.llm.pieces import split_pieces
 
-#: Ids of a block; ids after which a chunk is closed; pieces a worker remembers; pieces given to the tokenizer at a time.
-BLOCK_IDS, CHUNK_IDS, MEMORY, STEP = 4096, 1 << 20, 350_000, 4096
+#: Ids of a block; ids after which a chunk is closed; pieces a worker learns before
+#: it forgets those it has not met again; pieces given to the tokenizer at a time, and joined into one line.
+BLOCK_IDS, CHUNK_IDS, MEMORY, STEP, LINE = 4096, 1 << 20, 600_000, 4096, 512
+#: Fixed value: marks that may follow a word.
+_MARKS = ".,;:!?#$%*&|"
 MAGIC = b"GLTOK001"
 _HEAD = struct.Struct("<8sIIQQQ")
 CHUNKS = "shard int, chunk long, n_ids long, image binary"
@@ -96,16 +99,60 @@ def _encoder(model: str):
         tokenizer = Tokenizer.from_str(model)
         tokenizer.encode_special_tokens = True
         memory: dict[str, bytes] = {}
+        older: dict[str, bytes] = {}
+        feed = tokenizer.encode("\n", add_special_tokens=False).ids
+        joins = len(feed) == 1 and all(tokenizer.encode(x, add_special_tokens=False).ids.count(feed[0]) == 1 for x in ("a\n b", "a\nb", ".\n ."))
+
+        def learn(new: list[str]) -> None:
+            # Letters and the marks behind them are different pre-tokens, so both are remembered on their own; a line
+            # feed between two plain pieces is a token of its own, so plain pieces are encoded many at a time.
+            parts = {}
+            for p in new:
+                stem = p.rstrip(_MARKS)
+                parts[p] = (stem, p[len(stem) :]) if len(stem) < len(p) and (stem[1:] if stem[:1] == " " else stem).isalpha() else (p, "")
+            wanted = {x for pair in parts.values() for x in pair if x and x not in memory}
+            plain = []
+            for p in wanted if joins else ():
+                words = p.split()
+                if len(words) == 1 and len(words[0]) + (p[0] == " ") == len(p):
+                    plain.append(p)
+            rest = wanted.difference(plain)
+            lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
+            for pieces, e in zip(lines, tokenizer.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False), strict=True):
+                ids = np.array([*e.ids, feed[0]], "<u4")
+                ends = np.flatnonzero(ids == feed[0])
+                if len(ends) != len(pieces):
+                    rest.update(pieces)
+                    continue
+                raw, at = ids.tobytes(), 0
+                for p, end in zip(pieces, (ends * 4).tolist(), strict=True):
+                    memory[p] = raw[at:end]
+                    at = end + 4
+            rest = list(rest)
+            for i in range(0, len(rest), STEP):
+                for p, e in zip(rest[i : i + STEP], tokenizer.encode_batch_fast(rest[i : i + STEP], add_special_tokens=False), strict=True):
+                    memory[p] = np.array(e.ids, "<u4").tobytes()
+            for p, (stem, marks) in parts.items():
+                if marks:
+                    memory[p] = memory[stem] + memory[marks]
 
         def encode(texts: list[str]) -> list[np.ndarray]:
+            nonlocal memory, older
             cut = [split_pieces(t) for t in texts]
             if len(memory) > MEMORY:
-                memory.clear()
-            new = list({p for pieces in cut for p in pieces if p not in memory})
-            for i in range(0, len(new), STEP):
-                for p, e in zip(new[i : i + STEP], tokenizer.encode_batch_fast(new[i : i + STEP], add_special_tokens=False), strict=True):
-                    memory[p] = np.array(e.ids, "<u4").tobytes()
-            return [np.frombuffer(b"".join([memory[p] for p in pieces]), "<u4") for pieces in cut]
+                memory, older = {}, memory
+            found = [list(map(memory.get, pieces)) for pieces in cut]
+            gaps = [[i for i, x in enumerate(got) if x is None] if None in got else () for got in found]
+            new = {pieces[i] for pieces, gap in zip(cut, gaps, strict=True) for i in gap}
+            known = [p for p in new if p in older]
+            memory.update(zip(known, map(older.__getitem__, known), strict=True))
+            new.difference_update(known)
+            if new:
+                learn(list(new))
+            for pieces, got, gap in zip(cut, found, gaps, strict=True):
+                for i in gap:
+                    got[i] = memory[pieces[i]]
+            return [np.frombuffer(b"".join(got), "<u4") for got in found]
 
         _encoders[key] = encode, max(1, (tokenizer.get_vocab_size() - 1).bit_length())
     return _encoders[key]
