@@ -2,17 +2,18 @@
 
 1. Each text becomes its set of hashed 5-word shingles, ``BANDS * ROWS`` minima of it, band keys made from whole minima,
    and a signature of the minima's low ``BITS`` bits, packed.
-2. Rows with the same set form a class; only the class's representative (its smallest doc_id) goes on.
-3. Representatives that share a band key are candidates. A bucket is never expanded into pairs: each member is paired
-   with the bucket's smallest member, the pairs are made distinct, and their similarity is estimated by counting equal
-   low bits, corrected for collisions. Each member's most similar partner is confirmed on the whole sets, and confirmed
-   links are merged into components.
-4. Buckets that still hold several components are settled exactly: members outside the bucket's largest component are
-   held against all its members in blocks, by packed signatures; estimates that pass, together with the unconfirmed
-   pairs of step 3, are confirmed on whole sets unless a component already joins them.
+2. Rows with the same set form a class; only one row of a class goes on.
+3. Classes that share a band key are candidates. A bucket is never expanded into pairs: each member is paired with the
+   bucket's centre, the member whose buckets hold the most members in all. Similarity is estimated by counting equal low
+   bits, corrected for collisions; each member's likeliest partner is confirmed on the whole sets, then the other likely
+   partners from whom it is still apart, and confirmed links are merged into components.
+4. Buckets that still hold several components are settled without loss: members outside the bucket's largest component
+   are held against all its members in blocks, by wider packed signatures. Of the partners whose estimate passes, a member's
+   likeliest ``TRIES[0]`` are confirmed on whole sets, then, for members still apart, the next, until none is left. A
+   pair is looked at only in the first bucket that it shares.
 
 Components come from min-label propagation with pointer jumping over DataFrames. With 32 bands of 4 rows a pair at
-similarity 0.75 shares no bucket with probability 5e-6; the estimate's cut lies 6 standard deviations below 0.75.
+similarity 0.75 shares no bucket with probability 5e-6; the estimate's cut lies 4 standard deviations below 0.75.
 
 Defined cases: a null, empty or blank text has the empty set, links with nothing and is its own group; texts of fewer
 than five words have one shingle, the whole sequence; rows, not ids, are grouped, so a doc_id that occurs with two
@@ -35,7 +36,13 @@ from graphloom.llm.common import batch, map_arrow, materialize, shuffle_partitio
 #: Shingle length, bands, rows of a band, bits kept of a minimum; the similarity as a fraction; the estimate's cut.
 WORDS, BANDS, ROWS, BITS = 5, 32, 4, 8
 NUMERATOR, DENOMINATOR = 75, 100
-ESTIMATE = 0.5
+ESTIMATE = 0.6
+#: Partners of a member that are confirmed in each round of step 4; the last round takes all.
+TRIES = (1, 16, 1 << 40)
+#: Minima of the wide signature of step 4 and its cut, again 4 standard deviations below 0.75.
+WIDE, WIDE_ESTIMATE = 512, 0.67
+#: Bits of the filter that keeps texts without candidates from being moved: its size is fixed.
+FILTER_BITS = 1 << 23
 #: Members of a bucket that one task compares with at a time; words a worker remembers; shingles hashed at a time.
 BLOCK, MEMORY, STEP = 4096, 400_000, 8192
 _memory: dict[bytes, int] = {}
@@ -43,6 +50,8 @@ _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_WIDE_MUL = (_rng.integers(1, 1 << 63, WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_WIDE_ADD = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64)
 _BAND = (_rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -79,12 +88,12 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(s: np.ndarray) -> np.ndarray:
+def minima(s: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
     """32-bit minima of every hash function; memory stays bounded for any number of shingles."""
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    low = np.full(len(mul), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(s), STEP):
-        for j in range(0, BANDS * ROWS, 32):
-            h = (s[i : i + STEP, None] * _MUL[None, j : j + 32] + _ADD[None, j : j + 32]) >> np.uint64(32)
+        for j in range(0, len(mul), 32):
+            h = (s[i : i + STEP, None] * mul[None, j : j + 32] + add[None, j : j + 32]) >> np.uint64(32)
             low[j : j + 32] = np.minimum(low[j : j + 32], h.min(0).astype(np.uint32))
     return low
 
@@ -218,56 +227,114 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _block_pairs(batches):
-    """Pairs across components of each (key, block) group, whose rows come one after another; queries come first."""
+def _block_pairs(tries: int):
+    """Pairs across components of each (key, block) group, whose rows come one after another, queries first."""
 
-    def settle(t: pa.Table):
+    def settle(t: pa.Table) -> pa.RecordBatch:
         key = t.column("key").to_numpy() ^ (t.column("block").to_numpy().astype(np.int64) * np.int64(0x5851F42D4C957F2D))
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        node, comp, query = (t.column(c).to_numpy() for c in ("node", "component", "query"))
+        node, comp, band = (t.column(c).to_numpy() for c in ("node", "component", "band"))
+        query = t.column("query").to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        a, b = [], []
+        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        words = np.ascontiguousarray(sig).view(np.uint32)  # a band's low bits, as one number
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(starts, np.append(starts[1:], t.num_rows), strict=True):
             m = s + int(np.count_nonzero(query[s:e]))
             for q in range(s, m):
-                hit = (comp[m:e] != comp[q]) & (estimate(sig[m:e], sig[q]) >= ESTIMATE)
-                other = node[m:e][hit]
-                b.append(np.maximum(other, node[q]))
+                apart = m + np.flatnonzero(comp[m:e] != comp[q])
+                if band[q]:
+                    apart = apart[~(words[apart, : band[q]] == words[q, : band[q]]).any(1)]
+                like = estimate(wide[apart], wide[q])
+                hit = np.flatnonzero(like >= WIDE_ESTIMATE)
+                if len(hit) > tries:
+                    hit = hit[np.lexsort((node[apart[hit]], -like[hit]))[:tries]]
+                other = node[apart[hit]]
                 a.append(np.minimum(other, node[q]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)], schema=_PAIRS)
+                b.append(np.maximum(other, node[q]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], schema=_PAIRS)
 
-    held: list[pa.RecordBatch] = []
-    for x in batches:
-        if x.num_rows == 0:
-            continue
-        last = (x.column("key")[-1].as_py(), x.column("block")[-1].as_py())
-        key, block = x.column("key").to_numpy(), x.column("block").to_numpy()
-        cut = int(np.flatnonzero((key != last[0]) | (block != last[1]))[-1]) + 1 if (key[0], block[0]) != last else 0
-        if cut == 0 and held and (held[-1].column("key")[-1].as_py(), held[-1].column("block")[-1].as_py()) != last:
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for x in batches:
+            if x.num_rows == 0:
+                continue
+            key, block = x.column("key").to_numpy(), x.column("block").to_numpy()
+            last = (key[-1], block[-1])
+            other = np.flatnonzero((key != last[0]) | (block != last[1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut == 0 and held and (held[-1].column("key")[-1].as_py(), held[-1].column("block")[-1].as_py()) != last:
+                yield settle(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            if cut:
+                yield settle(pa.Table.from_batches([*held, x.slice(0, cut)]).combine_chunks())
+                held = []
+            held.append(x.slice(cut))
+        if held:
             yield settle(pa.Table.from_batches(held).combine_chunks())
-            held = []
-        if cut:
-            yield settle(pa.Table.from_batches([*held, x.slice(0, cut)]).combine_chunks())
-            held = []
-        held.append(x.slice(cut))
-    if held:
-        yield settle(pa.Table.from_batches(held).combine_chunks())
-
-
-def _residual(members: DataFrame, crowded: DataFrame, label: DataFrame | None, classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) across components inside buckets of three or more members."""
-    spark = members.sparkSession
-    rows = members.join(crowded.select("key"), "key")
+
+    return run
+
+
+def _mixed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(key, band, node, component, main, blocks): members of buckets of three or more that hold several components."""
+    rows = shared.where("n > 2").select("key", "band", "node")
     rows = rows.withColumn("component", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     shares = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
     mixed = mixed.where("kinds > 1").select("key", F.col("top.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "key").join(classes.select("node", "signature"), "node")
-    cols = ["key", "node", "component", "signature"]
+    return rows.join(mixed, "key")
+
+
+def _wide(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, wide): a signature of more minima, for members that step 4 compares."""
+    out = pa.schema([("node", pa.int64()), ("wide", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            wide = [minima(shingles(t), _WIDE_MUL, _WIDE_ADD).astype(np.uint8).tobytes() for t in texts_of(b)]
+            yield batch(out, node=b.column("node"), wide=wide)
+
+    return map_arrow(texts.join(nodes, "node").select("node", "text"), run, "node long, wide binary")
+
+
+def _residual(shared: DataFrame, label: DataFrame | None, signed: DataFrame, tries: int) -> DataFrame:
+    """Candidate pairs (a, b) across components inside buckets, at most ``tries`` for a member and block."""
+    spark = shared.sparkSession
+    rows = _mixed(shared, label).join(signed, "node")
+    cols = ["key", "band", "node", "component", "signature", "wide"]
     dealt = rows.select(*cols, F.lit(False).alias("query"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     asked = rows.where("component != main").select(*cols, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     both = dealt.unionByName(asked).repartition(shuffle_partitions(spark), "key", "block").sortWithinPartitions("key", "block", F.desc("query"))
-    return map_arrow(both.select("key", "block", "query", "node", "component", "signature"), _block_pairs, "a long, b long").distinct()
+    return map_arrow(both.select("key", "block", "query", "band", "node", "component", "signature", "wide"), _block_pairs(tries), "a long, b long").distinct()
+
+
+def _candidates(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes. A filter of fixed size keeps most other texts out of the shuffle."""
+    rep = materialize(classes.select("node", "doc_id", "text_key").join(nodes, "node"), "asked")
+    spot = lambda c: F.pmod(c, F.lit(FILTER_BITS)).cast("int")
+
+    def gather(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            bits[b.column("spot").to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    parts = map_arrow(rep.select(spot(F.col("text_key")).alias("spot")).distinct().coalesce(8), gather, "bits binary").collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    known = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def narrow(batches):
+        for b in batches:
+            at = b.column("spot").to_numpy()
+            yield b.filter(pa.array((known.value[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+
+    source = _keyed(docs).withColumn("spot", F.coalesce(spot(F.col("text_key")), F.lit(0)))
+    source = map_arrow(source, narrow, "doc_id long, text string, text_key long, spot int")
+    texts = source.join(rep, source.doc_id.eqNullSafe(rep.doc_id) & (source.text_key == rep.text_key)).select("node", "text")
+    return materialize(texts.dropDuplicates(["node"]), "candidates")
 
 
 def group_rows(docs: DataFrame) -> DataFrame:
@@ -276,28 +343,33 @@ def group_rows(docs: DataFrame) -> DataFrame:
     full = signed.where("node is not null")
     first = full.groupBy("node", "node2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"))
     classes = materialize(first.select("node", "first.doc_id", "first.text_key", "signature", "bands"), "classes")
-    members = materialize(classes.select("node", F.explode("bands").alias("key")), "members")
-    pivots = materialize(members.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    star = members.join(pivots, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    likely = materialize(_estimated(star, classes), "likely")
-    crowded = pivots.where("n > 2")
+    members = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(members.join(crowds, "key"), "shared")
 
-    involved = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(members.join(crowded, "key", "left_semi").select("node")).distinct()
-    rep = classes.select("node", "doc_id", "text_key").join(involved, "node")
-    source = _keyed(docs)
-    texts = source.join(rep, source.doc_id.eqNullSafe(rep.doc_id) & (source.text_key == rep.text_key)).select("node", "text")
-    texts = materialize(texts.distinct(), "candidates")
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    centre = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("b"))
+    star = shared.join(centre, "key").where("node != b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    likely = materialize(_estimated(star, classes), "likely")
+    involved = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(shared.where("n > 2").select("node")).distinct()
+    texts = _candidates(docs, classes, involved)
 
-    best = likely.groupBy("a").agg(F.max(F.struct("likeness", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    found = materialize(confirmed(best, texts), "confirmed")
-    label = _merge(None, found)
+    sides = likely.select(F.col("a").alias("own"), "a", "b", "likeness").union(likely.select("b", "a", "b", "likeness"))
+    best = sides.groupBy("own").agg(F.max(F.struct("likeness", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
+    best = materialize(best, "best")
+    label = _merge(None, materialize(confirmed(best, texts), "confirmed"))
     rest = _apart(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), label).select("a", "b")
-    found = materialize(confirmed(rest, texts), "confirmed")
-    label = _merge(label, found)
-    tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = _residual(members, crowded, label, classes).join(tested, ["a", "b"], "left_anti")
-    found = materialize(confirmed(pairs, texts), "confirmed")
-    label = _merge(label, found)
+    label = _merge(label, materialize(confirmed(rest, texts), "confirmed"))
+    tested = likely.select("a", "b")
+    signed_nodes = materialize(_wide(_mixed(shared, label).select("node").distinct(), texts).join(classes.select("node", "signature"), "node"), "wide")
+    for tries in TRIES:
+        pairs = materialize(_residual(shared, label, signed_nodes, tries).join(tested, ["a", "b"], "left_anti"), "residual")
+        if pairs.isEmpty():
+            if tries == TRIES[-1]:
+                break
+            continue
+        label = _merge(label, materialize(confirmed(pairs, texts), "confirmed"))
+        tested = tested.union(pairs)
 
     named = classes.select("node", "doc_id")
     named = named.withColumn("component", F.col("node")) if label is None else named.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -308,8 +380,8 @@ def group_rows(docs: DataFrame) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group, with all its columns: the one with the group's smallest doc_id."""
-    kept = group_rows(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    own = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
-    kept_rows = own.join(kept, own["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (own["_text_key"] == kept["_key"]))
-    one = Window.partitionBy("_id", "_key").orderBy("_key")
-    return kept_rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    kept = group_rows(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
+    rows = own.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
+    one = Window.partitionBy("own_id", "own_key").orderBy("key")
+    return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
