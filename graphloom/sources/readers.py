@@ -72,7 +72,7 @@ def read_edges_binary(spark: SparkSession, path: str, width: int = 3, dtype: str
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
     """(bucket_id, n) of a file with one count a line, bucket (0, 0) first."""
     rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("bucket_id", "n")).select("bucket_id", F.col("n").cast("long").alias("n"))
+    return rows.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"\S+"), F.lit(0))).alias("bucket_id", "n")).select("bucket_id", F.col("n").cast("long").alias("n"))
 
 
 def from_numpy(spark: SparkSession, edges: np.ndarray) -> DataFrame:
