@@ -10,7 +10,7 @@
 4. Buckets that still hold several components are settled without loss: members outside the bucket's largest component
    are held against all its members in blocks, by wider packed signatures. Of the partners whose estimate passes, a member's
    likeliest ``TRIES[0]`` are confirmed on whole sets, then, for members still apart, the next, until none is left. A
-   pair is looked at only in the first bucket that it shares.
+   pair is looked at only in the first bucket that it shares, by whole band keys.
 
 Components come from min-label propagation with pointer jumping over DataFrames. With 32 bands of 4 rows a pair at
 similarity 0.75 shares no bucket with probability 5e-6; the estimate's cut lies 4 standard deviations below 0.75.
@@ -235,16 +235,15 @@ def _block_pairs(tries: int):
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         node, comp, band = (t.column(c).to_numpy() for c in ("node", "component", "band"))
         query = t.column("query").to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
         wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        words = np.ascontiguousarray(sig).view(np.uint32)  # a band's low bits, as one number
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(starts, np.append(starts[1:], t.num_rows), strict=True):
             m = s + int(np.count_nonzero(query[s:e]))
             for q in range(s, m):
                 apart = m + np.flatnonzero(comp[m:e] != comp[q])
                 if band[q]:
-                    apart = apart[~(words[apart, : band[q]] == words[q, : band[q]]).any(1)]
+                    apart = apart[~(bands[apart, : band[q]] == bands[q, : band[q]]).any(1)]
                 like = estimate(wide[apart], wide[q])
                 hit = np.flatnonzero(like >= WIDE_ESTIMATE)
                 if len(hit) > tries:
@@ -302,11 +301,11 @@ def _residual(shared: DataFrame, label: DataFrame | None, signed: DataFrame, tri
     """Candidate pairs (a, b) across components inside buckets, at most ``tries`` for a member and block."""
     spark = shared.sparkSession
     rows = _mixed(shared, label).join(signed, "node")
-    cols = ["key", "band", "node", "component", "signature", "wide"]
+    cols = ["key", "band", "node", "component", "bands", "wide"]
     dealt = rows.select(*cols, F.lit(False).alias("query"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     asked = rows.where("component != main").select(*cols, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     both = dealt.unionByName(asked).repartition(shuffle_partitions(spark), "key", "block").sortWithinPartitions("key", "block", F.desc("query"))
-    return map_arrow(both.select("key", "block", "query", "band", "node", "component", "signature", "wide"), _block_pairs(tries), "a long, b long").distinct()
+    return map_arrow(both.select("key", "block", "query", "band", "node", "component", "bands", "wide"), _block_pairs(tries), "a long, b long").distinct()
 
 
 def _candidates(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -361,7 +360,7 @@ def group_rows(docs: DataFrame) -> DataFrame:
     rest = _apart(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), label).select("a", "b")
     label = _merge(label, materialize(confirmed(rest, texts), "confirmed"))
     tested = likely.select("a", "b")
-    signed_nodes = materialize(_wide(_mixed(shared, label).select("node").distinct(), texts).join(classes.select("node", "signature"), "node"), "wide")
+    signed_nodes = materialize(_wide(_mixed(shared, label).select("node").distinct(), texts).join(classes.select("node", "bands"), "node"), "wide")
     for tries in TRIES:
         pairs = materialize(_residual(shared, label, signed_nodes, tries).join(tested, ["a", "b"], "left_anti"), "residual")
         if pairs.isEmpty():

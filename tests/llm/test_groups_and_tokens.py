@@ -75,6 +75,16 @@ def test_groups_in_chains_and_hot_buckets(spark):
     assert got == dict(zip((i for i, _ in rows), brute_groups(rows), strict=True))
 
 
+def test_low_bits_do_not_fake_a_shared_band(spark):
+    """Nodes agree in the low bits of band 0 but meet in band 1 only: their pair is looked at there."""
+    wide, low = bytes(range(256)) * 2, bytes(minhash.BANDS * minhash.ROWS)
+    signed = [(i, low, [10 + i, 7, *range(100 * i, 100 * i + minhash.BANDS - 2)], wide) for i in range(1, 4)]
+    signed = spark.createDataFrame(signed, "node long, signature binary, bands array<long>, wide binary")
+    shared = spark.createDataFrame([(7, 1, i, 3) for i in range(1, 4)], "key long, band int, node long, n long")
+    got = {(r["a"], r["b"]) for r in minhash._residual(shared, None, signed, 1 << 40).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_estimates_are_close():
     r = np.random.default_rng(3)
     pool = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
