@@ -93,6 +93,58 @@ def test_exchange_gains_likelihood():
     assert value(end) > value(start)
 
 
+@pytest.mark.parametrize("hot", [class_lm.HOT, 12])
+def test_all_frequent_words_are_clustered(spark, monkeypatch, hot):
+    """Words beyond the first ones are exchanged, and scored by their classes, also those whose counts do not travel."""
+    monkeypatch.setattr(class_lm, "CLUSTERED", 4)
+    monkeypatch.setattr(class_lm, "HOT", hot)
+    r = np.random.default_rng(1)
+    rows = [(i, " ".join(f"{'ab'[j % 2]}{r.integers(20)}x{r.integers(10**6) if r.random() < 0.02 else ''}" for j in range(40)), None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    start = class_lm.fit(docs, F.lit(True))
+    kinds = {bytes(w["word"]): w["kind"] for w in start.words.collect()}
+    often = [f"{c}{i}x".encode() for c in "ab" for i in range(20)]
+    assert all(0 < kinds[w] < start.first_surface for w in often)
+    monkeypatch.setattr(class_lm, "ROUNDS", 0)
+    first = {bytes(w["word"]): w["kind"] for w in class_lm.fit(docs, F.lit(True)).words.collect()}
+
+    def value(kinds):
+        n = np.zeros((start.first_surface + class_lm.SURFACES,) * 2)
+        for _, text, _ in rows:
+            path = [0, *(kinds[w] for w in class_lm.words_of(text)), 0]
+            np.add.at(n, (path[:-1], path[1:]), 1)
+        return class_lm.likelihood(n)
+
+    assert value(kinds) > value(first)
+    got = {x["doc_id"]: x["score"] for x in class_lm.score_documents(docs, start).collect()}
+    counts = {bytes(w["word"]): w["n"] for w in start.words.collect()}
+    for i, text, _ in rows[:20]:
+        words = class_lm.words_of(text)
+        path = [0, *(kinds[w] for w in words), 0]
+        want = sum(start.move[a, b] for a, b in zip(path, path[1:])) + sum(math.log10(counts[w]) + start.seen[kinds[w]] for w in words)
+        assert got[i] == pytest.approx(want)
+
+
+def test_best_class_is_the_best_by_full_counts():
+    r = np.random.default_rng(4)
+    pairs, own = r.integers(0, 5, (9, 9)), np.array([0, 1, 2, 3, 1, 2, 3, 4, 5])
+    def table(own):
+        n = np.zeros((6, 6))
+        np.add.at(n, (own[:, None].repeat(9, 1), own[None].repeat(9, 0)), pairs)
+        return n
+    for w in range(1, 7):
+        n = table(own)
+        rest = np.arange(9) != w
+        after, before = (np.bincount(own[rest], x[rest], minlength=6) for x in (pairs[w], pairs[:, w]))
+        got = class_lm.best_class(n, class_lm._f(n), n.sum(1), n.sum(0), 3, own[w], np.arange(6), after, before, float(pairs[w, w]))
+        values = []
+        for k in (1, 2, 3):
+            moved = own.copy()
+            moved[w] = k
+            values.append(class_lm.likelihood(table(moved)))
+        assert values[got - 1] == pytest.approx(max(values))
+
+
 def test_fingerprints(docs, odd_rows, empty):
     rows = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in odd_rows), key=lambda x: x[:2])
     got = fingerprint.fingerprint_documents(docs).collect()
