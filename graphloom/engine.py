@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.config import DecoderType, GraphConfig
+from graphloom.config import DecoderType, GraphConfig, LearningTask, NegativeMethod, Optimizer
 from graphloom.functions import init
 from graphloom.operators.evaluate import link_metrics, rank_edges
 from graphloom.operators.nn import Encoder
@@ -24,12 +24,12 @@ def new_embeddings(spark: SparkSession, nodes: int, width: int) -> DataFrame:
 
 
 def new_relations(spark: SparkSession, relations: int, width: int, decoder: DecoderType) -> DataFrame:
-    """(rel, emb, inv_emb, state): ones for DistMult, zeros for TransE, real ones for ComplEx."""
+    """(rel, emb, inv_emb, state, inv_state): ones for DistMult, zeros for TransE, real ones for ComplEx."""
     if decoder is DecoderType.COMPLEX:
         one = F.concat(init.constant_init(width // 2, 1.0), init.constant_init(width // 2, 0.0))
     else:
         one = init.constant_init(width, 0.0 if decoder is DecoderType.TRANSE else 1.0)
-    return spark.range(relations).select(F.col("id").alias("rel"), one.alias("emb"), one.alias("inv_emb"), init.constant_init(width, 0.0).alias("state"))
+    return spark.range(relations).select(F.col("id").alias("rel"), one.alias("emb"), one.alias("inv_emb"), init.constant_init(width, 0.0).alias("state"), init.constant_init(width, 0.0).alias("inv_state"))
 
 
 @dataclass
@@ -52,7 +52,17 @@ class GraphModel:
 
     def train(self) -> None:
         c = self.config
-        settings = TrainConfig(c.training.num_epochs, c.training.batch_size, c.training.negatives.num_chunks, c.training.negatives.negatives_per_positive, c.model.sparse_optimizer.learning_rate, c.model.dense_optimizer.learning_rate)
+        n, m, sparse, dense = c.training.negatives, c.model, c.model.sparse_optimizer, c.model.dense_optimizer
+        wrong = {
+            "decoder": m.decoder is DecoderType.NODE, "learning task": m.learning_task is not LearningTask.LINK_PREDICTION, "negative method": n.method is not NegativeMethod.RNS,
+            "ratio of negatives": n.ratio != 1, "optimizer": any(o.type is not Optimizer.ADAGRAD or o.weight_decay or o.eps != 1e-10 for o in (sparse, dense)), "partitions": c.storage.partitions.num_partitions > 1,
+        }
+        if any(wrong.values()):
+            raise ValueError(f"training does not support this {', '.join(k for k, v in wrong.items() if v)}")
+        settings = TrainConfig(
+            c.training.num_epochs, c.training.batch_size, n.num_chunks, n.negatives_per_positive, sparse.learning_rate, dense.learning_rate,
+            m.decoder.name, m.loss.type.name, m.loss.reduction.name, m.loss.margin, m.inverse_edges, n.degree_fraction, n.filtered,
+        )
         t = self.tables
         t.node_embeddings, t.relation_embeddings = train(t.split("train"), t.node_embeddings, t.relation_embeddings, settings)
 

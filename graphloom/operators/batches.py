@@ -51,17 +51,17 @@ def all_node_negatives(chunks: DataFrame, nodes: int) -> DataFrame:
     return chunks.select("batch_id", "chunk_id").distinct().withColumn("neg_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nodes - 1).cast("long")))).withColumn("node", F.col("neg_idx"))
 
 
-def negatives(chunked: DataFrame, nodes: int, count: int, degree_fraction: float = 0.0, corrupt: str = "dst", filtered: bool = False) -> DataFrame:
+def negatives(chunked: DataFrame, nodes: int, count: int, degree_fraction: float = 0.0, corrupt: str = "dst", filtered: bool = False, salt: str = "") -> DataFrame:
     """(batch_id, chunk_id, neg_idx, node, from_position): degree-biased draws first, then uniform ones."""
     if filtered or count < 0:
         return all_node_negatives(chunked, nodes).withColumn("from_position", F.lit(None).cast("long"))
     by_degree = math.floor(count * degree_fraction)
     rest = None
     if count > by_degree:
-        rest = uniform_negatives(chunked, nodes, count - by_degree).withColumn("neg_idx", F.col("neg_idx") + F.lit(by_degree)).withColumn("from_position", F.lit(None).cast("long"))
+        rest = uniform_negatives(chunked, nodes, count - by_degree, salt or "negative").withColumn("neg_idx", F.col("neg_idx") + F.lit(by_degree)).withColumn("from_position", F.lit(None).cast("long"))
     if not by_degree:
         return rest
-    first = degree_negatives(chunked, by_degree, corrupt)
+    first = degree_negatives(chunked, by_degree, corrupt, f"degree{salt}")
     return first if rest is None else first.unionByName(rest)
 
 

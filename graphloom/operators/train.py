@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
-from graphloom.operators.batches import assign_batches, uniform_negatives, with_chunks
+from graphloom.operators.batches import assign_batches, global_collisions, negatives, with_chunks
+from graphloom.operators.scoring import get_decoder
 from graphloom.runtime import materialize
 
 
@@ -50,6 +51,54 @@ def softmax_coefficients(scores: DataFrame) -> DataFrame:
     return each.withColumn("coef", F.exp(F.col("score") - F.col("lse")) - F.col("label"))
 
 
+LOSSES = ("SOFTMAX_CE", "CROSS_ENTROPY", "RANKING", "BCE_AFTER_SIGMOID", "BCE_WITH_LOGITS", "MSE", "SOFTPLUS")
+
+
+def coefficients(scores: DataFrame, loss: str = "SOFTMAX_CE", reduction: str = "SUM", margin: float = 0.1) -> DataFrame:
+    """(edge, node, label, score, coef): gradient of a reduced loss in each score."""
+    loss, reduction = loss.upper(), reduction.upper()
+    if loss not in LOSSES or reduction not in ("SUM", "MEAN"):
+        raise ValueError(f"no training by {loss}, {reduction}")
+    s, terms = F.col("score"), scores
+    if loss in ("SOFTMAX_CE", "CROSS_ENTROPY"):
+        out, terms = softmax_coefficients(scores), scores.select("edge").distinct()
+    elif loss == "RANKING":
+        terms = scores.where("label = 0")
+        pos = scores.where("label = 1").select("edge", F.col("score").alias("pos"))
+        each = scores.join(pos, "edge").withColumn("coef", ((F.col("label") == 0) & (s - F.col("pos") + F.lit(margin) > 0)).cast("double"))
+        beaten = each.groupBy("edge").agg(F.sum("coef").alias("beaten"))
+        out = each.join(beaten, "edge").withColumn("coef", F.when(F.col("label") == 1, -F.col("beaten")).otherwise(F.col("coef")))
+    else:
+        out = scores.withColumn("coef", 2 * (s - F.col("label")) if loss == "MSE" else 1 / (1 + F.exp(-s)) - F.col("label"))
+    scale = F.lit(1.0 / max(terms.count(), 1)) if reduction == "MEAN" else F.lit(1.0)
+    return out.select("edge", "node", "label", "score", (F.col("coef") * scale).alias("coef"))
+
+
+def _conjugate(a: Column) -> Column:
+    return F.concat(V.half(a, False), V.scale(V.half(a, True), F.lit(-1.0)))
+
+
+def score_gradients(decoder: str, e: Column, r: Column, t: Column, score: Column) -> tuple[Column, Column, Column]:
+    """Gradients of a decoder's score in its source, relation and target."""
+    if decoder == "DISTMULT":
+        return V.multiply(r, t), V.multiply(e, t), V.multiply(e, r)
+    if decoder == "COMPLEX":
+        return V.complex_hadamard(_conjugate(r), t), V.complex_hadamard(_conjugate(e), t), V.complex_hadamard(e, r)
+    if decoder == "TRANSE":
+        d = V.subtract(V.add(e, r), t)
+        g = V.scale(d, F.when(V.dot(d, d) > 1e-8, 1 / score).otherwise(F.lit(0.0)))
+        return g, g, V.scale(g, F.lit(-1.0))
+    raise ValueError(f"no training by {decoder}")
+
+
+def pair_scores(pairs: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str, vector: str = "emb") -> DataFrame:
+    """Rows (edge, src, rel, node, label) with e, r, t and the decoder's score; ``vector`` names the relation's column."""
+    e = nodes.select(F.col("id").alias("src"), F.col("emb").alias("e"))
+    t = nodes.select(F.col("id").alias("node"), F.col("emb").alias("t"))
+    joined = pairs.join(e, "src").join(t, "node").join(relations.select("rel", F.col(vector).alias("r")), "rel")
+    return joined.withColumn("score", get_decoder(decoder).score(F.col("e"), F.col("r"), F.col("t")))
+
+
 def distmult_scores(pairs: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """Rows (edge, src, rel, node, label) with e (source), r, t (target) and score."""
     e = nodes.select(F.col("id").alias("src"), F.col("emb").alias("e"))
@@ -58,19 +107,21 @@ def distmult_scores(pairs: DataFrame, nodes: DataFrame, relations: DataFrame) ->
     return joined.withColumn("score", V.dot(V.multiply(F.col("e"), F.col("r")), F.col("t")))
 
 
-def gradients(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node gradients (id, g), relation gradients (rel, g)) of the summed softmax loss of DistMult.
+def _pair_gradients(scored: DataFrame, decoder: str, loss: str, reduction: str, margin: float) -> tuple[DataFrame, DataFrame]:
+    c = coefficients(scored.select("edge", "node", "label", "score"), loss, reduction, margin).select("edge", "node", "label", "coef")
+    each = scored.join(c, ["edge", "node", "label"])
+    to_src, to_rel, to_dst = (V.scale(g, F.col("coef")).alias("g") for g in score_gradients(decoder, F.col("e"), F.col("r"), F.col("t"), F.col("score")))
+    return each.select(F.col("src").alias("id"), to_src).unionByName(each.select(F.col("node").alias("id"), to_dst)), each.select("rel", to_rel)
+
+
+def gradients(scored: DataFrame, decoder: str = "DISTMULT", loss: str = "SOFTMAX_CE", reduction: str = "SUM", margin: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(node gradients (id, g), relation gradients (rel, g)) of a loss of the decoder's scores, by default the summed softmax.
 
     Coefficients are joined to the scored pairs, each pair gives its three products, and one partial aggregation over
     (id, position) sums them; nothing is collected.
     """
-    c = softmax_coefficients(scored.select("edge", "node", "label", "score")).select("edge", "node", "label", "coef")
-    each = scored.join(c, ["edge", "node", "label"])
-    coef = F.col("coef")
-    to_src = each.select(F.col("src").alias("id"), V.scale(V.multiply(F.col("r"), F.col("t")), coef).alias("g"))
-    to_dst = each.select(F.col("node").alias("id"), V.scale(V.multiply(F.col("e"), F.col("r")), coef).alias("g"))
-    to_rel = each.select("rel", V.scale(V.multiply(F.col("e"), F.col("t")), coef).alias("g"))
-    return sum_vectors(to_src.unionByName(to_dst), "id"), sum_vectors(to_rel, "rel")
+    nodes, rels = _pair_gradients(scored, decoder, loss, reduction, margin)
+    return sum_vectors(nodes, "id"), sum_vectors(rels, "rel")
 
 
 def sum_vectors(rows: DataFrame, key: str) -> DataFrame:
@@ -78,14 +129,18 @@ def sum_vectors(rows: DataFrame, key: str) -> DataFrame:
     return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("g"))
 
 
-def apply_adagrad(table: DataFrame, grads: DataFrame, key: str, lr: float) -> DataFrame:
+#: Replaced end, relation vector that scores it, state of that vector.
+SIDES = (("dst", "emb", "state"), ("src", "inv_emb", "inv_state"))
+
+
+def apply_adagrad(table: DataFrame, grads: DataFrame, key: str, lr: float, emb: str = "emb", state: str = "state") -> DataFrame:
     """The table (key, emb, state) after one sparse step; rows without a gradient stay."""
     joined = table.join(grads, key, "left")
-    delta, ds = adagrad(F.col("g"), F.col("state"), lr)
+    delta, ds = adagrad(F.col("g"), F.col(state), lr)
     has = F.col("g").isNotNull()
     return joined.select(
-        *[c for c in table.columns if c not in ("emb", "state")],
-        F.when(has, V.add(F.col("emb"), delta)).otherwise(F.col("emb")).alias("emb"), F.when(has, V.add(F.col("state"), ds)).otherwise(F.col("state")).alias("state"),
+        *[c for c in table.columns if c not in (emb, state)],
+        F.when(has, V.add(F.col(emb), delta)).otherwise(F.col(emb)).alias(emb), F.when(has, V.add(F.col(state), ds)).otherwise(F.col(state)).alias(state),
     )
 
 
@@ -97,27 +152,55 @@ class TrainConfig:
     negatives: int = 100
     lr: float = 0.1
     relation_lr: float = 0.1
+    decoder: str = "DISTMULT"
+    loss: str = "SOFTMAX_CE"
+    reduction: str = "SUM"
+    margin: float = 0.1
+    inverse: bool = True
+    degree_fraction: float = 0.0
+    filtered: bool = False
+
 
+def train_pairs(batches: DataFrame, drawn: DataFrame, corrupt: str = "dst") -> DataFrame:
+    """(edge, src, rel, node, label): positives and the negatives of their chunk; false negatives among them are left out.
 
-def train_pairs(batches: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(edge, src, rel, node, label): positives and the negatives of their chunk; false negatives among them are left out."""
+    For ``corrupt`` src the ends change places, so that src is the end that is kept.
+    """
+    if corrupt == "src":
+        batches = batches.select("edge", "batch_id", "chunk_id", F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))
     pos = batches.select("edge", "src", "rel", F.col("dst").alias("node"), F.lit(1).alias("label"))
     neg = batches.select("edge", "batch_id", "chunk_id", "src", "rel", "dst").join(drawn.select("batch_id", "chunk_id", "node").distinct(), ["batch_id", "chunk_id"])
     return pos.unionByName(neg.where("node != dst").select("edge", "src", "rel", "node", F.lit(0).alias("label")))
 
 
 def train_epoch(edges: DataFrame, nodes: DataFrame, relations: DataFrame, config: TrainConfig, epoch: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(nodes, relations) after one pass: batches follow each other, each a synchronous step over all its edges."""
+    """(nodes, relations) after one pass: batches follow each other, each a synchronous step over all its edges.
+
+    With ``config.inverse`` the loss is that of replaced targets plus that of replaced sources, scored by inv_emb.
+    """
+    if config.inverse and "inv_state" not in relations.columns:
+        relations = relations.withColumn("inv_state", F.transform("inv_emb", lambda x: F.lit(0.0)))
     total = nodes.agg((F.max("id") + 1).alias("n")).first()["n"]
     batches = materialize(with_chunks(assign_batches(edges, F.col("edge"), config.batch_size, f"epoch{epoch}"), config.chunks), "batches")
     count = batches.agg(F.coalesce(F.max("batch_id") + 1, F.lit(0)).alias("n")).first()["n"]
     for b in range(count):
         own = batches.where(F.col("batch_id") == b)
-        drawn = uniform_negatives(own, total, config.negatives, f"epoch{epoch}")
-        scored = distmult_scores(train_pairs(own, drawn), nodes, relations)
-        g_nodes, g_rels = gradients(scored)
-        nodes = materialize(apply_adagrad(nodes, g_nodes, "id", config.lr), "nodes")
-        relations = materialize(apply_adagrad(relations, g_rels, "rel", config.relation_lr), "relations")
+        node_rows, steps = None, []
+        for corrupt, vector, state in SIDES if config.inverse else SIDES[:1]:
+            salt = f"epoch{epoch}" if corrupt == "dst" else f"epoch{epoch}-{corrupt}"
+            drawn = negatives(own, total, config.negatives, config.degree_fraction, corrupt, config.filtered, salt)
+            pairs = train_pairs(own, drawn, corrupt)
+            if config.filtered:
+                known = global_collisions(own, edges, corrupt).withColumn("label", F.lit(0))
+                pairs = pairs.join(known, ["edge", "node", "label"], "left_anti")
+            scored = pair_scores(pairs, nodes, relations, config.decoder, vector)
+            to_nodes, to_rels = _pair_gradients(scored, config.decoder, config.loss, config.reduction, config.margin)
+            node_rows = to_nodes if node_rows is None else node_rows.unionByName(to_nodes)
+            steps.append((vector, state, sum_vectors(to_rels, "rel")))
+        new = materialize(apply_adagrad(nodes, sum_vectors(node_rows, "id"), "id", config.lr), "nodes")
+        for vector, state, g in steps:
+            relations = apply_adagrad(relations, g, "rel", config.relation_lr, vector, state)
+        nodes, relations = new, materialize(relations, "relations")
     return nodes, relations
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import losses
 from graphloom.functions import vectors as V
+from graphloom.config import DecoderType, GraphConfig, NegativeMethod
+from graphloom.engine import GraphModel
 from graphloom.operators import evaluate, preprocess, train
+from graphloom.operators.scoring import get_decoder
 
 PAIR = [(1, 1.0, 1), (1, 0.0, 0), (1, 2.0, 0)]
 
@@ -63,3 +66,41 @@ def test_gradients_match_finite_differences(spark):
             up = [(k, [x + (1e-6 if (k, j) == (i, d) else 0) for j, x in enumerate(e)]) for k, e in nodes]
             down = [(k, [x - (1e-6 if (k, j) == (i, d) else 0) for j, x in enumerate(e)]) for k, e in nodes]
             assert got[i][d] == pytest.approx((loss(up) - loss(down)) / 2e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("decoder", ["DISTMULT", "COMPLEX", "TRANSE"])
+def test_score_gradients_match_finite_differences(spark, decoder):
+    own = {"e": [0.3, -0.2], "r": [0.9, 1.2], "t": [-0.4, 0.7]}
+    rows, step = [own], 1e-6
+    for k in own:
+        for d in range(2):
+            for h in (step, -step):
+                rows.append({**own, k: [x + (h if j == d else 0) for j, x in enumerate(own[k])]})
+    table = spark.createDataFrame([(i, r["e"], r["r"], r["t"]) for i, r in enumerate(rows)], "i int, e array<double>, r array<double>, t array<double>")
+    table = table.withColumn("score", get_decoder(decoder).score(F.col("e"), F.col("r"), F.col("t")))
+    got = table.select("score", *train.score_gradients(decoder, F.col("e"), F.col("r"), F.col("t"), F.col("score"))).orderBy("i").collect()
+    for k in range(6):
+        assert got[0][1 + k // 2][k % 2] == pytest.approx((got[1 + 2 * k]["score"] - got[2 + 2 * k]["score"]) / (2 * step), abs=1e-6)
+
+
+@pytest.mark.parametrize("name", train.LOSSES)
+def test_coefficients_match_finite_differences(spark, name):
+    got = {r["node"]: r["coef"] for r in train.coefficients(spark.createDataFrame([(1, k, s, y) for k, (_, s, y) in enumerate(PAIR)], "edge long, node long, score double, label int"), name, "MEAN").collect()}
+    for k in range(3):
+        up, down = (losses.get_loss(name)(spark.createDataFrame([(e, s + (h if j == k else 0), y) for j, (e, s, y) in enumerate(PAIR)], "edge long, score double, label int"), "MEAN").first()["loss"] for h in (1e-5, -1e-5))
+        assert got[k] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+
+
+def test_model_trains_both_sides_by_its_own_decoder(spark):
+    edges = spark.createDataFrame([(i, i, 0, (i + 1) % 6, "train") for i in range(6)], "edge long, src long, rel long, dst long, split string")
+    config = GraphConfig()
+    config.model.decoder, config.model.embedding_dim = DecoderType.COMPLEX, 4
+    config.training.negatives.negatives_per_positive, config.training.negatives.degree_fraction = 4, 0.5
+    model = GraphModel.create(spark, config, edges)
+    model.train()
+    r = model.tables.relation_embeddings.first()
+    assert r["inv_emb"] != [1.0, 1.0, 0.0, 0.0] and r["emb"] != [1.0, 1.0, 0.0, 0.0] and any(r["inv_state"])
+    assert r["emb"][2:] != [0.0, 0.0]
+    config.training.negatives.method = NegativeMethod.GAN
+    with pytest.raises(ValueError):
+        model.train()
