@@ -42,7 +42,7 @@ _OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def _shape(word: bytes) -> bytes:
     out = bytearray()
-    for c in word.translate(_CLASSES)[:64]:
+    for c in word.translate(_CLASSES):
         if not out or out[-1] != c:
             out.append(c)
     return bytes(out)

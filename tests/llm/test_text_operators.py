@@ -194,3 +194,7 @@ def test_mixing(docs, odd_rows, empty):
     assert mixed.columns == docs.columns
     assert sum(len(SPACE.findall(r["text"])) for r in mixed.collect()) == sum(taken.values())
     assert mixing.plan_mix(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_word_shape_takes_the_whole_word():
+    assert quality_classifier._shape(b"a" * 64 + b"7") == b"xd" and quality_classifier._shape(b"aB" * 40 + b"!!") == b"xX" * 40 + b"!"
