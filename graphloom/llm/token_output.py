@@ -8,7 +8,8 @@ ids from the blocks that hold it, with numpy. Images are rows (shard, chunk, n_i
 store that Spark writes can hold and whose commit protocol survives lost executors.
 
 Defined cases: a null or empty text is the end id alone; repeated rows and equal ids are written once each, in the order
-above; an empty table gives an empty result; extra columns are ignored; a text longer than a chunk makes a longer chunk.
+above; an empty table gives an empty result; extra columns are ignored; a text longer than a chunk makes a longer chunk;
+strings of the tokenizer's added tokens in a text become those tokens, as in the library.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def _encoder(model: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(model)
-        tokenizer.encode_special_tokens = True
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         memory: dict[str, bytes] = {}
         older: dict[str, bytes] = {}
         feed = tokenizer.encode("\n", add_special_tokens=False).ids
@@ -137,6 +138,15 @@ def _encoder(model: str):
                     memory[p] = memory[stem] + memory[marks]
 
         def encode(texts: list[str]) -> list[np.ndarray]:
+            """The ids of each text; one that holds an added token's string is encoded as a whole, as the library does."""
+            found = [any(s in t for s in special) for t in texts]
+            if any(found):
+                whole = iter([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast([t for t, x in zip(texts, found, strict=True) if x], add_special_tokens=False)])
+                plain = iter(encode_plain([t for t, x in zip(texts, found, strict=True) if not x]))
+                return [next(whole if x else plain) for x in found]
+            return encode_plain(texts)
+
+        def encode_plain(texts: list[str]) -> list[np.ndarray]:
             nonlocal memory, older
             cut = [split_pieces(t) for t in texts]
             if len(memory) > MEMORY:

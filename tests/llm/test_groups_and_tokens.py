@@ -107,7 +107,7 @@ def test_token_images(docs, odd_rows, empty):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         model = f.read()
     tokenizer = Tokenizer.from_str(model)
-    tokenizer.encode_special_tokens = True
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     encode, bits = token_output._encoder(model)
     assert bits == 16 and [x.tolist() for x in encode(TEXTS)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
     got = sorted(token_output.read_documents(token_output.write_tokens(docs, model, 2)).collect(), key=lambda r: r["start"])
