@@ -75,11 +75,11 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation and of one that quotes control strings, read back from the formatted output."""
+    """Digests of every conversation and of one that quotes control strings, read back from the formatted output, and the role machine's verdict."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     quoting = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     segments = materialize(chat.format_turns(turns.unionByName(quoting)), "formatted")
-    return chat.digest(segments).drop("valid")
+    return chat.digest(segments)
 
 
 QUERIES = {"op1_token_output": op1_token_output, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op8_class_lm": op8_class_lm, "op9_chat": op9_chat, "op5_fingerprint": op5_fingerprint, "op6_html_text": op6_html_text, "op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
@@ -130,10 +130,12 @@ m AS (
     + list_sum(list_transform(['[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '</s>', '[ROLE]', '[/ROLE]'], lambda x: (length(text) - length(replace(text, x, ''))) // length(x)))
     + list_sum(list_transform(range(1, 8), lambda k: CASE WHEN length(text) >= k AND list_contains(['[', '[I', '[IN', '[INS', '[INST', '[/', '[/I', '[/IN', '[/INS', '[/INST', '<', '<<', '<<S', '<<SY', '<<SYS', '<<SYS>',
       '<</', '<</S', '<</SY', '<</SYS', '<</SYS>', '</', '</s', '[R', '[RO', '[ROL', '[ROLE', '[/R', '[/RO', '[/ROL', '[/ROLE'], right(text, k)) THEN 1 ELSE 0 END))
-    + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 4 ELSE 17 + length(role) END AS chars FROM c)
+    + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 4 ELSE 17 + length(role) END AS chars,
+    coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), '') || '>' || role AS step FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and(step IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid
 FROM m GROUP BY conv_id""",
 }
