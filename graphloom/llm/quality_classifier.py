@@ -10,7 +10,8 @@ than a bounded sample and a lost executor repeats only its shard.
 
 Defined cases: null and empty texts score the logistic of the bias; repeated rows are scored one by one; an empty
 table gives an empty result; without usable labels every score is 0.5; a document with several label rows counts with
-its lowest quality; labels other than 0 and 1 are ignored.
+its lowest quality; labels other than 0 and 1 are ignored; texts of any length are read whole; extra columns, whatever
+their names, are ignored by :func:`score_documents` and pass through :func:`filter_documents`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import batch, map_arrow, ship, texts_of
+from graphloom.llm.common import batch, draw, map_arrow, ship, texts_of
 
 #: Buckets as a power of two; shards; labelled rows to learn from at most; passes over them.
 BITS, SHARDS, FIT_ROWS, EPOCHS = 19, 16, 16384, 3
@@ -75,7 +76,7 @@ def buckets(text: str) -> np.ndarray:
         mix = np.uint64(0x9E3779B97F4A7C15 + 2 * salt)
         parts.append((h + np.uint64(salt)) * mix)
         pair = (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:] + np.uint64(salt)) * mix
-        parts.append(np.where(lex[:-1] == lex[1:], mix * np.uint64(97), pair))
+        parts.append(np.where(lex[:-1] == lex[1:], np.uint64(int(mix) * 97 & 0xFFFFFFFFFFFFFFFF), pair))
     return ((np.concatenate(parts) >> np.uint64(40)) & _MASK).astype(np.int64)
 
 
@@ -113,8 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, fit_rows:
     own = own.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     if use is not None:
         own = own.where(use)
-    own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    drawn = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    drawn = draw(own.groupBy("doc_id").agg(F.min("quality").alias("quality")), ["doc_id"], fit_rows)
     shards = max(1, min(SHARDS, drawn.count() // 256))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(drawn), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))

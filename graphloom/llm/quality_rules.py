@@ -6,7 +6,8 @@ and the score's threshold is calibrated on all labelled rows.
 
 Defined cases: a null or empty text has zero counts and fails the base rules; repeated rows are judged one by one;
 an empty table gives an empty result; without labels of good documents nothing is rejected beyond the base rules;
-label rows with a null quality are ignored; extra columns of the input are passed through by :func:`filter_documents`.
+label rows with a null quality are ignored, and those other than 0 and 1 play no part in the threshold; texts of any
+length are read whole; extra columns of the input, whatever their names, pass through :func:`filter_documents`.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import batch, map_arrow, materialize, texts_of
+from graphloom.llm.common import batch, draw, map_arrow, materialize, texts_of
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits", "n_bytes")
 STATS_SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS)
@@ -143,10 +144,10 @@ def base_failed(words: np.ndarray, repeat: np.ndarray) -> np.ndarray:
 
 
 class Rules:
-    """A fitted forest and its threshold; ``forest`` is None where no good document was labelled."""
+    """A fitted forest, its threshold and the shares of bad and good labelled rows above it; ``forest`` is None where no good document was labelled."""
 
-    def __init__(self, forest: IsolationForest | None, threshold: float):
-        self.forest, self.threshold = forest, threshold
+    def __init__(self, forest: IsolationForest | None, threshold: float, bad_rejected: float = 0.0, good_rejected: float = 0.0):
+        self.forest, self.threshold, self.bad_rejected, self.good_rejected = forest, threshold, bad_rejected, good_rejected
 
     def verdict(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(base_failed, anomaly score, kept) of rows with the columns of :data:`STATS`."""
@@ -158,14 +159,14 @@ class Rules:
 def fit_rules(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, good_loss: float = GOOD_LOSS) -> Rules:
     """Fit the forest on at most ``fit_rows`` labelled good rows; calibrate the threshold on all labelled rows.
 
-    Rows that the base rules reject play no part. The threshold is the lowest anomaly score, on a grid of
-    :data:`BINS` steps counted over all labelled good rows, above which at most ``good_loss`` of them lie.
+    Rows that the base rules reject play no part. Scores of all labelled rows, good and bad, are counted on a grid of
+    :data:`BINS` steps, from which :func:`calibrate` takes the threshold.
     """
     quality = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     judged = stats.join(quality, "doc_id").where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= REPEAT_PERCENT * F.col("n_words")))
     judged = materialize(judged.select("doc_id", "quality", *STATS), "rules-labelled")
     good = judged.where("quality = 1")
-    drawn = good.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(fit_rows).select(*STATS).toPandas()
+    drawn = draw(good, ["doc_id", *STATS], fit_rows).select(*STATS).toPandas()
     if drawn.empty:
         return Rules(None, np.inf)
     forest = IsolationForest.fit(rates(drawn.to_numpy()))
@@ -173,12 +174,26 @@ def fit_rules(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, goo
     def binned(batches):
         for b in batches:
             m = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in STATS], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(np.ceil(forest.score(rates(m)) * BINS), BINS).astype(np.int64))], names=["bin"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(np.ceil(forest.score(rates(m)) * BINS), BINS).astype(np.int64)), b.column("quality")], names=["bin", "quality"])
 
-    counts = map_arrow(good.select(*STATS), binned, "bin long").groupBy("bin").count().toPandas().sort_values("bin", ascending=False)
-    over = counts["count"].cumsum().to_numpy()
-    allowed = np.flatnonzero(over > good_loss * over[-1])
-    return Rules(forest, float(counts["bin"].iloc[allowed[0]]) / BINS)
+    counts = map_arrow(judged.where("quality in (0, 1)").select(F.col("quality").cast("int").alias("quality"), *STATS), binned, "bin long, quality int").groupBy("bin", "quality").count().collect()
+    return Rules(forest, *calibrate({(r["quality"], r["bin"]): r["count"] for r in counts}, good_loss))
+
+
+def calibrate(counts: dict[tuple[int, int], int], good_loss: float) -> tuple[float, float, float]:
+    """(threshold, share of bad rows above, share of good rows above) from counts of (quality, bin).
+
+    Of the thresholds above which at most ``good_loss`` of the good rows lie, it is the one with the largest share of
+    bad rows above it less that of good rows, of several the highest; without bad rows it is the lowest.
+    """
+    above = np.zeros((2, BINS + 2))
+    for (quality, at), n in counts.items():
+        above[quality, at] += n
+    above = above[:, ::-1].cumsum(1)[:, ::-1]
+    bad, good = (x[1:] / max(x[0], 1) for x in above)
+    allowed = np.flatnonzero(good <= good_loss)
+    best = allowed[0] if not above[0, 0] else max(allowed, key=lambda t: (bad[t] - good[t], t))
+    return best / BINS, float(bad[best]), float(good[best])
 
 
 def apply_rules(stats: DataFrame, rules: Rules) -> DataFrame:
