@@ -1,161 +1,259 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A paragraph is a run of at most ``PARAGRAPH_WORDS`` words inside a line; its digest is a 64-bit hash. A sketch adds each
-distinct digest of a text to three cells, one in each third; a cell holds a count and the exclusive-or of its digests
-and of their check hashes. Two sketches are subtracted cell by cell, which cancels what the texts share, and peeling
-takes out cells that hold one digest until nothing is left. Where cells remain, the sketch was too small: the digests are
-halved by their next bit and each half gets a sketch of its own, which doubles the cells, until every part peels; the
-first sketches that are tried have a cell for at most every two digests. The
-likeness of two texts is 1 - d / (a + b) for d recovered digests of a and b distinct ones, and 1 for two empty texts.
-
-The next document comes from a window over ranges of ids whose borders are ids of the table; the rows at a border are
-also sent, as guests, to the range before, so every range finds its successor in one shuffle of the texts.
+A paragraph is a run of words inside a line that ends with a word whose last character is in ``ENDS``, or with the line,
+or after ``PARAGRAPH_WORDS`` words: such runs find their old borders again behind an insertion. Its digest is a 64-bit
+hash. A sketch has groups, by the digests' top bits, of ``3 * THIRD`` cells; their number is the least power of two that
+leaves ``SHARE`` digests a group on average, so a sketch follows its text. Each distinct digest is added to three cells
+of its group, one in each third; a cell holds a count and the exclusive-or of its digests and of their check hashes. The
+fingerprint is the sketch as text (:func:`parse` reads it).
+
+Two texts are compared by their sketches: the larger is folded to the groups of the smaller, one is subtracted from the
+other, which cancels what the texts share, and peeling takes out cells that hold one digest until nothing is left. A
+group that does not peel was too small: its digests are dealt into four groups by their next two bits, which makes four
+times the cells, again and again until all peel; after all 64 bits a group holds one digest at most, so none is left
+out. The likeness is 1 - d / (a + b) for d recovered digests of a and b distinct ones, and 1 for two empty texts.
+
+The next document comes from a window over ranges of (doc_id, text hash) whose borders are rows of the table; the rows
+at a border are also sent, as guests, to the range before, so every range finds its successor in one shuffle of the
+texts. An id that holds more rows than a range (null among them) is split by text hash.
 
 Defined cases: null texts are empty; an empty or blank text has an empty sketch; documents are ordered by doc_id (null
 first), ties by text hash, and repeated rows follow each other; the last row's next is the first, a single row's next is
-itself; an empty table gives an empty result; extra columns are ignored.
+itself; texts of any length are used whole, with sketches in proportion; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import shuffle_partitions
 
-#: Words of a paragraph; cells of a third of a sketch; rounds of peeling; halvings; id ranges for each shuffle partition.
-PARAGRAPH_WORDS, THIRD, ROUNDS, HALVINGS, RANGES = 8, 6, 8, 24, 8
-_PIECE = r"(?:[^ \t-\r]++[ \t]*+){1,%d}+"
+#: Most words of a paragraph; cells of a third of a group; digests of a group; peeling rounds of a try; id ranges for each shuffle partition.
+PARAGRAPH_WORDS, THIRD, SHARE, ROUNDS, RANGES = 16, 6, 16, 10, 8
+#: Fixed value: a word that ends so ends its paragraph: sentence marks, and the letters whose code is a multiple of 7.
+ENDS = ".!?;:FMTbipw"
+_PIECE = rf"(?:[^ \t-\r]++(?<![{ENDS}])[ \t]++){{0,{PARAGRAPH_WORDS - 1}}}[^ \t-\r]++"
 _CELLS = 3 * THIRD
 
 
+
+def _hash(k: Column) -> Column:
+    return F.xxhash64(k, F.lit(1))
+
+
+def _cells_of(h: Column) -> Column:
+    """The three cells of a digest with the hash ``h``, one in each third, as bits."""
+    slot = lambda i: F.pmod(F.shiftrightunsigned(h, 32 + 10 * i).bitwiseAND(F.lit(0x3FF)), F.lit(THIRD)).cast("int") + F.lit(THIRD * i)
+    bit = lambda i: F.call_function("shiftleft", F.lit(1), slot(i))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+
+
 def digests(text: Column) -> Column:
-    """Distinct paragraph digests: array of (k, c, s0, s1, s2): digest, check hash, its cell in each third."""
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE % PARAGRAPH_WORDS), F.lit(0))
-    keys = F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.rtrim(p))))
-    slot = lambda k, i: F.pmod(F.shiftrightunsigned(k, 24 + 13 * i).bitwiseAND(F.lit(0x1FFF)), F.lit(THIRD)).cast("int")
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("c"), *[slot(k, i).alias(f"s{i}") for i in range(3)]))
+    """Distinct paragraph digests: array of (k, c, m): digest, check hash, its cells as bits."""
+    keys = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
+    hashed = F.transform(keys, lambda k: F.struct(k.alias("k"), _hash(k).alias("h")))
+    return F.transform(hashed, lambda x: F.struct(x["k"].alias("k"), x["h"].bitwiseAND(F.lit(0xFFFFFFFF)).alias("c"), _cells_of(x["h"]).alias("m")))
+
+
+def levels(digests: Column) -> Column:
+    """Top bits that tell a sketch's groups apart, for its number of digests."""
+    return F.ceil(F.log2(F.greatest(F.size(digests) / F.lit(float(SHARE)), F.lit(1.0)))).cast("int")
 
 
-def _check(k: Column) -> Column:
-    return F.xxhash64(k, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))
+def grouped(digests: Column, level: Column) -> Column:
+    """The digests of each of ``2 ** level`` groups, in the order of their top bits."""
+    half = lambda v, i: lambda x: F.getbit(x["k"], F.lit(64) - i) == v
+    halve = lambda parts, i: F.flatten(F.transform(parts, lambda p: F.array(F.filter(p, half(0, i)), F.filter(p, half(1, i)))))
+    return F.when(level > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(level, F.lit(1))), F.array(digests), halve)).otherwise(F.array(digests))
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _put(sign: int):
+    return lambda a, x: F.struct((a["n"] + F.lit(sign)).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
 
 
-def _in_cell(x: Column, j: Column) -> Column:
-    third, place = F.floor(j / THIRD).cast("int"), F.pmod(j, F.lit(THIRD))
-    return F.when(third == 0, x["s0"]).when(third == 1, x["s1"]).otherwise(x["s2"]) == place
+def _in(j: Column):
+    return lambda x: F.getbit(x["m"], j) == 1
 
 
-def sketch(added: Column, taken: Column | None = None) -> Column:
-    """Cells of the digests ``added``, less those of ``taken``."""
+def _cells(added: Column, taken: Column | None = None) -> Column:
+    """The cells of one group of the digests ``added``, less those of ``taken``."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    one = lambda j: F.aggregate(F.filter(added, _in(j)), empty, _put(1))
+    both = lambda j: F.aggregate(F.filter(taken, _in(j)), one(j), _put(-1))
+    return F.transform(F.array(*map(F.lit, range(_CELLS))), one if taken is None else both)
+
+
+def sketch(groups: Column) -> Column:
+    """The cells of every group."""
+    return F.transform(groups, lambda g: _cells(g))
 
-    def cell(i: int) -> Column:
-        place = lambda x: x[f"s{i // THIRD}"] == i % THIRD
-        put = lambda sign: lambda a, x: F.struct((a["n"] + F.lit(sign)).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
-        out = F.aggregate(F.filter(added, place), empty, put(1))
-        return out if taken is None else F.aggregate(F.filter(taken, place), out, put(-1))
 
-    return F.array(*[cell(i) for i in range(_CELLS)])
+def _clear(c: Column) -> Column:
+    return (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)
 
 
 def fingerprint(cells: Column) -> Column:
-    """A sketch as text: count, digests and checks of each cell in hexadecimal."""
-    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["n"].cast("string"), F.hex(c["k"]), F.hex(c["c"]))), ",")
+    """A sketch as text: groups between semicolons, cells between commas; a cell's count, digests and checks, or nothing."""
+    one = lambda c: F.when(_clear(c), F.lit("")).otherwise(F.concat_ws(":", c["n"].cast("string"), F.hex(c["k"]), F.hex(c["c"])))
+    return F.array_join(F.transform(cells, lambda g: F.array_join(F.transform(g, one), ",")), ";")
 
 
-def peel(cells: Column) -> Column:
-    """(cells, found, stuck): what is left of a sketch's cells and the (digest, side) recovered from it; side is 1 or -1."""
+def parse(text: Column) -> Column:
+    """The sketch that :func:`fingerprint` wrote; an empty cell's three parts are missing, which stands for zeros."""
+    number = lambda x: F.coalesce(F.conv(x, 16, -10).cast("long"), F.lit(0).cast("long"))
+    count = lambda x: F.coalesce(F.when(x != "", x).cast("int"), F.lit(0))
+    one = lambda c: F.struct(count(F.substring_index(c, ":", 1)).alias("n"), number(F.split_part(c, F.lit(":"), F.lit(2))).alias("k"), number(F.split_part(c, F.lit(":"), F.lit(3))).alias("c"))
+    return F.transform(F.split(text, ";"), lambda g: F.transform(F.split(g, ","), one))
 
-    def pure(c: Column) -> Column:
-        return (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"]))
 
-    def slot(k: Column, i: int) -> Column:
-        return F.pmod(F.shiftrightunsigned(k, 24 + 13 * i).bitwiseAND(F.lit(0x1FFF)), F.lit(THIRD)).cast("int")
+def _joined(x: Column, y: Column, sign: int) -> Column:
+    put = lambda u, v: F.struct((u["n"] + F.lit(sign) * v["n"]).alias("n"), u["k"].bitwiseXOR(v["k"]).alias("k"), u["c"].bitwiseXOR(v["c"]).alias("c"))
+    return F.zip_with(x, y, put)
 
-    def item(c: Column) -> Column:
-        return F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), *[slot(c["k"], i).alias(f"s{i}") for i in range(3)])
 
-    def take(cell: Column, p: Column) -> Column:
-        return F.struct((cell["n"] - p["n"]).alias("n"), cell["k"].bitwiseXOR(p["k"]).alias("k"), cell["c"].bitwiseXOR(p["c"]).alias("c"))
+def folded(cells: Column, groups: Column) -> Column:
+    """A sketch with ``groups`` groups, made of one with as many or more: neighbours in the order of top bits are added."""
+    rounds = F.log2(F.size(cells) / groups).cast("int")
+    fold = lambda s, _: F.transform(F.sequence(F.lit(1), (F.size(s) / 2).cast("int")), lambda i: _joined(F.get(s, 2 * i - 2), F.get(s, 2 * i - 1), 1))
+    return F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), cells, fold)).otherwise(cells)
 
-    def once(state: Column, _: Column) -> Column:
-        def without(items: Column) -> Column:
-            left = F.transform(state["cells"], lambda c, j: F.aggregate(F.filter(items, lambda p: _in_cell(p, j)), c, take))
-            more = F.transform(items, lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n")))
-            stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("stuck"))
-            return F.when(F.size(items) == 0, stuck).otherwise(F.struct(left.alias("cells"), F.concat(state["found"], more).alias("found"), F.lit(False).alias("stuck")))
 
-        return F.when(state["stuck"], state).otherwise(_bound(F.array_distinct(F.transform(F.filter(state["cells"], pure), item)), without))
+def subtracted(a: Column, b: Column) -> Column:
+    """The sketch of what only one of two sketches holds, with the fewer groups of the two."""
+    least = F.least(F.size(a), F.size(b))
+    return F.zip_with(folded(a, least), folded(b, least), lambda x, y: _joined(x, y, -1))
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"), F.lit(False).alias("stuck"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, once)
 
+def crowded(cells: Column) -> Column:
+    """Whether a subtracted group seems to hold more digests than cells, by the squares of its counts."""
+    n = F.aggregate(cells, F.lit(0), lambda s, c: s + c["n"])
+    return F.aggregate(cells, F.lit(0), lambda s, c: s + c["n"] * c["n"]) * F.lit(_CELLS) - n * n > F.lit(3 * _CELLS * _CELLS)
 
-def differences(a: Column, b: Column) -> Column:
-    """The (digest, side) in one of two digest arrays only, recovered from subtracted sketches."""
-    part = "struct<k:bigint,c:bigint,s0:int,s1:int,s2:int>"
-    pending = F.array(F.struct(a.alias("a"), b.alias("b"))).cast(f"array<struct<a:array<{part}>,b:array<{part}>>>")
-    start = F.struct(pending.alias("pending"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"))
 
-    def attempt(g: Column) -> Column:
-        larger = F.struct(g["a"].alias("a"), g["b"].alias("b"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"), F.lit(False).alias("done"))
-        return F.when(F.size(g["a"]) + F.size(g["b"]) > 2 * _CELLS, larger).otherwise(_bound(
-            peel(sketch(g["a"], g["b"])),
-            lambda p: F.struct(g["a"].alias("a"), g["b"].alias("b"), p["found"].alias("found"), F.forall(p["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)).alias("done")),
-        ))
+#: States of peeling: pure cells are to be found, to be taken out; it ended with cells left, or with none.
+_FIND, _TAKE, _STUCK, _DONE = range(4)
+_ITEMS = "array<struct<n:int,k:bigint,c:bigint,m:int>>"
 
-    def step(state: Column, level: Column) -> Column:
-        half = lambda v: lambda x: F.getbit(x["k"], level) == v
 
-        def settle(tried: Column) -> Column:
-            failed = F.filter(tried, lambda t: ~t["done"])
-            parts = F.flatten(F.transform(failed, lambda t: F.array(*[F.struct(*[F.filter(t[s], half(v)).alias(s) for s in "ab"]) for v in (0, 1)])))
-            got = F.flatten(F.transform(F.filter(tried, lambda t: t["done"]), lambda t: t["found"]))
-            return F.struct(parts.alias("pending"), F.concat(state["found"], got).alias("found"))
+def peel(cells: Column, start: int | Column = _FIND) -> Column:
+    """(cells, found, items, state) of a group after ``ROUNDS`` rounds; found: the (n, k, c, m) recovered, n being the side, 1 or -1."""
+    none = F.array().cast(_ITEMS)
+    pure = lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _hash(c["k"]).bitwiseAND(F.lit(0xFFFFFFFF)))
+    item = lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), _cells_of(_hash(c["k"])).alias("m"))
+    take = lambda cell, p: F.struct((cell["n"] - p["n"]).alias("n"), cell["k"].bitwiseXOR(p["k"]).alias("k"), cell["c"].bitwiseXOR(p["c"]).alias("c"))
+    group = lambda cells, found, items, state: F.struct(cells.alias("cells"), found.alias("found"), items.alias("items"), state.alias("state"))
 
-        return F.when(F.size(state["pending"]) == 0, state).otherwise(_bound(F.transform(state["pending"], attempt), settle))
+    def once(g: Column, _: Column) -> Column:
+        find = group(g["cells"], g["found"], F.array_distinct(F.transform(F.filter(g["cells"], pure), item)), F.lit(_TAKE))
+        end = group(g["cells"], g["found"], none, F.when(F.forall(g["cells"], _clear), F.lit(_DONE)).otherwise(F.lit(_STUCK)))
+        left = F.transform(g["cells"], lambda c, j: F.aggregate(F.filter(g["items"], _in(j)), c, take))
+        return F.when(g["state"] == _FIND, find).when(g["state"] > _TAKE, g).when(F.size(g["items"]) == 0, end).otherwise(group(left, F.concat(g["found"], g["items"]), none, F.lit(_FIND)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(HALVINGS - 1)), start, step)["found"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), group(cells, none, none, F.lit(start) if isinstance(start, int) else start), once)
 
 
-def likeness(a: Column, b: Column) -> Column:
+def first_try(a: Column, b: Column) -> Column:
+    """Peeled groups of two subtracted sketches; crowded ones are left as they are."""
+    return F.transform(subtracted(a, b), lambda g: peel(g, F.when(crowded(g), F.lit(_STUCK)).otherwise(F.lit(_FIND))))
+
+
+def retried(tried: Column, a: Column, b: Column) -> Column:
+    """The items in one of two texts only, from the first try, and for groups that did not peel from their digests ``a``
+    and ``b`` (in groups as their sketches have them) with four times the cells, again and again."""
+    least = F.size(tried)
+
+    def own(groups: Column, i: Column) -> Column:
+        width = (F.size(groups) / least).cast("int")
+        return F.flatten(F.slice(groups, i * width + 1, width))
+
+    failed = F.filter(F.sequence(F.lit(0), least - 1), lambda i: F.get(tried, i)["state"] != _DONE)
+    pending = F.transform(failed, lambda i: F.struct(own(a, i).alias("a"), own(b, i).alias("b")))
+    done = lambda t: t["g"]["state"] == _DONE
+    hold = lambda pending, tried, found: F.struct(pending.alias("pending"), tried.alias("tried"), found.alias("found"))
+    found = F.flatten(F.transform(F.filter(tried, lambda g: g["state"] == _DONE), lambda g: g["found"]))
+    attempt = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(_cells(p["a"], p["b"])).alias("g"))
+    no_tries = F.filter(F.transform(pending, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.get(tried, F.lit(0)).alias("g"))), lambda t: F.lit(False))
+
+    def step(held: Column, s: Column) -> Column:
+        quarter = lambda x: F.call_function("shiftrightunsigned", F.call_function("shiftleft", x["k"], F.log2(least).cast("int") + s), F.lit(62)).cast("int")
+        split = lambda p: F.transform(F.array(*map(F.lit, range(4))), lambda q: F.struct(F.filter(p["a"], lambda x: quarter(x) == q).alias("a"), F.filter(p["b"], lambda x: quarter(x) == q).alias("b")))
+        more = hold(F.slice(held["pending"], 1, 0), F.transform(F.flatten(F.transform(held["pending"], split)), attempt), held["found"])
+        left = F.transform(F.filter(held["tried"], lambda t: ~done(t)), lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b")))
+        got = F.concat(held["found"], F.flatten(F.transform(F.filter(held["tried"], done), lambda t: t["g"]["found"])))
+        return F.when(F.size(held["pending"]) > 0, more).when(F.size(held["tried"]) > 0, hold(left, F.slice(held["tried"], 1, 0), got)).otherwise(held)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(65)), hold(pending, no_tries, found), step)["found"]
+
+
+def likeness(a: Column, b: Column, items: Column) -> Column:
+    """From the digests of two texts and how many of them differ."""
     both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.size(differences(a, b)) / both)
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(1.0) - items / both)
+
+
+def compare(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``rows`` with the likeness of two fingerprint columns alone; null where they are too small to recover what differs."""
+    n = lambda c: F.aggregate(F.flatten(F.transform(c, lambda g: F.slice(g, 1, THIRD))), F.lit(0), lambda x, c: x + c["n"])
+    read = rows.withColumns({"_a": parse(F.col(a)), "_b": parse(F.col(b))})
+    read = read.withColumns({"_many": n(F.col("_a")) + n(F.col("_b")), "_tried": F.transform(subtracted(F.col("_a"), F.col("_b")), lambda g: peel(g))})
+    items = F.aggregate("_tried", F.lit(0), lambda x, g: x + F.size(g["found"]))
+    near = F.when(F.col("_many") == 0, F.lit(1.0)).when(F.forall("_tried", lambda g: g["state"] == _DONE), F.lit(1.0) - items / F.col("_many"))
+    return read.withColumn(out, near).drop("_a", "_b", "_many", "_tried")
+
+
+_LOWEST = -(1 << 63)
+
+
+def _borders(own: DataFrame, n: int) -> list[tuple[bool, int, int]]:
+    """About ``n`` borders (known, doc_id, text hash) between ranges, the first below all rows.
+
+    A border is the hash of a row, or, with the hash ``_LOWEST``, the id of one.
+    """
+    found = own.agg(
+        F.min("doc_id").alias("low"), F.count_if(~F.col("known")).alias("none"), F.count(F.lit(1)).alias("all"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("cuts")
+    ).first()
+    if not found["all"]:
+        return []
+    cuts = [*(found["cuts"] or []), *([] if found["low"] is None else [found["low"]])]
+    crowds = {(True, i): len(list(same)) for i, same in groupby(sorted(cuts))}
+    if found["none"]:
+        crowds[False, 0] = found["none"] * n // found["all"]
+    out = {(*key, _LOWEST) for key in crowds}
+    crowds = {key: m for key, m in crowds.items() if m > 1}
+    if crowds:
+        share = F.element_at(F.create_map(*[F.lit(x) for (known, i), m in crowds.items() for x in (f"{known}{i}".lower(), m)]), F.concat(F.col("known").cast("string"), F.col("id").cast("string")))
+        part = F.floor((F.col("hash") / F.lit(2.0**64) + F.lit(0.5)) * share)
+        rows = own.withColumn("part", part).where("part is not null").groupBy("known", "id", "part").agg(F.min("hash").alias("hash"))
+        for _, parts in groupby(sorted((r["known"], r["id"], r["hash"]) for r in rows.collect()), lambda x: x[:2]):
+            out |= {*list(parts)[1:]}
+    return sorted(out)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next): each row with the text of the row that follows it by id, the first row after the last."""
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = shuffle_partitions(spark) * RANGES
-    ids = own.agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("none"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("cuts")).first()
-    borders = sorted({*(ids["cuts"] or []), *([] if ids["low"] is None else [ids["low"]])})
-    first = None if ids["none"] else ids["low"]
+    own = own.withColumn("known", F.col("doc_id").isNotNull()).withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("hash", F.xxhash64("text"))
+    borders = _borders(own, shuffle_partitions(docs.sparkSession) * RANGES)
 
     width = max(1, math.isqrt(len(borders)))
-    groups = [borders[i : i + width] for i in range(0, len(borders), width)] or [[]]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]).cast("array<bigint>")
-    at = F.col("doc_id")
-    group = F.size(F.filter(longs([g[0] for g in groups if g]), lambda x: x <= at))
-    inside = F.size(F.filter(F.get(F.array(*[longs(g) for g in groups]), group - 1), lambda x: x <= at))
-    own = own.withColumn("range", F.when(at.isNull() | (group == 0), F.lit(0)).otherwise((group - 1) * F.lit(width) + inside))
-    own = own.withColumn("border", F.when(F.col("range") == 0, F.lit(False)).otherwise(F.get(longs(borders), F.col("range") - 1) == at))
-
-    place = lambda r, guest, wrap: F.struct(r.alias("range"), F.lit(guest).alias("guest"), F.lit(wrap).alias("wrap"))
-    places = F.concat(
-        F.array(place(F.col("range"), False, False)),
-        F.when(F.col("border"), F.array(place(F.col("range") - 1, True, False))).otherwise(F.array().cast("array<struct<range:int,guest:boolean,wrap:boolean>>")),
-        F.when(at.eqNullSafe(F.lit(first).cast("long")), F.array(place(F.lit(len(borders)), True, True))).otherwise(F.array().cast("array<struct<range:int,guest:boolean,wrap:boolean>>")),
-    )
-    rows = own.withColumn("place", F.explode(places)).select("doc_id", "text", "place.*")
+    blocks = [borders[i : i + width] for i in range(0, len(borders), width)]
+    kind = "struct<known:boolean,id:bigint,hash:bigint>"
+    longs = lambda xs: F.array(*[F.struct(*map(F.lit, x)).cast(kind) for x in xs]).cast(f"array<{kind}>")
+    at = F.struct("known", "id", "hash").cast(kind)
+    block = F.size(F.filter(longs([b[0] for b in blocks]), lambda x: x <= at))
+    inside = F.size(F.filter(F.get(F.array(*map(longs, blocks)).cast(f"array<array<{kind}>>"), block - 1), lambda x: x <= at))
+    own = own.withColumn("range", ((block - 1) * F.lit(width) + inside).cast("int")).withColumn("border", F.get(longs(borders), F.col("range") - 1))
+    first = (F.col("border.known") == F.col("known")) & (F.col("border.id") == F.col("id")) & F.col("border.hash").isin(F.lit(_LOWEST), F.col("hash"))
+
+    place = lambda r, guest, wrap: F.struct(r.alias("range"), F.lit(guest).alias("guest"), wrap.alias("wrap"))
+    lowest = F.col("range") == 1
+    here, before = place(F.col("range"), False, F.lit(False)), place(F.when(lowest, F.lit(len(borders))).otherwise(F.col("range") - 1), True, lowest)
+    rows = own.withColumn("place", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here)))).select("doc_id", "text", "place.*")
     order = Window.partitionBy("range").orderBy("wrap", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return rows.withColumn("next", F.lead("text").over(order)).where("not guest").select("doc_id", "text", "next")
 
@@ -169,8 +267,15 @@ def edited_text(text: Column, following: Column) -> Column:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row and of its edited text, and the likenesses to the edited and the next text."""
     rows = with_next(docs).withColumn("edited", edited_text(F.col("text"), F.col("next")))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next")).alias("f"))
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(sketch(F.col("a"))).alias("fingerprint"), fingerprint(sketch(F.col("e"))).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("f")).alias("near_next"),
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.array("text", "edited", "next").alias("texts"))
+    rows = rows.withColumn("digests", F.transform("texts", lambda t: digests(t))).drop("texts")
+    rows = rows.withColumn("groups", F.transform("digests", lambda d: grouped(d, levels(d))))
+    rows = rows.withColumn("cells", F.transform("groups", lambda g: sketch(g)))
+    other = F.array(F.lit(1), F.lit(2))
+    rows = rows.withColumn("tried", F.transform(other, lambda i: first_try(F.get("cells", F.lit(0)), F.get("cells", i))))
+    rows = rows.withColumn("items", F.transform(other, lambda i: F.size(retried(F.get("tried", i - 1), F.get("groups", F.lit(0)), F.get("groups", i)))))
+    near = lambda i: likeness(F.get("digests", F.lit(0)), F.get("digests", F.lit(i)), F.get("items", F.lit(i - 1)))
+    prints = F.transform(F.slice("cells", 1, 2), lambda c: fingerprint(c))
+    return rows.withColumn("prints", prints).select(
+        "doc_id", "n_chars", "edited_sha256", F.get("prints", F.lit(0)).alias("fingerprint"), F.get("prints", F.lit(1)).alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next")
     )

@@ -147,9 +147,28 @@ def test_best_class_is_the_best_by_full_counts():
 
 def test_fingerprints(docs, odd_rows, empty):
     rows = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in odd_rows), key=lambda x: x[:2])
-    got = fingerprint.fingerprint_documents(docs).collect()
+    got = fingerprint.fingerprint_documents(docs)
+    alone = {(g["doc_id"], g["fingerprint"]): (g["near"], g["near_edited"]) for g in fingerprint.compare(got, "fingerprint", "edited_fingerprint", "near").collect()}
+    got = got.collect()
     assert len(got) == len(rows)
-    pieces = lambda t: {p.rstrip(" \t") for p in re.findall(r"(?:[^ \t-\r]+[ \t]*){1,8}", t)}
+    word, ends, most = re.compile("[^ \t-\r]+"), tuple(fingerprint.ENDS), fingerprint.PARAGRAPH_WORDS
+
+    def pieces(text):
+        found = set()
+        for line in re.split("[\n\x0b\x0c\r]", text):
+            start = None
+            for k, m in enumerate(word.finditer(line)):
+                if start is None:
+                    start, count = m.start(), 0
+                count += 1
+                if m[0].endswith(ends) or count == most:
+                    found.add(line[start : m.end()])
+                    start = None
+                end = m.end()
+            if start is not None:
+                found.add(line[start:end])
+        return found
+
     like = lambda a, b: 1 - len(pieces(a) ^ pieces(b)) / (len(pieces(a)) + len(pieces(b))) if pieces(a) or pieces(b) else 1.0
     by_id = defaultdict(list)
     for g in got:
@@ -162,11 +181,28 @@ def test_fingerprints(docs, odd_rows, empty):
         edited = t[: len(t) - k] + following[:k]
         assert g["n_chars"] == len(t) and g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert g["near_edited"] == pytest.approx(like(t, edited)) and g["near_next"] == pytest.approx(like(t, following))
+        groups = g["fingerprint"].split(";")
+        assert len(groups) == 1 << max(0, math.ceil(math.log2(max(len(pieces(t)) / fingerprint.SHARE, 1)))) and all(x.count(",") == 17 for x in groups)
     assert len({g["fingerprint"] for g in by_id[8]}) == 1 and by_id[8][0]["fingerprint"] == by_id[0][0]["fingerprint"]
+    assert all(a is None or a == pytest.approx(b) for a, b in alone.values()) and sum(a is not None for a, _ in alone.values()) > len(alone) / 2
     assert fingerprint.fingerprint_documents(empty).count() == 0
     assert fingerprint.fingerprint_documents(docs.where("doc_id = 5")).first()["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("ids", [[None] * 60, [7] * 60, [None] * 25 + [3] * 25 + list(range(10))])
+def test_next_rows_of_crowded_ids(spark, ids):
+    """Ids that hold more rows than a range are split by text hash, and every row still finds its successor."""
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    want = {(a, t): following for (a, t), (_, following) in zip(order, order[1:] + order[:1], strict=True)}
+    found = fingerprint.with_next(docs)
+    assert {(r["doc_id"], r["text"]): r["next"] for r in found.collect()} == want and found.count() == len(rows)
+    borders = fingerprint._borders(docs.select("*", F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")), 12)
+    assert len(borders) >= 10 and borders == sorted(set(borders))
+
+
 def test_mixing(docs, odd_rows, empty):
     got = mixing.plan_mix(docs).collect()
     size = Counter()
