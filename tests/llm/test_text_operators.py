@@ -93,35 +93,55 @@ def test_exchange_gains_likelihood():
     assert value(end) > value(start)
 
 
-@pytest.mark.parametrize("hot", [class_lm.HOT, 12])
-def test_all_frequent_words_are_clustered(spark, monkeypatch, hot):
-    """Words beyond the first ones are exchanged, and scored by their classes, also those whose counts do not travel."""
-    monkeypatch.setattr(class_lm, "CLUSTERED", 4)
+@pytest.mark.parametrize("hot", [class_lm.HOT, 100, 12])
+def test_frequent_words_are_clustered_and_scored(spark, monkeypatch, hot):
+    """Words beyond the first ones are exchanged; scores agree with plain Python, also of words whose counts are joined."""
+    monkeypatch.setattr(class_lm, "TOP", 4)
+    monkeypatch.setattr(class_lm, "CLASSES", 4)
     monkeypatch.setattr(class_lm, "HOT", hot)
     r = np.random.default_rng(1)
-    rows = [(i, " ".join(f"{'ab'[j % 2]}{r.integers(20)}x{r.integers(10**6) if r.random() < 0.02 else ''}" for j in range(40)), None) for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    start = class_lm.fit(docs, F.lit(True))
-    kinds = {bytes(w["word"]): w["kind"] for w in start.words.collect()}
-    often = [f"{c}{i}x".encode() for c in "ab" for i in range(20)]
-    assert all(0 < kinds[w] < start.first_surface for w in often)
+    rows = [(i, " ".join(f"{'ab'[j % 2]}{r.integers(20)}x{r.integers(10**6) if r.random() < 0.05 else ''}" for j in range(40)), None) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (None, None, None)], "doc_id long, text string, source string")
+    use = F.coalesce(F.col("doc_id"), F.lit(0)) < 180
+    model = class_lm.fit(docs, use)
+    kinds = {bytes(w["word"]): w["kind"] for w in model.words.collect()}
+    counts = Counter(w for i, text, _ in rows[:180] for w in class_lm.words_of(text))
+    assert {bytes(w["word"]): w["n"] for w in model.words.collect()} == counts
+    least = max(class_lm.LEAST, -(-sum(counts.values()) // hot))
+    often = {w for w, n in counts.items() if n >= least}
+    assert len(often) <= hot and all((0 < kinds[w] < model.first_surface) == (w in often) for w in counts)
     monkeypatch.setattr(class_lm, "ROUNDS", 0)
-    first = {bytes(w["word"]): w["kind"] for w in class_lm.fit(docs, F.lit(True)).words.collect()}
-
-    def value(kinds):
-        n = np.zeros((start.first_surface + class_lm.SURFACES,) * 2)
-        for _, text, _ in rows:
-            path = [0, *(kinds[w] for w in class_lm.words_of(text)), 0]
-            np.add.at(n, (path[:-1], path[1:]), 1)
-        return class_lm.likelihood(n)
-
-    assert value(kinds) > value(first)
-    got = {x["doc_id"]: x["score"] for x in class_lm.score_documents(docs, start).collect()}
-    counts = {bytes(w["word"]): w["n"] for w in start.words.collect()}
-    for i, text, _ in rows[:20]:
+    first = {bytes(w["word"]): w["kind"] for w in class_lm.fit(docs, use).words.collect()}
+    paths = [[0, *(class_lm.words_of(t or "")), 0] for _, t in [(i, t) for i, t, _ in rows[:180]] + [(None, None)]]
+
+    def table(kinds):
+        n = np.zeros((model.first_surface + class_lm.SURFACES,) * 2)
+        for path in paths:
+            k = [kinds[w] if w else 0 for w in path]
+            np.add.at(n, (k[:-1], k[1:]), 1)
+        return n
+
+    n = table(kinds)
+    assert class_lm.likelihood(n) > class_lm.likelihood(table(first)) or len(often) < 2
+    freq = (n.sum(0) + 1) / (n.sum() + len(n))
+    move = (n + class_lm.SMOOTH * freq) / (n.sum(1, keepdims=True) + class_lm.SMOOTH)
+    total, once = Counter(), Counter()
+    for w, c in counts.items():
+        total[kinds[w]] += c
+        once[kinds[w]] += c == 1
+
+    def chance(w):
+        k = kinds.get(w, model.first_surface + class_lm.surface(w))
+        if k < model.first_surface:
+            return counts[w] / total[k]
+        unseen = (once[k] + 1) / (total[k] + 2)
+        return (1 - unseen) * counts[w] / total[k] if counts[w] else unseen
+
+    got = {x["doc_id"]: x["score"] for x in class_lm.score_documents(docs, model).collect()}
+    for i, text, _ in [*rows, (None, "", None)]:
         words = class_lm.words_of(text)
-        path = [0, *(kinds[w] for w in words), 0]
-        want = sum(start.move[a, b] for a, b in zip(path, path[1:])) + sum(math.log10(counts[w]) + start.seen[kinds[w]] for w in words)
+        path = [0, *(kinds.get(w, model.first_surface + class_lm.surface(w)) for w in words), 0]
+        want = sum(math.log10(move[x, y]) for x, y in zip(path, path[1:], strict=False)) + sum(math.log10(chance(w)) for w in words)
         assert got[i] == pytest.approx(want)
 
 
