@@ -2,13 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept. All but the last return the
 columns of ``documents``; the last returns the ids of every drawn document. Stages are written as parquet in between.
+
+Defined cases: null and empty texts fail the base rules and go in the first stage; repeated rows are judged one by one,
+and the third stage leaves one of them; an empty table, or one of which nothing is kept, gives an empty result; without
+labelled rows the first stage applies its base rules only and the second keeps everything (every score is 0.5); extra
+columns of ``documents`` pass through to the fourth stage's result. Tests: tests/llm/test_pipeline.py, stage by stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphloom.llm import byte_bpe, minhash, mixing, quality_classifier, quality_rules
 from graphloom.llm.common import materialize, table
@@ -35,11 +39,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every draw."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every draw: its ids, and the digest of what they decode to."""
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         vocabulary = f.read()
-    encoded = byte_bpe.encode_documents(docs, vocabulary, public_tokenizers.PATTERN)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return byte_bpe.code_documents(docs, vocabulary, public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -50,7 +53,7 @@ STAGES = [
     ("byte-level BPE", bpe_stage),
 ]
 
-#: Fitted models and BPE merges have no SQL form; tests/llm holds the stages against brute force.
+#: Fitted models and BPE merges have no SQL form; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 

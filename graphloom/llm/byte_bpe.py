@@ -6,7 +6,7 @@ byte-level BPE. Texts are cut into pre-tokens by the vocabulary's pattern, pre-t
 as a whole is its own id), and decoding maps ids back to bytes.
 
 Defined cases: a null or empty text has no ids; repeated rows are encoded one by one; an empty table gives an empty
-result; extra columns are ignored by :func:`encode_documents`.
+result; texts of any length are encoded whole, pre-token by pre-token; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -152,6 +152,21 @@ def decode_documents(encoded: DataFrame, vocabulary: bytes, pattern: str) -> Dat
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, raw binary")
 
 
+def code_documents(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256): the ids of every row and the digest of the bytes decoded from them."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, pattern))
+    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+    def run(batches):
+        c = coder(*shared.value)
+        for b in batches:
+            coded = list(c.encode_all(texts_of(b)))
+            yield batch(out, doc_id=b.column("doc_id"), n_tokens=[len(x) for x in coded], ids=coded, decoded_sha256=[hashlib.sha256(c.decode(x)).hexdigest() for x in coded])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def round_trip(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded again, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, pattern))
