@@ -17,7 +17,8 @@ similarity 0.75 shares no bucket with probability 5e-6; the estimate's cut lies
 
 Defined cases: a null, empty or blank text has the empty set, links with nothing and is its own group; texts of fewer
 than five words have one shingle, the whole sequence; rows, not ids, are grouped, so a doc_id that occurs with two
-texts can be in two groups, and of exact repeats of a row :func:`drop_duplicates` keeps one; an empty table gives an
+texts can be in two groups, and of rows equal in id and text :func:`drop_duplicates` keeps the one whose columns have
+the lowest hash; texts of any length are read whole; an empty table gives an
 empty result; extra columns pass through :func:`drop_duplicates`; a row without doc_id takes part, never names a group
 that has another id, and its component_id is null if its group has none.
 """
@@ -44,7 +45,7 @@ WIDE, WIDE_ESTIMATE = 512, 0.67
 #: Bits of the filter that keeps texts without candidates from being moved: its size is fixed.
 FILTER_BITS = 1 << 23
 #: Members of a bucket that one task compares with at a time; words a worker remembers; shingles hashed at a time.
-BLOCK, MEMORY, STEP = 4096, 400_000, 8192
+BLOCK, MEMORY, STEP = 1024, 400_000, 8192
 _memory: dict[bytes, int] = {}
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _rng = np.random.default_rng(20240229)
@@ -276,12 +277,12 @@ def _block_pairs(tries: int):
 
 
 def _mixed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(key, band, node, component, main, blocks): members of buckets of three or more that hold several components."""
+    """(key, band, node, component, main, blocks, rounds): members of buckets of three or more that hold several components."""
     rows = shared.where("n > 2").select("key", "band", "node")
     rows = rows.withColumn("component", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     shares = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
-    mixed = mixed.where("kinds > 1").select("key", F.col("top.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = mixed.where("kinds > 1").select("key", F.col("top.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rounds"))
     return rows.join(mixed, "key")
 
 
@@ -302,8 +303,12 @@ def _residual(shared: DataFrame, label: DataFrame | None, signed: DataFrame, tri
     spark = shared.sparkSession
     rows = _mixed(shared, label).join(signed, "node")
     cols = ["key", "band", "node", "component", "bands", "wide"]
-    dealt = rows.select(*cols, F.lit(False).alias("query"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    asked = rows.where("component != main").select(*cols, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # Members and those that are held against them are both dealt into blocks, so a group has about 2 * BLOCK rows at most.
+    block, turn = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rounds"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = rows.select(*cols, F.lit(False).alias("query"), "blocks", block.cast("int").alias("own"), every("rounds").alias("turn"))
+    asked = rows.where("component != main").select(*cols, F.lit(True).alias("query"), "blocks", turn.cast("int").alias("turn"), every("blocks").alias("own"))
+    dealt, asked = (x.withColumn("block", F.col("turn") * F.col("blocks") + F.col("own")).drop("turn", "own", "blocks") for x in (dealt, asked))
     both = dealt.unionByName(asked).repartition(shuffle_partitions(spark), "key", "block").sortWithinPartitions("key", "block", F.desc("query"))
     return map_arrow(both.select("key", "block", "query", "band", "node", "component", "bands", "wide"), _block_pairs(tries), "a long, b long").distinct()
 
@@ -382,5 +387,5 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     kept = group_rows(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
     rows = own.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
-    one = Window.partitionBy("own_id", "own_key").orderBy("key")
+    one = Window.partitionBy("own_id", "own_key").orderBy(F.xxhash64(F.to_json("row")))
     return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")

@@ -4,7 +4,7 @@ import pytest
 
 from graphloom.llm.common import crc_mod  # noqa: F401
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text_key long, _id string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, own_key long, row string"
 
 
 def prose(r, n):

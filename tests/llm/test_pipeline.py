@@ -34,7 +34,7 @@ def sf_dir(spark, odd_rows, tmp_path_factory):
     near = rows[-1][1].split()
     rows += [(300 + k, " ".join([*near[:k], "other", *near[k + 1 :]]), "en", "s1", 1, None, "x") for k in (3, 30)]
     at = str(tmp_path_factory.mktemp("tables"))
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text_key long, _id string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, position string").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, int(i % 4 > 0 and i % 16 != 1), 0) for i in range(100, 240)] + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     return at
 
