@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import init, losses
@@ -19,7 +19,7 @@ from graphloom.operators import scoring as D
 from graphloom.operators import tables as T
 from graphloom.operators import train as O
 from graphloom.plans import schedules as S
-from graphloom.runtime import materialize, scratch_dir
+from graphloom.runtime import materialize, number_rows, scratch_dir
 from graphloom.sources import writers
 from graphloom.sources.fixtures import Fixture
 
@@ -84,8 +84,10 @@ def _pairs(x: Fixture) -> DataFrame:
     return O.train_pairs(batches, B.uniform_negatives(batches, x.n, NEGATIVES))
 
 
-def _scores(x: Fixture) -> DataFrame:
-    return materialize(O.distmult_scores(_pairs(x), x.embeddings(), x.relation_vectors()), "scores")
+def _scores(x: Fixture, vectors: bool = False) -> DataFrame:
+    """Scored pairs; their vectors are kept only where gradients are made of them."""
+    scored = O.distmult_scores(_pairs(x), x.embeddings(), x.relation_vectors())
+    return materialize(scored if vectors else scored.select("edge", "node", "label", "score"), "scores")
 
 
 # Preprocessing.
@@ -512,30 +514,68 @@ for _name, _scale in (("init_glorot", "sqrt(6.0::DOUBLE / (n + 8))"), ("init_uni
     )
 
 
-@query(name="init_normal")
-def init_normal(x: Fixture) -> DataFrame:
-    return _cells(x.nodes().select("id", init.normal_init(F.col("id"), 8, 0.0, 1.0).alias("vec")))
+_KEY = "id || '/' || i"
+for _name, _scale in (("init_normal", "1.0::DOUBLE"), ("init_glorot_normal", "sqrt(2.0::DOUBLE / (n + 8))")):
+    query(f"{BASE} SELECT id, CAST(i AS INTEGER) AS pos, round({_scale} * sqrt(-2 * ln(1 - {uniform_sql(_KEY, 'init')})) * cos(2 * pi() * {uniform_sql(_KEY, 'init2')}), 6) + 0.0::DOUBLE AS x FROM nodes, cnt, (SELECT unnest(range(8)) AS i)", _name)(
+        lambda x, g=_name == "init_glorot_normal": _cells(x.nodes().select("id", (init.glorot_normal(F.col("id"), 8, (x.n, 8)) if g else init.normal_init(F.col("id"), 8, 0.0, 1.0)).alias("vec")))
+    )
 
 
 # Storage.
-@query(f"{BASE} SELECT id, round(emb[1] + coalesce(a, 0), 6) AS x FROM emb LEFT JOIN (SELECT dst AS id, sum(c.emb[1]) AS a FROM e JOIN emb c ON c.id = src GROUP BY dst) USING (id)")
+@query(f"{BASE} SELECT id, CAST(i - 1 AS INTEGER) AS pos, round(emb[i] + coalesce(a, 0), 6) + 0.0::DOUBLE AS x FROM emb CROSS JOIN (SELECT unnest(range(1, 65)) AS i) LEFT JOIN (SELECT dst AS id, i, sum(c.emb[i]) AS a FROM e JOIN emb c ON c.id = src, (SELECT unnest(range(1, 65)) AS i) GROUP BY dst, i) USING (id, i)")
 def index_add(x: Fixture) -> DataFrame:
     """Every node's vector plus those of its in-neighbours."""
     emb = x.embeddings()
     values = x.edges().select("src", F.col("dst").alias("id")).join(emb.select(F.col("id").alias("src"), "emb"), "src").select("id", "emb")
-    return T.index_add(emb, values).select("id", r6(F.get("emb", F.lit(0))).alias("x"))
+    return _cells(T.index_add(emb, values).withColumnRenamed("emb", "vec"))
 
 
-@query(f"{BASE} SELECT id, round(CASE WHEN id % 3 = 0 THEN 2 * emb[1] ELSE emb[1] END, 6) AS x FROM emb")
+@query(f"{BASE} SELECT id, CAST(i - 1 AS INTEGER) AS pos, round(CASE WHEN id < ns THEN 2 * emb[i] ELSE emb[i] END, 6) + 0.0::DOUBLE AS x FROM emb, cnt, (SELECT unnest(range(1, 65)) AS i)")
 def index_put(x: Fixture) -> DataFrame:
+    """All node vectors after those of suppliers are overwritten."""
     emb = x.embeddings()
-    values = emb.where("id % 3 = 0").select("id", V.scale(F.col("emb"), F.lit(2.0)).alias("emb"))
-    return T.index_put(emb, values).select("id", r6(F.get("emb", F.lit(0))).alias("x"))
+    values = x.read("supplier").select(F.col("s_suppkey").alias("id")).join(emb, "id").select("id", V.scale(F.col("emb"), F.lit(2.0)).alias("emb"))
+    return _cells(T.index_put(emb, values).withColumnRenamed("emb", "vec"))
+
+
+#: All elements of a vector in one number: the sum of each times its place.
+_FOLD = "round(list_sum(list_transform(range(1, 65), lambda i: {}[i] * i)), 5)"
 
 
-@query(f"{BASE} SELECT e.edge, round(a.emb[1], 6) AS x FROM e JOIN emb a ON a.id = src")
+def _fold(c: str) -> object:
+    return F.round(F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 5).alias("x")
+
+
+@query(f"{BASE} SELECT e.edge, {_FOLD.format('a.emb')} AS x FROM e JOIN emb a ON a.id = src")
 def index_read(x: Fixture) -> DataFrame:
-    return T.index_read(x.edges().select(F.col("src").alias("id"), "edge"), x.embeddings()).select("edge", r6(F.get("emb", F.lit(0))).alias("x"))
+    return T.index_read(x.edges().select(F.col("src").alias("id"), "edge"), x.embeddings()).select("edge", _fold("emb"))
+
+
+@query(f"{BASE} SELECT id, {_FOLD.format('emb')} AS x FROM emb, cnt WHERE id >= ns AND id < ns + 100")
+def range_read(x: Fixture) -> DataFrame:
+    """The vectors of the first hundred parts, a range of the node table."""
+    return T.range_read(x.embeddings(), x.n - x.read("part").count(), 100).select("id", _fold("emb"))
+
+
+@query(f"{BASE} SELECT id, {_FOLD.format('emb')} AS x FROM emb UNION ALL SELECT id + n, {_FOLD.format('emb')} FROM emb, cnt")
+def append_rows(x: Fixture) -> DataFrame:
+    emb = x.embeddings()
+    return T.append(emb, emb.withColumn("id", F.col("id") + x.n)).select("id", _fold("emb"))
+
+
+@query(f"{BASE} SELECT src, rel, dst, row_number() OVER (ORDER BY dst, rel, src) - 1 AS position FROM e")
+def sorted_edges(x: Fixture) -> DataFrame:
+    """Edges by destination, and the places that they have in that order."""
+    rows = T.sort_rows(x.edges().select("src", "rel", "dst"), by_src=False)
+    return number_rows(rows, [F.col("dst"), F.col("rel"), F.col("src")], "position")
+
+
+@query(f"{BASE}, q AS (SELECT DISTINCT src AS id FROM e UNION SELECT DISTINCT dst FROM e), m AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS local FROM q) SELECT e.src, rel, e.dst, a.local AS src_local, b.local AS dst_local FROM e JOIN m a ON a.id = src JOIN m b ON b.id = dst")
+def local_edges(x: Fixture) -> DataFrame:
+    """Edges with the compact numbers of their ends."""
+    edges = materialize(x.edges().select("src", "rel", "dst"), "edges")
+    local = G.local_ids(edges.select(F.col("src").alias("id")), edges.select(F.col("dst").alias("id")))
+    return G.apply_local(G.apply_local(edges, local, "src"), local, "dst")
 
 
 # Training.
@@ -544,7 +584,7 @@ _GRAD = f"{PAIRS}, z AS (SELECT edge, max(score) AS m FROM sc GROUP BY edge), l
 
 
 def _gradients(x: Fixture) -> DataFrame:
-    nodes, _ = O.gradients(_scores(x))
+    nodes, _ = O.gradients(_scores(x, True))
     return nodes
 
 
@@ -579,6 +619,34 @@ def adam_step(x: Fixture) -> DataFrame:
     return _stepped(x, O.adam(F.col("emb"), F.col("g"), zero, zero, 1, 0.01)[0])
 
 
+_PRIOR = "emb[pos + 1]"
+_M, _V = f"(0.9::DOUBLE * (0.1::DOUBLE * {_PRIOR}) + (1 - 0.9::DOUBLE) * g)", f"(0.999::DOUBLE * {_PRIOR} * {_PRIOR} + (1 - 0.999::DOUBLE) * g * g)"
+_ADAM3 = f"{_PRIOR} - 0.01::DOUBLE / (1 - 0.9::DOUBLE ** 3) * {_M} / (sqrt(TOP) / sqrt(1 - 0.999::DOUBLE ** 3) + 1e-8::DOUBLE)"
+
+
+def _prior(x: Column) -> tuple[Column, Column]:
+    """Moments that an earlier step may have left, made of the vectors."""
+    return V.scale(x, F.lit(0.1)), V.multiply(x, x)
+
+
+@query(_STEP.replace("NEW", _ADAM3.replace("TOP", _V)))
+def adam_third_step(x: Fixture) -> DataFrame:
+    m, v = _prior(F.col("emb"))
+    return _stepped(x, O.adam(F.col("emb"), F.col("g"), m, v, 3, 0.01)[0])
+
+
+@query(_STEP.replace("NEW", _ADAM3.replace("TOP", f"greatest({_V}, 2 * {_PRIOR} * {_PRIOR})")))
+def amsgrad_step(x: Fixture) -> DataFrame:
+    m, v = _prior(F.col("emb"))
+    return _stepped(x, O.adam(F.col("emb"), F.col("g"), m, v, 3, 0.01, vmax=V.scale(v, F.lit(2.0)))[0])
+
+
+@query(_STEP.replace("NEW", f"{_PRIOR} - 0.1::DOUBLE / (1 + 2 * 0.1::DOUBLE) * (g + 0.01::DOUBLE * {_PRIOR}) / (sqrt({_PRIOR} * {_PRIOR} + (g + 0.01::DOUBLE * {_PRIOR}) ** 2) + 1e-10::DOUBLE)"))
+def dense_adagrad_step(x: Fixture) -> DataFrame:
+    """The third step of dense Adagrad with both decays."""
+    return _stepped(x, O.dense_adagrad(F.col("emb"), F.col("g"), _prior(F.col("emb"))[1], 0.1, 3, 0.1, 0.01)[0])
+
+
 @query()
 def train_epochs(x: Fixture) -> DataFrame:
     """Softmax loss of all edges before and after one epoch of sparse Adagrad."""
@@ -665,7 +733,7 @@ def report_scores(x: Fixture) -> DataFrame:
     return M.report_scores(ranked, scored).withColumn("score", r6("score"))
 
 
-@query(f"{BASE} SELECT id, round(emb[1], 6) AS x FROM emb")
+@query(f"{BASE} SELECT id, {_FOLD.format('emb')} AS x FROM emb")
 def checkpoint_roundtrip(x: Fixture) -> DataFrame:
     """Node vectors, written as a checkpoint and loaded again."""
     import uuid
@@ -673,7 +741,7 @@ def checkpoint_roundtrip(x: Fixture) -> DataFrame:
     keeper = writers.Checkpointer(x.spark, f"{scratch_dir(x.spark)}/model-{uuid.uuid4().hex}")
     keeper.save({"nodes": x.embeddings()}, {"epoch": 3})
     tables, _ = keeper.load(3)
-    return tables["nodes"].select("id", r6(F.get("emb", F.lit(0))).alias("x"))
+    return tables["nodes"].select("id", _fold("emb"))
 
 
 @query("SELECT date_trunc('day', ts) AS start, user_id, count(*) AS n FROM events GROUP BY ALL")

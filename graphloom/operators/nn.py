@@ -9,23 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
+from graphloom.operators.sums import reduce_vectors
 
 Matrix = list[list[float]]
 
 
-def _gather(cells: DataFrame, key: str, value: str = "x") -> DataFrame:
-    return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda c: c[value]).alias("vec"))
-
-
 def segment_sum(rows: DataFrame, key: str = "node") -> DataFrame:
-    """(key, vec): sums of vectors, one partial aggregation over (key, position)."""
-    cells = rows.select(key, F.posexplode("vec").alias("pos", "x")).groupBy(key, "pos").agg(F.sum("x").alias("x"))
-    return _gather(cells, key)
+    """(key, vec): sums of vectors."""
+    return reduce_vectors(rows, key, "vec", "vec")
 
 
 def segment_max(rows: DataFrame, key: str = "node") -> DataFrame:
-    cells = rows.select(key, F.posexplode("vec").alias("pos", "x")).groupBy(key, "pos").agg(F.max("x").alias("x"))
-    return _gather(cells, key)
+    """(key, vec): maxima of vectors, element by element."""
+    return reduce_vectors(rows, key, "vec", "vec", F.max)
 
 
 def attention_softmax(scores: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
+from graphloom.operators.sums import reduce_vectors
 
 
 def index_read(ids: DataFrame, table: DataFrame) -> DataFrame:
@@ -17,9 +18,7 @@ def index_read(ids: DataFrame, table: DataFrame) -> DataFrame:
 
 def index_add(table: DataFrame, values: DataFrame, column: str = "emb") -> DataFrame:
     """row += the sum of all values given for it; vectors of repeated ids are summed first."""
-    cells = values.select("id", F.posexplode(column).alias("pos", "x")).groupBy("id", "pos").agg(F.sum("x").alias("x"))
-    sums = cells.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("_add"))
-    joined = table.join(sums, "id", "left")
+    joined = table.join(reduce_vectors(values, "id", column, "_add"), "id", "left")
     return joined.withColumn(column, F.when(F.col("_add").isNull(), F.col(column)).otherwise(V.add(F.col(column), F.col("_add")))).drop("_add")
 
 

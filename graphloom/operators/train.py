@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import vectors as V
 from graphloom.operators.batches import assign_batches, global_collisions, negatives, with_chunks
 from graphloom.operators.scoring import get_decoder
+from graphloom.operators.sums import reduce_vectors
 from graphloom.runtime import materialize
 
 
@@ -117,16 +118,16 @@ def _pair_gradients(scored: DataFrame, decoder: str, loss: str, reduction: str,
 def gradients(scored: DataFrame, decoder: str = "DISTMULT", loss: str = "SOFTMAX_CE", reduction: str = "SUM", margin: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(node gradients (id, g), relation gradients (rel, g)) of a loss of the decoder's scores, by default the summed softmax.
 
-    Coefficients are joined to the scored pairs, each pair gives its three products, and one partial aggregation over
-    (id, position) sums them; nothing is collected.
+    Coefficients are joined to the scored pairs, each pair gives its three products, and one partial aggregation with a
+    buffer for each element sums them; nothing is collected.
     """
     nodes, rels = _pair_gradients(scored, decoder, loss, reduction, margin)
     return sum_vectors(nodes, "id"), sum_vectors(rels, "rel")
 
 
 def sum_vectors(rows: DataFrame, key: str) -> DataFrame:
-    cells = rows.select(key, F.posexplode("g").alias("pos", "x")).groupBy(key, "pos").agg(F.sum("x").alias("x"))
-    return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("g"))
+    """(key, g): sums of vectors."""
+    return reduce_vectors(rows, key, "g", "g")
 
 
 #: Replaced end, relation vector that scores it, state of that vector.
