@@ -84,10 +84,8 @@ def _pairs(x: Fixture) -> DataFrame:
     return O.train_pairs(batches, B.uniform_negatives(batches, x.n, NEGATIVES))
 
 
-def _scores(x: Fixture, vectors: bool = False) -> DataFrame:
-    """Scored pairs; their vectors are kept only where gradients are made of them."""
-    scored = O.distmult_scores(_pairs(x), x.embeddings(), x.relation_vectors())
-    return materialize(scored if vectors else scored.select("edge", "node", "label", "score"), "scores")
+def _scores(x: Fixture) -> DataFrame:
+    return materialize(O.distmult_scores(_pairs(x), x.embeddings(), x.relation_vectors()), "scores")
 
 
 # Preprocessing.
@@ -584,7 +582,7 @@ _GRAD = f"{PAIRS}, z AS (SELECT edge, max(score) AS m FROM sc GROUP BY edge), l
 
 
 def _gradients(x: Fixture) -> DataFrame:
-    nodes, _ = O.gradients(_scores(x, True))
+    nodes, _ = O.gradients(_scores(x), x.embeddings(), x.relation_vectors())
     return nodes
 
 

@@ -1,4 +1,4 @@
-"""Sums and maxima of vectors by key: one hash aggregate with a buffer for each element, no row for each element."""
+"""Sums and maxima of vectors by key."""
 
 from __future__ import annotations
 
@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Elements of a vector that one row of the aggregation holds; longer vectors take several rows.
-WIDTH = 64
+#: Longest vectors that are brought together with a buffer for each element.
+WIDTH = 256
 
 
-def reduce_vectors(rows: DataFrame, key: str, column: str, out: str, each: Callable[[Column], Column] = F.sum) -> DataFrame:
-    """(key, out): vectors of the same key brought together element by element; vectors may differ in length."""
-    last = F.greatest(F.ceil(F.size(column) / F.lit(WIDTH)).cast("int") - 1, F.lit(0))
-    parts = rows.where(F.col(column).isNotNull()).select(key, column, F.explode(F.sequence(F.lit(0), last)).alias("_part"))
-    cells = parts.select(key, "_part", *[F.get(column, F.col("_part") * WIDTH + i).alias(f"_{i}") for i in range(WIDTH)])
-    summed = cells.groupBy(key, "_part").agg(*[each(F.col(f"_{i}")).alias(f"_{i}") for i in range(WIDTH)])
-    packed = summed.select(key, F.struct("_part", F.array(*[f"_{i}" for i in range(WIDTH)]).alias("x")).alias("_x"))
-    whole = packed.groupBy(key).agg(F.sort_array(F.collect_list("_x")).alias("_x"))
-    return whole.select(key, F.filter(F.flatten(F.transform("_x", lambda p: p["x"])), lambda x: x.isNotNull()).alias(out))
+def reduce_vectors(rows: DataFrame, key: str, column: str, out: str, each: Callable[[Column], Column] = F.sum, width: int | None = None) -> DataFrame:
+    """(key, out): vectors of the same key brought together element by element.
+
+    Where the vectors' ``width`` is known and not above ``WIDTH``, one hash aggregate has a buffer for each element and
+    no row is made for each; else elements are rows of a partial aggregation over (key, position).
+    """
+    if width is not None and 0 < width <= WIDTH:
+        rows = rows.where(F.col(column).isNotNull()).groupBy(key).agg(*[each(F.get(column, F.lit(i))).alias(f"_{i}") for i in range(width)])
+        return rows.select(key, F.filter(F.array(*[f"_{i}" for i in range(width)]), lambda x: x.isNotNull()).alias(out))
+    cells = rows.select(key, F.posexplode(column).alias("pos", "x")).groupBy(key, "pos").agg(each("x").alias("x"))
+    return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias(out))

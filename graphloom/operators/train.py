@@ -11,7 +11,7 @@ from graphloom.functions import vectors as V
 from graphloom.operators.batches import assign_batches, global_collisions, negatives, with_chunks
 from graphloom.operators.scoring import get_decoder
 from graphloom.operators.sums import reduce_vectors
-from graphloom.runtime import materialize
+from graphloom.runtime import materialize, sized_broadcast
 
 
 def sgd(p: Column, g: Column, lr: float) -> Column:
@@ -92,42 +92,54 @@ def score_gradients(decoder: str, e: Column, r: Column, t: Column, score: Column
     raise ValueError(f"no training by {decoder}")
 
 
-def pair_scores(pairs: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str, vector: str = "emb") -> DataFrame:
-    """Rows (edge, src, rel, node, label) with e, r, t and the decoder's score; ``vector`` names the relation's column."""
+def vector_width(nodes: DataFrame) -> int:
+    """Length of a node table's vectors, by its first row."""
+    head = nodes.select(F.size("emb").alias("n")).first()
+    return head["n"] if head else 0
+
+
+def with_vectors(pairs: DataFrame, nodes: DataFrame, relations: DataFrame, vector: str = "emb") -> DataFrame:
+    """Rows with src, rel and node, and their vectors e, r and t; tables of a checked size are broadcast."""
+    width = 8 * vector_width(nodes) + 32
+    nodes, rels = sized_broadcast(nodes.select("id", "emb"), width), sized_broadcast(relations.select("rel", F.col(vector).alias("r")), width)
     e = nodes.select(F.col("id").alias("src"), F.col("emb").alias("e"))
     t = nodes.select(F.col("id").alias("node"), F.col("emb").alias("t"))
-    joined = pairs.join(e, "src").join(t, "node").join(relations.select("rel", F.col(vector).alias("r")), "rel")
-    return joined.withColumn("score", get_decoder(decoder).score(F.col("e"), F.col("r"), F.col("t")))
+    return pairs.join(e, "src").join(t, "node").join(rels, "rel")
+
+
+def pair_scores(pairs: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str = "DISTMULT", vector: str = "emb") -> DataFrame:
+    """Rows (edge, src, rel, node, label, score); ``vector`` names the relation's column."""
+    score = get_decoder(decoder).score(F.col("e"), F.col("r"), F.col("t"))
+    return with_vectors(pairs, nodes, relations, vector).select("edge", "src", "rel", "node", "label", score.alias("score"))
 
 
 def distmult_scores(pairs: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:
-    """Rows (edge, src, rel, node, label) with e (source), r, t (target) and score."""
-    e = nodes.select(F.col("id").alias("src"), F.col("emb").alias("e"))
-    t = nodes.select(F.col("id").alias("node"), F.col("emb").alias("t"))
-    joined = pairs.join(e, "src").join(t, "node").join(relations.select("rel", F.col("emb").alias("r")), "rel")
-    return joined.withColumn("score", V.dot(V.multiply(F.col("e"), F.col("r")), F.col("t")))
+    """Rows (edge, src, rel, node, label, score)."""
+    return pair_scores(pairs, nodes, relations)
 
 
-def _pair_gradients(scored: DataFrame, decoder: str, loss: str, reduction: str, margin: float) -> tuple[DataFrame, DataFrame]:
+def _pair_gradients(scored: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str, loss: str, reduction: str, margin: float, vector: str = "emb") -> tuple[DataFrame, DataFrame]:
     c = coefficients(scored.select("edge", "node", "label", "score"), loss, reduction, margin).select("edge", "node", "label", "coef")
-    each = scored.join(c, ["edge", "node", "label"])
+    narrow = scored.join(c, ["edge", "node", "label"]).select("src", "rel", "node", "score", "coef")
+    each = with_vectors(narrow, nodes, relations, vector)
     to_src, to_rel, to_dst = (V.scale(g, F.col("coef")).alias("g") for g in score_gradients(decoder, F.col("e"), F.col("r"), F.col("t"), F.col("score")))
     return each.select(F.col("src").alias("id"), to_src).unionByName(each.select(F.col("node").alias("id"), to_dst)), each.select("rel", to_rel)
 
 
-def gradients(scored: DataFrame, decoder: str = "DISTMULT", loss: str = "SOFTMAX_CE", reduction: str = "SUM", margin: float = 0.1) -> tuple[DataFrame, DataFrame]:
+def gradients(scored: DataFrame, node_table: DataFrame, relations: DataFrame, decoder: str = "DISTMULT", loss: str = "SOFTMAX_CE", reduction: str = "SUM", margin: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(node gradients (id, g), relation gradients (rel, g)) of a loss of the decoder's scores, by default the summed softmax.
 
-    Coefficients are joined to the scored pairs, each pair gives its three products, and one partial aggregation with a
+    Coefficients are joined to the scored pairs (no vectors among them), then the vectors are looked up, each pair gives its three products, and one partial aggregation with a
     buffer for each element sums them; nothing is collected.
     """
-    nodes, rels = _pair_gradients(scored, decoder, loss, reduction, margin)
-    return sum_vectors(nodes, "id"), sum_vectors(rels, "rel")
+    nodes, rels = _pair_gradients(scored, node_table, relations, decoder, loss, reduction, margin)
+    width = vector_width(node_table)
+    return sum_vectors(nodes, "id", width), sum_vectors(rels, "rel", width)
 
 
-def sum_vectors(rows: DataFrame, key: str) -> DataFrame:
+def sum_vectors(rows: DataFrame, key: str, width: int | None = None) -> DataFrame:
     """(key, g): sums of vectors."""
-    return reduce_vectors(rows, key, "g", "g")
+    return reduce_vectors(rows, key, "g", "g", width=width)
 
 
 #: Replaced end, relation vector that scores it, state of that vector.
@@ -181,6 +193,7 @@ def train_epoch(edges: DataFrame, nodes: DataFrame, relations: DataFrame, config
     """
     if config.inverse and "inv_state" not in relations.columns:
         relations = relations.withColumn("inv_state", F.transform("inv_emb", lambda x: F.lit(0.0)))
+    width = vector_width(nodes)
     total = nodes.agg((F.max("id") + 1).alias("n")).first()["n"]
     batches = materialize(with_chunks(assign_batches(edges, F.col("edge"), config.batch_size, f"epoch{epoch}"), config.chunks), "batches")
     count = batches.agg(F.coalesce(F.max("batch_id") + 1, F.lit(0)).alias("n")).first()["n"]
@@ -194,11 +207,11 @@ def train_epoch(edges: DataFrame, nodes: DataFrame, relations: DataFrame, config
             if config.filtered:
                 known = global_collisions(own, edges, corrupt).withColumn("label", F.lit(0))
                 pairs = pairs.join(known, ["edge", "node", "label"], "left_anti")
-            scored = pair_scores(pairs, nodes, relations, config.decoder, vector)
-            to_nodes, to_rels = _pair_gradients(scored, config.decoder, config.loss, config.reduction, config.margin)
+            scored = materialize(pair_scores(pairs, nodes, relations, config.decoder, vector), "scores")
+            to_nodes, to_rels = _pair_gradients(scored, nodes, relations, config.decoder, config.loss, config.reduction, config.margin, vector)
             node_rows = to_nodes if node_rows is None else node_rows.unionByName(to_nodes)
-            steps.append((vector, state, sum_vectors(to_rels, "rel")))
-        new = materialize(apply_adagrad(nodes, sum_vectors(node_rows, "id"), "id", config.lr), "nodes")
+            steps.append((vector, state, sum_vectors(to_rels, "rel", width)))
+        new = materialize(apply_adagrad(nodes, sum_vectors(node_rows, "id", width), "id", config.lr), "nodes")
         for vector, state, g in steps:
             relations = apply_adagrad(relations, g, "rel", config.relation_lr, vector, state)
         nodes, relations = new, materialize(relations, "relations")

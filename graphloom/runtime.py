@@ -29,9 +29,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder shared by driver and executors (``spark.checkpoint.dir``); where it is unset, a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="graphloom-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -45,6 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table's rows, counted before the join, up to which it is sent to every executor.
+SMALL_BYTES = 64 << 20
+
+
+def sized_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if it is small, by its count; a larger table is left to a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -59,8 +59,9 @@ def test_gradients_match_finite_differences(spark):
         s = [sum(a * b * c for a, b, c in zip(n[0], rels[0][1], n[k], strict=True)) for k in (1, 2)]
         return math.log(sum(map(math.exp, s))) - s[0]
 
-    scored = train.distmult_scores(pairs, spark.createDataFrame(nodes, "id long, emb array<double>"), spark.createDataFrame(rels, "rel long, emb array<double>, inv_emb array<double>"))
-    got = {r["id"]: r["g"] for r in train.gradients(scored)[0].collect()}
+    tables = spark.createDataFrame(nodes, "id long, emb array<double>"), spark.createDataFrame(rels, "rel long, emb array<double>, inv_emb array<double>")
+    scored = train.distmult_scores(pairs, *tables)
+    got = {r["id"]: r["g"] for r in train.gradients(scored, *tables)[0].collect()}
     for i in range(3):
         for d in range(2):
             up = [(k, [x + (1e-6 if (k, j) == (i, d) else 0) for j, x in enumerate(e)]) for k, e in nodes]
@@ -104,3 +105,18 @@ def test_model_trains_both_sides_by_its_own_decoder(spark):
     config.training.negatives.method = NegativeMethod.GAN
     with pytest.raises(ValueError):
         model.train()
+
+
+def test_vectors_of_any_length_are_summed(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators.sums import reduce_vectors
+
+    rows = [(k, [float(k + i) for i in range(n)]) for k, n in ((1, 130), (1, 130), (2, 64), (3, 3), (3, 5), (4, 0))] + [(5, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r["id"]: r["s"] for r in reduce_vectors(df, "id", "v", "s").collect()}
+    assert got == {1: [2.0 * (1 + i) for i in range(130)], 2: [2.0 + i for i in range(64)], 3: [6.0, 8.0, 10.0, 6.0, 7.0]}
+    known = {r["id"]: r["s"] for r in reduce_vectors(df, "id", "v", "s", width=130).collect()}
+    assert known == got | {4: []}
+    top = {r["id"]: r["s"] for r in reduce_vectors(df, "id", "v", "s", F.max).collect()}
+    assert top[1] == [1.0 + i for i in range(130)]
