@@ -9,13 +9,13 @@ fingerprint is the sketch as text (:func:`parse` reads it).
 
 Two texts are compared by their sketches: the larger is folded to the groups of the smaller, one is subtracted from the
 other, which cancels what the texts share, and peeling takes out cells that hold one digest until nothing is left. A
-group that does not peel was too small: its digests are dealt into four groups by their next two bits, which makes four
-times the cells, again and again until all peel; after all 64 bits a group holds one digest at most, so none is left
-out. The likeness is 1 - d / (a + b) for d recovered digests of a and b distinct ones, and 1 for two empty texts.
+group that does not peel was too small: its digests, but for those recovered, are dealt into ``2 ** BITS`` groups by their
+next bits, which makes as many times the cells, again and again until all peel; after all 64 bits a group holds one digest
+of a text at most, so none is left out. The likeness is 1 - d / (a + b) for d recovered digests of a and b distinct ones, and 1 for two empty texts.
 
 The next document comes from a window over ranges of (doc_id, text hash) whose borders are rows of the table; the rows
 at a border are also sent, as guests, to the range before, so every range finds its successor in one shuffle of the
-texts. An id that holds more rows than a range (null among them) is split by text hash.
+texts. A text is sketched behind that shuffle, once for itself and for the row before it. An id that holds more rows than a range (null among them) is split by text hash.
 
 Defined cases: null texts are empty; an empty or blank text has an empty sketch; documents are ordered by doc_id (null
 first), ties by text hash, and repeated rows follow each other; the last row's next is the first, a single row's next is
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import shuffle_partitions
 
-#: Most words of a paragraph; cells of a third of a group; digests of a group; peeling rounds of a try; id ranges for each shuffle partition.
-PARAGRAPH_WORDS, THIRD, SHARE, ROUNDS, RANGES = 16, 6, 16, 10, 8
+#: Most words of a paragraph; cells of a third of a group; digests of a group; peeling rounds of a try; bits that deal a group anew; id ranges for each shuffle partition.
+PARAGRAPH_WORDS, THIRD, SHARE, ROUNDS, BITS, RANGES = 16, 6, 16, 10, 2, 8
 #: Fixed value: a word that ends so ends its paragraph: sentence marks, and the letters whose code is a multiple of 7.
 ENDS = ".!?;:FMTbipw"
 _PIECE = rf"(?:[^ \t-\r]++(?<![{ENDS}])[ \t]++){{0,{PARAGRAPH_WORDS - 1}}}[^ \t-\r]++"
@@ -43,12 +43,12 @@ _CELLS = 3 * THIRD
 
 
 def _hash(k: Column) -> Column:
-    return F.xxhash64(k, F.lit(1))
+    return F.xxhash64(k, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _cells_of(h: Column) -> Column:
-    """The three cells of a digest with the hash ``h``, one in each third, as bits."""
-    slot = lambda i: F.pmod(F.shiftrightunsigned(h, 32 + 10 * i).bitwiseAND(F.lit(0x3FF)), F.lit(THIRD)).cast("int") + F.lit(THIRD * i)
+def _cells_of(c: Column) -> Column:
+    """The three cells of a digest with the check hash ``c``, one in each third, as bits."""
+    slot = lambda i: (F.shiftright(c, 10 * i).bitwiseAND(F.lit(0x3FF)) % F.lit(THIRD)).cast("int") + F.lit(THIRD * i)
     bit = lambda i: F.call_function("shiftleft", F.lit(1), slot(i))
     return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
 
@@ -56,8 +56,8 @@ def _cells_of(h: Column) -> Column:
 def digests(text: Column) -> Column:
     """Distinct paragraph digests: array of (k, c, m): digest, check hash, its cells as bits."""
     keys = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
-    hashed = F.transform(keys, lambda k: F.struct(k.alias("k"), _hash(k).alias("h")))
-    return F.transform(hashed, lambda x: F.struct(x["k"].alias("k"), x["h"].bitwiseAND(F.lit(0xFFFFFFFF)).alias("c"), _cells_of(x["h"]).alias("m")))
+    hashed = F.transform(keys, lambda k: F.struct(k.alias("k"), _hash(k).alias("c")))
+    return F.transform(hashed, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"), _cells_of(x["c"]).alias("m")))
 
 
 def levels(digests: Column) -> Column:
@@ -72,20 +72,24 @@ def grouped(digests: Column, level: Column) -> Column:
     return F.when(level > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(level, F.lit(1))), F.array(digests), halve)).otherwise(F.array(digests))
 
 
-def _put(sign: int):
-    return lambda a, x: F.struct((a["n"] + F.lit(sign)).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
+def _put(signed: bool):
+    return lambda a, x: F.struct((a["n"] + (x["n"] if signed else F.lit(1))).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _in(j: Column):
     return lambda x: F.getbit(x["m"], j) == 1
 
 
-def _cells(added: Column, taken: Column | None = None) -> Column:
-    """The cells of one group of the digests ``added``, less those of ``taken``."""
+def _cells(digests: Column, signed: bool = False) -> Column:
+    """The cells of one group of digests; signed ones are added or taken out by their n."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    one = lambda j: F.aggregate(F.filter(added, _in(j)), empty, _put(1))
-    both = lambda j: F.aggregate(F.filter(taken, _in(j)), one(j), _put(-1))
-    return F.transform(F.array(*map(F.lit, range(_CELLS))), one if taken is None else both)
+    one = lambda j: F.aggregate(F.filter(digests, _in(j)), empty, _put(signed))
+    return F.transform(F.array(*map(F.lit, range(_CELLS))), one)
 
 
 def sketch(groups: Column) -> Column:
@@ -141,20 +145,22 @@ _ITEMS = "array<struct<n:int,k:bigint,c:bigint,m:int>>"
 
 
 def peel(cells: Column, start: int | Column = _FIND) -> Column:
-    """(cells, found, items, state) of a group after ``ROUNDS`` rounds; found: the (n, k, c, m) recovered, n being the side, 1 or -1."""
+    """(found, state) of a group after ``ROUNDS`` rounds; found: the (n, k, c, m) recovered, n being the side, 1 or -1."""
     none = F.array().cast(_ITEMS)
-    pure = lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _hash(c["k"]).bitwiseAND(F.lit(0xFFFFFFFF)))
-    item = lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), _cells_of(_hash(c["k"])).alias("m"))
+    pure = lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _hash(c["k"]))
+    item = lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), _cells_of(c["c"]).alias("m"))
     take = lambda cell, p: F.struct((cell["n"] - p["n"]).alias("n"), cell["k"].bitwiseXOR(p["k"]).alias("k"), cell["c"].bitwiseXOR(p["c"]).alias("c"))
     group = lambda cells, found, items, state: F.struct(cells.alias("cells"), found.alias("found"), items.alias("items"), state.alias("state"))
 
     def once(g: Column, _: Column) -> Column:
-        find = group(g["cells"], g["found"], F.array_distinct(F.transform(F.filter(g["cells"], pure), item)), F.lit(_TAKE))
+        find = group(g["cells"], g["found"], F.transform(F.array_distinct(F.filter(g["cells"], pure)), item), F.lit(_TAKE))
         end = group(g["cells"], g["found"], none, F.when(F.forall(g["cells"], _clear), F.lit(_DONE)).otherwise(F.lit(_STUCK)))
-        left = F.transform(g["cells"], lambda c, j: F.aggregate(F.filter(g["items"], _in(j)), c, take))
+        touched = F.aggregate(g["items"], F.lit(0), lambda m, p: m.bitwiseOR(p["m"]))
+        less = lambda c, j: F.aggregate(F.filter(g["items"], _in(j)), c, take)
+        left = _let(touched, lambda m: F.transform(g["cells"], lambda c, j: F.when(F.getbit(m, j) == 1, less(c, j)).otherwise(c)))
         return F.when(g["state"] == _FIND, find).when(g["state"] > _TAKE, g).when(F.size(g["items"]) == 0, end).otherwise(group(left, F.concat(g["found"], g["items"]), none, F.lit(_FIND)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), group(cells, none, none, F.lit(start) if isinstance(start, int) else start), once)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), group(cells, none, none, F.lit(start) if isinstance(start, int) else start), once, lambda g: F.struct(g["found"].alias("found"), g["state"].alias("state")))
 
 
 def first_try(a: Column, b: Column) -> Column:
@@ -164,30 +170,30 @@ def first_try(a: Column, b: Column) -> Column:
 
 def retried(tried: Column, a: Column, b: Column) -> Column:
     """The items in one of two texts only, from the first try, and for groups that did not peel from their digests ``a``
-    and ``b`` (in groups as their sketches have them) with four times the cells, again and again."""
+    and ``b`` (in groups as their sketches have them) with ``2 ** BITS`` times the cells, again and again."""
     least = F.size(tried)
 
-    def own(groups: Column, i: Column) -> Column:
+    def own(groups: Column, i: Column, sign: int) -> Column:
         width = (F.size(groups) / least).cast("int")
-        return F.flatten(F.slice(groups, i * width + 1, width))
+        signed = lambda x: F.struct(F.lit(sign).alias("n"), x["k"].alias("k"), x["c"].alias("c"), x["m"].alias("m"))
+        return F.transform(F.flatten(F.slice(groups, i * width + 1, width)), signed)
 
+    done = lambda g: g["state"] == _DONE
+    found_in = lambda groups: F.flatten(F.transform(groups, lambda g: g["found"]))
+    hold = lambda pending, found: F.struct(pending.alias("pending"), found.alias("found"))
     failed = F.filter(F.sequence(F.lit(0), least - 1), lambda i: F.get(tried, i)["state"] != _DONE)
-    pending = F.transform(failed, lambda i: F.struct(own(a, i).alias("a"), own(b, i).alias("b")))
-    done = lambda t: t["g"]["state"] == _DONE
-    hold = lambda pending, tried, found: F.struct(pending.alias("pending"), tried.alias("tried"), found.alias("found"))
-    found = F.flatten(F.transform(F.filter(tried, lambda g: g["state"] == _DONE), lambda g: g["found"]))
-    attempt = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(_cells(p["a"], p["b"])).alias("g"))
-    no_tries = F.filter(F.transform(pending, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.get(tried, F.lit(0)).alias("g"))), lambda t: F.lit(False))
+    pending = F.transform(failed, lambda i: F.array_except(F.concat(own(a, i, 1), own(b, i, -1)), F.get(tried, i)["found"]))
 
-    def step(held: Column, s: Column) -> Column:
-        quarter = lambda x: F.call_function("shiftrightunsigned", F.call_function("shiftleft", x["k"], F.log2(least).cast("int") + s), F.lit(62)).cast("int")
-        split = lambda p: F.transform(F.array(*map(F.lit, range(4))), lambda q: F.struct(F.filter(p["a"], lambda x: quarter(x) == q).alias("a"), F.filter(p["b"], lambda x: quarter(x) == q).alias("b")))
-        more = hold(F.slice(held["pending"], 1, 0), F.transform(F.flatten(F.transform(held["pending"], split)), attempt), held["found"])
-        left = F.transform(F.filter(held["tried"], lambda t: ~done(t)), lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b")))
-        got = F.concat(held["found"], F.flatten(F.transform(F.filter(held["tried"], done), lambda t: t["g"]["found"])))
-        return F.when(F.size(held["pending"]) > 0, more).when(F.size(held["tried"]) > 0, hold(left, F.slice(held["tried"], 1, 0), got)).otherwise(held)
+    def step(held: Column, used: Column) -> Column:
+        part = lambda x: F.call_function("shiftrightunsigned", F.call_function("shiftleft", x["k"], used), F.lit(64 - BITS))
+        split = lambda p: F.transform(F.array(*[F.lit(q).cast("long") for q in range(1 << BITS)]), lambda q: F.filter(p, lambda x: part(x) == q))
+        parts = F.filter(F.flatten(F.transform(held["pending"], split)), lambda p: F.size(p) > 0)
+        attempts = F.transform(parts, lambda p: F.struct(p.alias("p"), peel(_cells(p, True)).alias("g")))
+        failures = lambda t: F.transform(F.filter(t, lambda x: ~done(x["g"])), lambda x: F.array_except(x["p"], x["g"]["found"]))
+        more = _let(attempts, lambda t: hold(failures(t), F.concat(held["found"], found_in(F.transform(t, lambda x: x["g"])))))
+        return F.when(F.size(held["pending"]) > 0, more).otherwise(held)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(65)), hold(pending, no_tries, found), step)["found"]
+    return F.aggregate(F.sequence(F.log2(least).cast("int"), F.lit(63), F.lit(BITS)), hold(pending, found_in(tried)), step)["found"]
 
 
 def likeness(a: Column, b: Column, items: Column) -> Column:
@@ -209,6 +215,11 @@ def compare(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
 _LOWEST = -(1 << 63)
 
 
+def _sketched(rows: DataFrame) -> DataFrame:
+    """``rows`` with the groups and the cells of their column ``digests``."""
+    return rows.withColumn("groups", grouped(F.col("digests"), levels(F.col("digests")))).withColumn("cells", sketch(F.col("groups"))).drop("digests")
+
+
 def _borders(own: DataFrame, n: int) -> list[tuple[bool, int, int]]:
     """About ``n`` borders (known, doc_id, text hash) between ranges, the first below all rows.
 
@@ -235,7 +246,8 @@ def _borders(own: DataFrame, n: int) -> list[tuple[bool, int, int]]:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next): each row with the text of the row that follows it by id, the first row after the last."""
+    """(doc_id, text, sketch, next, next_sketch): each row with the text and the sketch (groups, cells) of the row that follows
+    it by id, the first row after the last."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("known", F.col("doc_id").isNotNull()).withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("hash", F.xxhash64("text"))
     borders = _borders(own, shuffle_partitions(docs.sparkSession) * RANGES)
@@ -254,8 +266,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     lowest = F.col("range") == 1
     here, before = place(F.col("range"), False, F.lit(False)), place(F.when(lowest, F.lit(len(borders))).otherwise(F.col("range") - 1), True, lowest)
     rows = own.withColumn("place", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here)))).select("doc_id", "text", "place.*")
+    rows = _sketched(rows.repartition("range").withColumn("digests", digests(F.col("text"))))
     order = Window.partitionBy("range").orderBy("wrap", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return rows.withColumn("next", F.lead("text").over(order)).where("not guest").select("doc_id", "text", "next")
+    following = F.lead(F.struct("text", "groups", "cells")).over(order)
+    return rows.withColumn("next", following).where("not guest").select("doc_id", "text", F.struct("groups", "cells").alias("sketch"), F.col("next.text").alias("next"), F.struct("next.groups", "next.cells").alias("next_sketch"))
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -267,15 +281,14 @@ def edited_text(text: Column, following: Column) -> Column:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row and of its edited text, and the likenesses to the edited and the next text."""
     rows = with_next(docs).withColumn("edited", edited_text(F.col("text"), F.col("next")))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.array("text", "edited", "next").alias("texts"))
-    rows = rows.withColumn("digests", F.transform("texts", lambda t: digests(t))).drop("texts")
-    rows = rows.withColumn("groups", F.transform("digests", lambda d: grouped(d, levels(d))))
-    rows = rows.withColumn("cells", F.transform("groups", lambda g: sketch(g)))
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", digests(F.col("edited")).alias("digests"))
+    rows = _sketched(rows).select("doc_id", "n_chars", "edited_sha256", F.array("sketch", F.struct("groups", "cells"), "next_sketch").alias("sketches"))
+    groups, cells = (lambda i: F.get("sketches", i)["groups"]), (lambda i: F.get("sketches", i)["cells"])
     other = F.array(F.lit(1), F.lit(2))
-    rows = rows.withColumn("tried", F.transform(other, lambda i: first_try(F.get("cells", F.lit(0)), F.get("cells", i))))
-    rows = rows.withColumn("items", F.transform(other, lambda i: F.size(retried(F.get("tried", i - 1), F.get("groups", F.lit(0)), F.get("groups", i)))))
-    near = lambda i: likeness(F.get("digests", F.lit(0)), F.get("digests", F.lit(i)), F.get("items", F.lit(i - 1)))
-    prints = F.transform(F.slice("cells", 1, 2), lambda c: fingerprint(c))
+    rows = rows.withColumn("tried", F.transform(other, lambda i: first_try(cells(F.lit(0)), cells(i))))
+    rows = rows.withColumn("items", F.transform(other, lambda i: F.size(retried(F.get("tried", i - 1), groups(F.lit(0)), groups(i)))))
+    near = lambda i: likeness(F.flatten(groups(F.lit(0))), F.flatten(groups(F.lit(i))), F.get("items", F.lit(i - 1)))
+    prints = F.transform(F.slice("sketches", 1, 2), lambda x: fingerprint(x["cells"]))
     return rows.withColumn("prints", prints).select(
         "doc_id", "n_chars", "edited_sha256", F.get("prints", F.lit(0)).alias("fingerprint"), F.get("prints", F.lit(1)).alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next")
     )
