@@ -10,7 +10,7 @@ fingerprint is the sketch as text (:func:`parse` reads it).
 Two texts are compared by their sketches: the larger is folded to the groups of the smaller, one is subtracted from the
 other, which cancels what the texts share, and peeling takes out cells that hold one digest until nothing is left. A
 group that does not peel was too small: its digests are dealt into four groups by their next two bits, which makes four
-times the cells, again and again until all peel; after all 64 bits a group holds one digest at most, so none is left
+times the cells (a group of ``HALVED`` at most into two at first), again and again until all peel; after all 64 bits a group holds one digest at most, so none is left
 out. The likeness is 1 - d / (a + b) for d recovered digests of a and b distinct ones, and 1 for two empty texts.
 
 The next document comes from a window over ranges of (doc_id, text hash) whose borders are rows of the table; the rows
@@ -35,6 +35,8 @@ from graphloom.llm.common import shuffle_partitions
 
 #: Most words of a paragraph; cells of a third of a group; digests of a group; peeling rounds of a try; id ranges for each shuffle partition.
 PARAGRAPH_WORDS, THIRD, SHARE, ROUNDS, RANGES = 16, 6, 16, 10, 8
+#: Most digests of a group of two texts that its first retry halves; larger ones are dealt into four.
+HALVED = 20
 #: Fixed value: a word that ends so ends its paragraph: sentence marks, and the letters whose code is a multiple of 7.
 ENDS = ".!?;:FMTbipw"
 _PIECE = rf"(?:[^ \t-\r]++(?<![{ENDS}])[ \t]++){{0,{PARAGRAPH_WORDS - 1}}}[^ \t-\r]++"
@@ -67,8 +69,8 @@ def levels(digests: Column) -> Column:
 
 def grouped(digests: Column, level: Column) -> Column:
     """The digests of each of ``2 ** level`` groups, in the order of their top bits."""
-    half = lambda v, i: lambda x: F.getbit(x["k"], F.lit(64) - i) == v
-    halve = lambda parts, i: F.flatten(F.transform(parts, lambda p: F.array(F.filter(p, half(0, i)), F.filter(p, half(1, i)))))
+    upper = lambda i: lambda x: F.getbit(x["k"], F.lit(64) - i).cast("boolean")
+    halve = lambda parts, i: F.flatten(F.transform(parts, lambda p: F.array(F.filter(p, lambda x: ~upper(i)(x)), F.filter(p, upper(i)))))
     return F.when(level > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(level, F.lit(1))), F.array(digests), halve)).otherwise(F.array(digests))
 
 
@@ -77,7 +79,7 @@ def _put(sign: int):
 
 
 def _in(j: Column):
-    return lambda x: F.getbit(x["m"], j) == 1
+    return lambda x: F.getbit(x["m"], j).cast("boolean")
 
 
 def _cells(added: Column, taken: Column | None = None) -> Column:
@@ -138,56 +140,72 @@ def crowded(cells: Column) -> Column:
 #: States of peeling: pure cells are to be found, to be taken out; it ended with cells left, or with none.
 _FIND, _TAKE, _STUCK, _DONE = range(4)
 _ITEMS = "array<struct<n:int,k:bigint,c:bigint,m:int>>"
-
-
-def peel(cells: Column, start: int | Column = _FIND) -> Column:
-    """(cells, found, items, state) of a group after ``ROUNDS`` rounds; found: the (n, k, c, m) recovered, n being the side, 1 or -1."""
-    none = F.array().cast(_ITEMS)
-    pure = lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _hash(c["k"]).bitwiseAND(F.lit(0xFFFFFFFF)))
-    item = lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), _cells_of(_hash(c["k"])).alias("m"))
+_KEYS = "array<bigint>"
+
+
+def peel(cells: Column, hopeless: Column | None = None) -> Column:
+    """(cells, plus, minus, items, state) of a group after ``ROUNDS`` rounds: plus and minus hold the digests recovered of
+    either side. A ``hopeless`` group is stuck at once. Spark copies the whole state at every step, so it holds bare digests, and no cells once peeling ended."""
+    none, no_keys = F.array().cast(_ITEMS), F.array().cast(_KEYS)
+    hashed = lambda k: F.struct(k.alias("k"), _hash(k).alias("h"))
+    item = lambda n: lambda x: F.struct(F.lit(n).alias("n"), x["k"].alias("k"), x["h"].bitwiseAND(F.lit(0xFFFFFFFF)).alias("c"), _cells_of(x["h"]).alias("m"))
+    pure = lambda n: lambda c: (c["n"] == n) & (c["c"] == _hash(c["k"]).bitwiseAND(F.lit(0xFFFFFFFF)))
+    # Distinct keys of a side: a set of numbers costs far less than one of structs, which Spark compares pair by pair.
+    side = lambda cells, n: F.transform(F.transform(F.array_distinct(F.transform(F.filter(cells, pure(n)), lambda c: c["k"])), hashed), item(n))
+    keys = lambda items, n: F.transform(F.filter(items, lambda x: x["n"] == n), lambda x: x["k"])
     take = lambda cell, p: F.struct((cell["n"] - p["n"]).alias("n"), cell["k"].bitwiseXOR(p["k"]).alias("k"), cell["c"].bitwiseXOR(p["c"]).alias("c"))
-    group = lambda cells, found, items, state: F.struct(cells.alias("cells"), found.alias("found"), items.alias("items"), state.alias("state"))
+    group = lambda cells, plus, minus, items, state: F.struct(cells.alias("cells"), plus.alias("plus"), minus.alias("minus"), items.alias("items"), state.alias("state"))
 
     def once(g: Column, _: Column) -> Column:
-        find = group(g["cells"], g["found"], F.array_distinct(F.transform(F.filter(g["cells"], pure), item)), F.lit(_TAKE))
-        end = group(g["cells"], g["found"], none, F.when(F.forall(g["cells"], _clear), F.lit(_DONE)).otherwise(F.lit(_STUCK)))
+        find = group(g["cells"], g["plus"], g["minus"], F.concat(side(g["cells"], 1), side(g["cells"], -1)), F.lit(_TAKE))
+        end = group(F.slice(g["cells"], 1, 0), g["plus"], g["minus"], none, F.when(F.forall(g["cells"], _clear), F.lit(_DONE)).otherwise(F.lit(_STUCK)))
         left = F.transform(g["cells"], lambda c, j: F.aggregate(F.filter(g["items"], _in(j)), c, take))
-        return F.when(g["state"] == _FIND, find).when(g["state"] > _TAKE, g).when(F.size(g["items"]) == 0, end).otherwise(group(left, F.concat(g["found"], g["items"]), none, F.lit(_FIND)))
+        taken = group(left, F.concat(g["plus"], keys(g["items"], 1)), F.concat(g["minus"], keys(g["items"], -1)), none, F.lit(_FIND))
+        return F.when(g["state"] > _TAKE, g).when(g["state"] == _FIND, find).when(F.size(g["items"]) == 0, end).otherwise(taken)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), group(cells, none, none, F.lit(start) if isinstance(start, int) else start), once)
+    begin = group(cells, no_keys, no_keys, none, F.lit(_FIND))
+    if hopeless is not None:
+        begin = F.when(hopeless, group(F.slice(cells, 1, 0), no_keys, no_keys, none, F.lit(_STUCK))).otherwise(begin)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), begin, once)
 
 
 def first_try(a: Column, b: Column) -> Column:
     """Peeled groups of two subtracted sketches; crowded ones are left as they are."""
-    return F.transform(subtracted(a, b), lambda g: peel(g, F.when(crowded(g), F.lit(_STUCK)).otherwise(F.lit(_FIND))))
+    return F.transform(subtracted(a, b), lambda g: peel(g, crowded(g)))
 
 
 def retried(tried: Column, a: Column, b: Column) -> Column:
-    """The items in one of two texts only, from the first try, and for groups that did not peel from their digests ``a``
-    and ``b`` (in groups as their sketches have them) with four times the cells, again and again."""
+    """The digests in one of two texts only, from the first try, and for groups that did not peel from their digests ``a``
+    and ``b`` (in groups as their sketches have them) with twice or four times the cells, again and again."""
     least = F.size(tried)
+    used = F.log2(least).cast("int")
+    recovered = lambda g: F.concat(g["plus"], g["minus"])
 
     def own(groups: Column, i: Column) -> Column:
         width = (F.size(groups) / least).cast("int")
         return F.flatten(F.slice(groups, i * width + 1, width))
 
+    part = lambda a, b, at: F.struct(a.alias("a"), b.alias("b"), at.alias("at"))
     failed = F.filter(F.sequence(F.lit(0), least - 1), lambda i: F.get(tried, i)["state"] != _DONE)
-    pending = F.transform(failed, lambda i: F.struct(own(a, i).alias("a"), own(b, i).alias("b")))
+    pending = F.transform(failed, lambda i: part(own(a, i), own(b, i), used))
     done = lambda t: t["g"]["state"] == _DONE
     hold = lambda pending, tried, found: F.struct(pending.alias("pending"), tried.alias("tried"), found.alias("found"))
-    found = F.flatten(F.transform(F.filter(tried, lambda g: g["state"] == _DONE), lambda g: g["found"]))
-    attempt = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(_cells(p["a"], p["b"])).alias("g"))
-    no_tries = F.filter(F.transform(pending, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.get(tried, F.lit(0)).alias("g"))), lambda t: F.lit(False))
+    found = F.flatten(F.transform(F.filter(tried, lambda g: g["state"] == _DONE), recovered))
+    attempt = lambda p: F.struct(p.alias("p"), peel(_cells(p["a"], p["b"])).alias("g"))
+    no_tries = F.filter(F.transform(F.slice(pending, 1, 0), lambda p: F.struct(p.alias("p"), F.get(tried, F.lit(0)).alias("g"))), lambda t: F.lit(False))
 
     def step(held: Column, s: Column) -> Column:
-        quarter = lambda x: F.call_function("shiftrightunsigned", F.call_function("shiftleft", x["k"], F.log2(least).cast("int") + s), F.lit(62)).cast("int")
-        split = lambda p: F.transform(F.array(*map(F.lit, range(4))), lambda q: F.struct(F.filter(p["a"], lambda x: quarter(x) == q).alias("a"), F.filter(p["b"], lambda x: quarter(x) == q).alias("b")))
+        # The bits that deal a group: one for a small group at its first retry, else two, so 64 bits take 33 retries at most.
+        bits = lambda p: F.when((s == 0) & (F.size(p["a"]) + F.size(p["b"]) <= HALVED), F.lit(1)).otherwise(F.lit(2))
+        digit = lambda x, p, n: F.call_function("shiftrightunsigned", F.call_function("shiftleft", x["k"], p["at"]), F.lit(64 - n))
+        deal = lambda p, n: F.transform(F.array(*[F.lit(q).cast("long") for q in range(2**n)]), lambda q: part(F.filter(p["a"], lambda x: digit(x, p, n) == q), F.filter(p["b"], lambda x: digit(x, p, n) == q), p["at"] + F.lit(n)))
+        split = lambda p: F.when(bits(p) == 1, deal(p, 1)).otherwise(deal(p, 2))
         more = hold(F.slice(held["pending"], 1, 0), F.transform(F.flatten(F.transform(held["pending"], split)), attempt), held["found"])
-        left = F.transform(F.filter(held["tried"], lambda t: ~done(t)), lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b")))
-        got = F.concat(held["found"], F.flatten(F.transform(F.filter(held["tried"], done), lambda t: t["g"]["found"])))
+        left = F.transform(F.filter(held["tried"], lambda t: ~done(t)), lambda t: t["p"])
+        got = F.concat(held["found"], F.flatten(F.transform(F.filter(held["tried"], done), lambda t: recovered(t["g"]))))
         return F.when(F.size(held["pending"]) > 0, more).when(F.size(held["tried"]) > 0, hold(left, F.slice(held["tried"], 1, 0), got)).otherwise(held)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(65)), hold(pending, no_tries, found), step)["found"]
+    return F.aggregate(F.sequence(F.lit(0), F.lit(67)), hold(pending, no_tries, found), step)["found"]
 
 
 def likeness(a: Column, b: Column, items: Column) -> Column:
@@ -201,7 +219,7 @@ def compare(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
     n = lambda c: F.aggregate(F.flatten(F.transform(c, lambda g: F.slice(g, 1, THIRD))), F.lit(0), lambda x, c: x + c["n"])
     read = rows.withColumns({"_a": parse(F.col(a)), "_b": parse(F.col(b))})
     read = read.withColumns({"_many": n(F.col("_a")) + n(F.col("_b")), "_tried": F.transform(subtracted(F.col("_a"), F.col("_b")), lambda g: peel(g))})
-    items = F.aggregate("_tried", F.lit(0), lambda x, g: x + F.size(g["found"]))
+    items = F.aggregate("_tried", F.lit(0), lambda x, g: x + F.size(g["plus"]) + F.size(g["minus"]))
     near = F.when(F.col("_many") == 0, F.lit(1.0)).when(F.forall("_tried", lambda g: g["state"] == _DONE), F.lit(1.0) - items / F.col("_many"))
     return read.withColumn(out, near).drop("_a", "_b", "_many", "_tried")
 
