@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, chat, class_lm, fingerprint, html_text, minhash, mixing, quality_classifier, quality_rules, token_output
+from graphloom.llm import byte_bpe, chat, class_lm, fingerprint, hard_negatives, html_text, minhash, mixing, packing, periodic_runs, quality_classifier, quality_rules, token_output
 from graphloom.llm.common import crc_mod, materialize, table
 
 
@@ -82,11 +82,45 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(segments)
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op8_class_lm": op8_class_lm, "op9_chat": op9_chat, "op5_fingerprint": op5_fingerprint, "op6_html_text": op6_html_text, "op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; a seventh of the rows is relabelled."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, every tenth of which repeats its tail."""
+    return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), periodic_runs.repeat_tail))
+
+
+#: End id of op13's documents.
+PACK_END_ID = 1
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and the sequences they are packed into, with checksums of their ids."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = f.read()
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), model, PACK_END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {"op1_token_output": op1_token_output, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op8_class_lm": op8_class_lm, "op9_chat": op9_chat, "op5_fingerprint": op5_fingerprint, "op6_html_text": op6_html_text, "op7_minhash": op7_minhash, "op4_quality_classifier": op4_quality_classifier, "op10_quality_rules": op10_quality_rules, "op11_hard_negatives": op11_hard_negatives, "op12_periodic_runs": op12_periodic_runs, "op13_packing": op13_packing}
 #: Words of the texts as the SQL checks take them: runs without ASCII white space.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, n.vec_id AS id, a.label = n.label AS same, CAST(list_dot_product(a.q, n.q) AS BIGINT) AS score
+  FROM v a JOIN v n ON a.vec_id <> n.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5""",
     "op7_minhash": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
