@@ -13,6 +13,7 @@ from graphloom.hashing import h48_sql, uniform_sql
 from graphloom.operators import batches as B
 from graphloom.operators import evaluate as M
 from graphloom.operators import graph as G
+from graphloom.operators import kernels as K
 from graphloom.operators import nn
 from graphloom.operators import preprocess as P
 from graphloom.operators import scoring as D
@@ -84,8 +85,15 @@ def _pairs(x: Fixture) -> DataFrame:
     return O.train_pairs(batches, B.uniform_negatives(batches, x.n, NEGATIVES))
 
 
+def _chunks(x: Fixture, generator: bool = False) -> DataFrame:
+    """Rows of all chunks of all edges, with six uniform negatives each; the generator's vectors are the nodes' reversed."""
+    batches, nodes = materialize(_batches(x), "batches"), materialize(x.embeddings(), "nodes")
+    own = nodes.select("id", F.reverse("emb").alias("emb")) if generator else None
+    return K.chunk_rows(batches, B.uniform_negatives(batches, x.n, NEGATIVES), nodes, x.relation_vectors(), generator=own)
+
+
 def _scores(x: Fixture) -> DataFrame:
-    return materialize(O.distmult_scores(_pairs(x), x.embeddings(), x.relation_vectors()), "scores")
+    return materialize(K.chunk_scores(_chunks(x)), "scores")
 
 
 # Preprocessing.
@@ -581,15 +589,61 @@ _GRAD = f"{PAIRS}, z AS (SELECT edge, max(score) AS m FROM sc GROUP BY edge), l
     "gr AS (SELECT src AS id, i - 1 AS pos, coef * r[i] * t[i] AS g FROM c, (SELECT unnest(range(1, 65)) AS i) UNION ALL SELECT node, i - 1, coef * e[i] * r[i] FROM c, (SELECT unnest(range(1, 65)) AS i)), g AS (SELECT id, CAST(pos AS INTEGER) AS pos, sum(g) AS g FROM gr GROUP BY id, pos)"
 
 
-def _gradients(x: Fixture) -> DataFrame:
-    nodes, _ = O.gradients(_scores(x), x.embeddings(), x.relation_vectors())
-    return nodes
+def _gradients(x: Fixture, step: K.Step | None = None) -> DataFrame:
+    """(id, g) of all nodes that have a gradient."""
+    return K.sum_gradients(materialize(K.chunk_gradients(_chunks(x), step or K.Step()), "gradients"), K.NODE)
+
+
+def _grad_rows(g: DataFrame) -> DataFrame:
+    return g.select("id", F.posexplode("g").alias("pos", "g")).select("id", "pos", (F.round("g", 5) + F.lit(0.0)).alias("g"))
 
 
 @query(f"{_GRAD} SELECT id, pos, round(g, 5) + 0.0::DOUBLE AS g FROM g")
 def train_step_gradients(x: Fixture) -> DataFrame:
     """Node gradients of the summed softmax loss over all edges and their negatives."""
-    return _gradients(x).select("id", F.posexplode("g").alias("pos", "g")).select("id", "pos", (F.round("g", 5) + F.lit(0.0)).alias("g"))
+    return _grad_rows(_gradients(x))
+
+
+#: Negatives kept of each edge's, hardest first, and the share of a chunk's distinct negatives that is kept.
+RATIO = 0.5
+_SELECTED = f"""{PAIRS}, kn AS (SELECT batch_id, chunk_id, greatest(1, CAST(floor(count(DISTINCT node) * {RATIO}::DOUBLE) AS BIGINT)) AS kept FROM neg GROUP BY ALL),
+hard AS (SELECT *, row_number() OVER (PARTITION BY edge ORDER BY RANK DESC, node) AS place FROM sc WHERE label = 0),
+sel AS (SELECT edge, src, rel, node, label, e, r, t, score FROM sc WHERE label = 1 UNION ALL SELECT h.edge, h.src, h.rel, h.node, label, e, r, t, score FROM hard h JOIN b ON b.edge = h.edge JOIN kn USING (batch_id, chunk_id) WHERE place <= kept)"""
+
+
+def _selected_sql(rank: str) -> str:
+    return _GRAD.replace(PAIRS, _SELECTED.replace("RANK", rank)).replace("FROM sc GROUP", "FROM sel GROUP").replace("FROM sc JOIN", "FROM sel sc JOIN")
+
+
+@query(f"{_selected_sql('score')} SELECT id, pos, round(g, 5) + 0.0::DOUBLE AS g FROM g")
+def dns_step_gradients(x: Fixture) -> DataFrame:
+    """Node gradients where each edge keeps the hardest half of its negatives."""
+    return _grad_rows(_gradients(x, K.Step(method="DNS", ratio=RATIO)))
+
+
+#: The generator's logits and what its loss's gradient needs: vectors are those of the nodes, reversed.
+_GENERATOR = f"""{PAIRS}, lg AS (SELECT edge, src, node, 2 * (1 / (1 + exp(-score)) - 0.5::DOUBLE) AS w, list_reverse(e) AS e, list_reverse(t) AS t, list_inner_product(e, t) AS s FROM sc WHERE label = 0),
+lz AS (SELECT edge, max(s) AS m, max(s) + ln(sum(exp(s - mx))) AS lse FROM (SELECT *, max(s) OVER (PARTITION BY edge) AS mx FROM lg) GROUP BY edge),
+lp AS (SELECT lg.*, exp(s - lse) AS p, w * (1 + s - lse) AS a FROM lg JOIN lz USING (edge)),
+lc AS (SELECT *, -p * (a - sum(p * a) OVER (PARTITION BY edge)) / count(*) OVER () AS coef FROM lp),
+gg AS (SELECT src AS id, i - 1 AS pos, coef * t[i] AS g FROM lc, (SELECT unnest(range(1, 65)) AS i) UNION ALL SELECT node, i - 1, coef * e[i] FROM lc, (SELECT unnest(range(1, 65)) AS i))"""
+
+
+@query(f"{_GENERATOR} SELECT id, CAST(pos AS INTEGER) AS pos, round(sum(g) * 1000000, 4) + 0.0::DOUBLE AS g FROM gg GROUP BY id, pos")
+def gan_generator_gradients(x: Fixture) -> DataFrame:
+    """A generator step's node gradients, times a million: the policy gradient of its softmax over all negatives."""
+    rows = materialize(K.chunk_gradients(_chunks(x, True), K.Step(method="GAN", ratio=RATIO)), "gradients")
+    total = rows.where((F.col("kind") == K.TOTAL) & (F.col("id") < 0)).agg(F.sum("terms").alias("n"))
+    own = K.sum_gradients(rows, K.GENERATOR)
+    scaled = own.join(F.broadcast(total)).select("id", F.transform("g", lambda v: v * 1_000_000 / F.col("n")).alias("g"))
+    return scaled.select("id", F.posexplode("g").alias("pos", "g")).select("id", "pos", (F.round("g", 4) + F.lit(0.0)).alias("g"))
+
+
+@query(f"{_selected_sql('list_inner_product(e, t)')} SELECT id, pos, round(g, 5) + 0.0::DOUBLE AS g FROM g")
+def gan_step_gradients(x: Fixture) -> DataFrame:
+    """Node gradients of the discriminator where each edge keeps the half of its negatives that the generator likes best."""
+    rows = materialize(K.chunk_gradients(_chunks(x, True), K.Step(method="GAN", ratio=RATIO)), "gradients")
+    return _grad_rows(K.sum_gradients(rows, K.NODE))
 
 
 def _stepped(x: Fixture, update) -> DataFrame:
@@ -645,21 +699,59 @@ def dense_adagrad_step(x: Fixture) -> DataFrame:
     return _stepped(x, O.dense_adagrad(F.col("emb"), F.col("g"), _prior(F.col("emb"))[1], 0.1, 3, 0.1, 0.01)[0])
 
 
-@query()
+#: One batch of all edges in hash order of the first epoch, its chunks, and the targets drawn for them.
+_EPOCH = BATCHED.replace(h48_sql("edge", "batch"), h48_sql("edge", "epoch0")).replace(f"rn // {BATCH}", "0").replace(f"rn % {BATCH}", "rn")
+_ONE = PAIRS.replace(BATCHED, _EPOCH).replace(h48_sql("batch_id || '-' || chunk_id || '-' || i", "negative"), h48_sql("batch_id || '-' || chunk_id || '-' || i", "epoch0"))
+_ONE_GRAD = _GRAD.replace(PAIRS, _ONE)
+_EPOCH_SQL = f"""{_ONE_GRAD}, gq AS (SELECT rel, CAST(i - 1 AS INTEGER) AS pos, sum(coef * e[i] * t[i]) AS g FROM c, (SELECT unnest(range(1, 65)) AS i) GROUP BY rel, i),
+nc AS (SELECT emb.id, i, emb[i] - coalesce(0.02::DOUBLE * g / (sqrt(g * g) + 1e-10::DOUBLE), 0) AS x FROM emb CROSS JOIN (SELECT unnest(range(1, 65)) AS i) LEFT JOIN g ON g.id = emb.id AND g.pos = i - 1),
+ne AS (SELECT id, list(x ORDER BY i) AS emb FROM nc GROUP BY id),
+rc AS (SELECT relv.rel, i, emb[i] - coalesce(0.02::DOUBLE * g / (sqrt(g * g) + 1e-10::DOUBLE), 0) AS x FROM relv CROSS JOIN (SELECT unnest(range(1, 65)) AS i) LEFT JOIN gq ON gq.rel = relv.rel AND gq.pos = i - 1),
+re AS (SELECT rel, list(x ORDER BY i) AS emb FROM rc GROUP BY rel),
+sa AS (SELECT 0 AS epoch, edge, label, score FROM sc UNION ALL SELECT 1, edge, label, list_sum(list_transform(range(1, 65), lambda i: a.emb[i] * q.emb[i] * n.emb[i])) FROM sc JOIN ne a ON a.id = src JOIN ne n ON n.id = node JOIN re q ON q.rel = sc.rel),
+lo AS (SELECT epoch, edge, max(CASE WHEN label = 1 THEN score END) AS pos, max(score) AS m, ln(sum(exp(score - mx))) AS l FROM (SELECT *, max(score) OVER (PARTITION BY epoch, edge) AS mx FROM sa) GROUP BY epoch, edge)
+SELECT epoch, round(avg(l + m - pos), 5) AS loss FROM lo GROUP BY epoch"""
+
+
+@query(_EPOCH_SQL)
 def train_epochs(x: Fixture) -> DataFrame:
-    """Softmax loss of all edges before and after one epoch of sparse Adagrad."""
+    """Mean softmax loss of all edges before and after one epoch of sparse Adagrad, all edges being one batch."""
     zero = F.transform("emb", lambda v: F.lit(0.0))
     edges = materialize(x.edges(), "edges")
     nodes = materialize(x.embeddings().withColumn("state", zero), "nodes")
     rels = x.relation_vectors().withColumn("state", zero)
-    after = O.train(edges, nodes, rels, O.TrainConfig(1, 30_000, CHUNKS, NEGATIVES, 0.02, 0.02))
+    config = O.TrainConfig(1, 1 << 40, CHUNKS, NEGATIVES, 0.02, 0.02, inverse=False)
+    after = O.train(edges, nodes, rels, config)
+    batches = materialize(B.with_chunks(B.assign_batches(edges, F.col("edge"), 1 << 40, "epoch0"), CHUNKS), "batches")
+    drawn = B.negatives(batches, x.n, NEGATIVES, salt="epoch0")
     out = None
     for k, (n, r) in enumerate(((nodes, rels), after)):
-        part = losses.softmax_ce(O.distmult_scores(_pairs(x), n, r), "MEAN").select(F.lit(k).alias("epoch"), "loss")
+        scores = materialize(K.chunk_scores(K.chunk_rows(batches, drawn, n, r)), "scores")
+        part = losses.softmax_ce(scores, "MEAN").select(F.lit(k).alias("epoch"), F.round("loss", 5).alias("loss"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+ROUND = [[0, 2], [1, 3]]
+#: Two states of two partitions each: their edges, the targets drawn among their nodes, one batch for each.
+_ROUND = f"""{BASE}, pz AS (SELECT CAST(ceil(n / 4) AS BIGINT) AS z FROM cnt), st AS (SELECT * FROM (VALUES (0, 0), (2, 0), (1, 1), (3, 1)) v(part, state)),
+rn AS (SELECT id, state, row_number() OVER (PARTITION BY state ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY state) AS total FROM nodes, pz JOIN st ON part = id // z),
+b AS (SELECT e.*, x.state FROM e, pz JOIN st x ON x.part = src // z JOIN st y ON y.part = dst // z AND y.state = x.state),
+neg AS (SELECT DISTINCT d.state, rn.id AS node FROM (SELECT s.state, {h48_sql("s.state || '-0-0-' || i", "epoch0-0")} % total AS k FROM (SELECT DISTINCT state, total FROM rn) s, (SELECT unnest(range({NEGATIVES})) AS i)) d JOIN rn ON rn.state = d.state AND rn.k = d.k),
+pairs AS (SELECT edge, src, rel, dst AS node, 1 AS label FROM b UNION ALL SELECT edge, src, rel, neg.node, 0 FROM b JOIN neg USING (state) WHERE neg.node <> dst),
+sc AS"""
+
+
+@query(f"{_ROUND}{_GRAD.split('\nsc AS', 1)[1]} SELECT rn.id, CAST(i - 1 AS INTEGER) AS pos, round(emb[i] - coalesce(0.05::DOUBLE * g / (sqrt(g * g) + 1e-10::DOUBLE), 0), 5) + 0.0::DOUBLE AS x "
+       "FROM rn JOIN emb ON emb.id = rn.id CROSS JOIN (SELECT unnest(range(1, 65)) AS i) LEFT JOIN g ON g.id = rn.id AND g.pos = i - 1")
+def train_round(x: Fixture) -> DataFrame:
+    """Node vectors after one round over two pairs of partitions, each trained by a task of its own, all its edges one batch."""
+    config = O.TrainConfig(1, 1 << 40, 1, NEGATIVES, 0.05, 0.05, inverse=False)
+    p = O.Parameters(materialize(x.embeddings(), "nodes"), x.relation_vectors())
+    after = O.train_round(materialize(x.edges(), "edges"), p, ROUND, set(), P.partition_size(x.n, 4), config, "epoch0-0")
+    return after.nodes.select("id", F.posexplode("emb").alias("pos", "x")).select("id", "pos", (F.round("x", 5) + F.lit(0.0)).alias("x"))
+
+
 # Evaluation.
 def _rank_sql(known: bool) -> str:
     off = "AND NOT EXISTS (SELECT 1 FROM e k WHERE k.{keep} = t.{keep} AND k.rel = t.rel AND k.{c} = n.id)" if known else "AND n.id <> t.{c}"

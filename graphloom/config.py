@@ -166,6 +166,7 @@ class NegativeConfig:
 class TrainingConfig:
     batch_size: int = 10_000
     num_epochs: int = 1
+    batches_per_step: int = 1
     epochs_per_checkpoint: int = 0
     negatives: NegativeConfig = field(default_factory=NegativeConfig)
 

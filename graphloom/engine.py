@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.config import DecoderType, GraphConfig, LearningTask, NegativeMethod, Optimizer
+from graphloom.config import DecoderType, GraphConfig, LearningTask, NegativeMethod
 from graphloom.functions import init
 from graphloom.operators.evaluate import link_metrics, rank_edges
 from graphloom.operators.nn import Encoder
 from graphloom.operators.scoring import get_decoder
 from graphloom.operators.tables import GraphTables
-from graphloom.operators.train import TrainConfig, train
+from graphloom.operators.preprocess import partition_size
+from graphloom.operators.train import Optim, Parameters, TrainConfig, progress_report, train_parameters, train_partitions
+from graphloom.plans.rounds import pair_rounds
 from graphloom.sources.writers import Checkpointer
 
 
-def new_embeddings(spark: SparkSession, nodes: int, width: int) -> DataFrame:
+def new_embeddings(spark: SparkSession, nodes: int, width: int, salt: str = "init") -> DataFrame:
     """(id, emb, state): Glorot-uniform vectors and zero state for ids 0 to nodes - 1."""
-    ids = spark.range(nodes).withColumn("id", F.col("id"))
-    return ids.select("id", init.glorot_uniform(F.col("id"), width, (nodes, width)).alias("emb"), init.constant_init(width, 0.0).alias("state"))
+    return spark.range(nodes).select("id", init.glorot_uniform(F.col("id"), width, (nodes, width), salt).alias("emb"), init.constant_init(width, 0.0).alias("state"))
 
 
 def new_relations(spark: SparkSession, relations: int, width: int, decoder: DecoderType) -> DataFrame:
@@ -39,6 +40,10 @@ class GraphModel:
     spark: SparkSession
     config: GraphConfig
     tables: GraphTables
+    #: Epochs and optimiser steps taken, and what each step reported.
+    epoch: int = 0
+    steps: int = 0
+    progress: list[dict] = field(default_factory=list)
 
     @classmethod
     def create(cls, spark: SparkSession, config: GraphConfig, edges: DataFrame) -> GraphModel:
@@ -50,21 +55,37 @@ class GraphModel:
         width = config.model.embedding_dim
         return cls(spark, config, GraphTables(edges, spark.range(d.num_nodes), new_embeddings(spark, d.num_nodes, width), new_relations(spark, d.num_relations, width, config.model.decoder)))
 
-    def train(self) -> None:
+    def settings(self) -> TrainConfig:
+        """The training options of the configuration; options that training does not know are errors."""
         c = self.config
-        n, m, sparse, dense = c.training.negatives, c.model, c.model.sparse_optimizer, c.model.dense_optimizer
-        wrong = {
-            "decoder": m.decoder is DecoderType.NODE, "learning task": m.learning_task is not LearningTask.LINK_PREDICTION, "negative method": n.method is not NegativeMethod.RNS,
-            "ratio of negatives": n.ratio != 1, "optimizer": any(o.type is not Optimizer.ADAGRAD or o.weight_decay or o.eps != 1e-10 for o in (sparse, dense)), "partitions": c.storage.partitions.num_partitions > 1,
-        }
+        n, m = c.training.negatives, c.model
+        wrong = {"decoder": m.decoder is DecoderType.NODE, "learning task": m.learning_task is not LearningTask.LINK_PREDICTION}
         if any(wrong.values()):
             raise ValueError(f"training does not support this {', '.join(k for k, v in wrong.items() if v)}")
-        settings = TrainConfig(
-            c.training.num_epochs, c.training.batch_size, n.num_chunks, n.negatives_per_positive, sparse.learning_rate, dense.learning_rate,
-            m.decoder.name, m.loss.type.name, m.loss.reduction.name, m.loss.margin, m.inverse_edges, n.degree_fraction, n.filtered,
+        optim = lambda o: Optim(o.type.name, o.learning_rate, None if o.eps == 1e-10 else o.eps, o.weight_decay)
+        return TrainConfig(
+            c.training.num_epochs, c.training.batch_size, n.num_chunks, n.negatives_per_positive, decoder=m.decoder.name, loss=m.loss.type.name, reduction=m.loss.reduction.name, margin=m.loss.margin, inverse=m.inverse_edges,
+            degree_fraction=n.degree_fraction, filtered=n.filtered, method=n.method.name, ratio=n.ratio if n.method is not NegativeMethod.RNS else 1.0, batches_per_step=c.training.batches_per_step,
+            sparse=optim(m.sparse_optimizer), dense=optim(m.dense_optimizer), progress=self.progress,
         )
-        t = self.tables
-        t.node_embeddings, t.relation_embeddings = train(t.split("train"), t.node_embeddings, t.relation_embeddings, settings)
+
+    def train(self) -> None:
+        """The configured number of epochs on top of those taken before; several partitions are trained round by round."""
+        c, t = self.config, self.tables
+        settings, parts = self.settings(), c.storage.partitions.num_partitions
+        if settings.method == "GAN" and t.generator_embeddings is None:
+            t.generator_embeddings = new_embeddings(self.spark, c.storage.dataset.num_nodes, c.model.embedding_dim, "generator")
+        p = Parameters(t.node_embeddings, t.relation_embeddings, t.generator_embeddings, self.steps)
+        if parts > 1:
+            p = train_partitions(t.split("train"), p, pair_rounds(parts), partition_size(c.storage.dataset.num_nodes, parts), settings, self.epoch)
+        else:
+            p = train_parameters(t.split("train"), p, settings, self.epoch)
+        t.node_embeddings, t.relation_embeddings, t.generator_embeddings = p.nodes, p.relations, p.generator
+        self.steps, self.epoch = p.steps, self.epoch + settings.epochs
+
+    def report(self) -> DataFrame:
+        """Loss and volume of every training step so far."""
+        return progress_report(self.spark, self.settings())
 
     def ranks(self, split: str = "test") -> DataFrame:
         t = self.tables
@@ -78,10 +99,14 @@ class GraphModel:
         self.tables.encoded = encoder.forward([self.tables.node_embeddings.select("id", F.col("emb").alias("vec"))])
         return self.tables.encoded
 
-    def save(self, path: str, epoch: int) -> str:
+    def save(self, path: str, epoch: int | None = None) -> str:
+        """Parameters with their optimisers' state, and how far training has come."""
         t = self.tables
-        return Checkpointer(self.spark, path).save({"nodes": t.node_embeddings, "relations": t.relation_embeddings}, {"epoch": epoch, "dim": self.config.model.embedding_dim})
+        p = Parameters(t.node_embeddings, t.relation_embeddings, t.generator_embeddings)
+        return Checkpointer(self.spark, path).save(p.tables(), {"epoch": self.epoch if epoch is None else epoch, "epochs": self.epoch, "steps": self.steps, "dim": self.config.model.embedding_dim})
 
     def load(self, path: str, epoch: int) -> None:
-        tables, _ = Checkpointer(self.spark, path).load(epoch)
-        self.tables.node_embeddings, self.tables.relation_embeddings = tables["nodes"], tables["relations"]
+        tables, meta = Checkpointer(self.spark, path).load(epoch)
+        t = self.tables
+        t.node_embeddings, t.relation_embeddings, t.generator_embeddings = tables["nodes"], tables["relations"], tables.get("generator")
+        self.epoch, self.steps = meta.get("epochs", meta["epoch"]), meta.get("steps", 0)

@@ -46,9 +46,16 @@ def degree_negatives(chunked: DataFrame, count: int, corrupt: str = "dst", salt:
     return drawn.join(ends, ["batch_id", "position"]).select("batch_id", "chunk_id", "neg_idx", "node", F.col("position").alias("from_position"))
 
 
+#: Node numbers that are made at a time.
+RANGE = 1 << 16
+
+
 def all_node_negatives(chunks: DataFrame, nodes: int) -> DataFrame:
-    """Every node as a negative of each chunk (``negatives = -1``)."""
-    return chunks.select("batch_id", "chunk_id").distinct().withColumn("neg_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nodes - 1).cast("long")))).withColumn("node", F.col("neg_idx"))
+    """Every node as a negative of each chunk (``negatives = -1``); ranges of nodes are made first, so no row holds all of them."""
+    long = lambda x: F.lit(x).cast("long")
+    ranges = chunks.select("batch_id", "chunk_id").distinct().withColumn("_from", F.explode(F.sequence(long(0), long(max(nodes - 1, 0)), long(RANGE))))
+    drawn = ranges.withColumn("neg_idx", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + long(RANGE - 1), long(nodes - 1)))))
+    return drawn.drop("_from").withColumn("node", F.col("neg_idx"))
 
 
 def negatives(chunked: DataFrame, nodes: int, count: int, degree_fraction: float = 0.0, corrupt: str = "dst", filtered: bool = False, salt: str = "") -> DataFrame:

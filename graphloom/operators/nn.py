@@ -9,19 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
-from graphloom.operators.sums import reduce_vectors
+from graphloom.operators.sums import reduce_vectors, vector_width
 
 Matrix = list[list[float]]
 
 
-def segment_sum(rows: DataFrame, key: str = "node") -> DataFrame:
-    """(key, vec): sums of vectors."""
-    return reduce_vectors(rows, key, "vec", "vec")
+def segment_sum(rows: DataFrame, key: str = "node", width: int | None = None) -> DataFrame:
+    """(key, vec): sums of vectors; ``width`` is their length where it is known."""
+    return reduce_vectors(rows, key, "vec", "vec", width=width)
 
 
-def segment_max(rows: DataFrame, key: str = "node") -> DataFrame:
+def segment_max(rows: DataFrame, key: str = "node", width: int | None = None) -> DataFrame:
     """(key, vec): maxima of vectors, element by element."""
-    return reduce_vectors(rows, key, "vec", "vec", F.max)
+    return reduce_vectors(rows, key, "vec", "vec", F.max, width)
 
 
 def attention_softmax(scores: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def attention_softmax(scores: DataFrame) -> DataFrame:
 def neighbour_sums(vectors: DataFrame, sampled: DataFrame) -> DataFrame:
     """(id, self, nbrs, deg): a node's vector, the sum of its sampled neighbours' and their number."""
     found = sampled.select("node", F.col("nbr").alias("id")).join(vectors, "id").select("node", "vec")
-    sums = segment_sum(found).select(F.col("node").alias("id"), F.col("vec").alias("nbrs"))
+    sums = segment_sum(found, width=vector_width(vectors, "vec")).select(F.col("node").alias("id"), F.col("vec").alias("nbrs"))
     counts = sampled.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
     joined = vectors.select("id", F.col("vec").alias("self")).join(sums, "id", "left").join(counts, "id", "left")
     return joined.withColumn("nbrs", F.coalesce("nbrs", F.transform("self", lambda x: F.lit(0.0)))).withColumn("deg", F.coalesce("deg", F.lit(0)))
@@ -78,7 +78,7 @@ def gat_layer(vectors: DataFrame, sampled: DataFrame, heads: list[tuple[Matrix,
         top = scored.groupBy("node").agg(F.max("score").alias("top"))
         each = scored.join(top, "node").withColumn("e", F.exp(F.col("score") - F.col("top")))
         sums = each.groupBy("node").agg(F.sum("e").alias("s"))
-        part = segment_sum(each.select("node", V.scale(F.col("h"), F.col("e")).alias("vec"))).join(sums, "node").select(F.col("node").alias("id"), V.scale(F.col("vec"), 1 / F.col("s")).alias(f"h{k}"))
+        part = segment_sum(each.select("node", V.scale(F.col("h"), F.col("e")).alias("vec")), width=len(w)).join(sums, "node").select(F.col("node").alias("id"), V.scale(F.col("vec"), 1 / F.col("s")).alias(f"h{k}"))
         out = part if out is None else out.join(part, "id")
     parts = [F.col(f"h{k}") for k in range(len(heads))]
     joined = parts[0]
@@ -95,7 +95,7 @@ def rgcn_layer(vectors: DataFrame, sampled: DataFrame, relations: dict[int, Matr
     turned = None
     for r, w in relations.items():
         turned = F.when(F.col("rel") == r, V.linear(F.col("vec"), w)) if turned is None else turned.when(F.col("rel") == r, V.linear(F.col("vec"), w))
-    sums = segment_sum(nbr.select("node", turned.alias("vec"))).select(F.col("node").alias("id"), F.col("vec").alias("sum"))
+    sums = segment_sum(nbr.select("node", turned.alias("vec")), width=len(own)).select(F.col("node").alias("id"), F.col("vec").alias("sum"))
     counts = sampled.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
     j = vectors.select("id", V.linear(F.col("vec"), own).alias("self")).join(sums, "id", "left").join(counts, "id", "left")
     mean = V.scale(F.coalesce("sum", F.transform("self", lambda x: F.lit(0.0))), 1 / F.greatest(F.coalesce("deg", F.lit(1)), F.lit(1)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
-from graphloom.operators.sums import reduce_vectors
+from graphloom.operators.sums import reduce_vectors, vector_width
 
 
 def index_read(ids: DataFrame, table: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def index_read(ids: DataFrame, table: DataFrame) -> DataFrame:
 
 def index_add(table: DataFrame, values: DataFrame, column: str = "emb") -> DataFrame:
     """row += the sum of all values given for it; vectors of repeated ids are summed first."""
-    joined = table.join(reduce_vectors(values, "id", column, "_add"), "id", "left")
+    joined = table.join(reduce_vectors(values, "id", column, "_add", width=vector_width(table, column)), "id", "left")
     return joined.withColumn(column, F.when(F.col("_add").isNull(), F.col(column)).otherwise(V.add(F.col(column), F.col("_add")))).drop("_add")
 
 
@@ -48,6 +48,7 @@ class GraphTables:
     nodes: DataFrame | None = None
     node_embeddings: DataFrame | None = None
     relation_embeddings: DataFrame | None = None
+    generator_embeddings: DataFrame | None = None
     features: DataFrame | None = None
     labels: DataFrame | None = None
     encoded: DataFrame | None = None

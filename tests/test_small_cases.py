@@ -11,6 +11,7 @@ from graphloom.config import DecoderType, GraphConfig, NegativeMethod
 from graphloom.engine import GraphModel
 from graphloom.operators import evaluate, preprocess, train
 from graphloom.operators.scoring import get_decoder
+from graphloom.operators.sums import reduce_vectors
 
 PAIR = [(1, 1.0, 1), (1, 0.0, 0), (1, 2.0, 0)]
 
@@ -103,20 +104,28 @@ def test_model_trains_both_sides_by_its_own_decoder(spark):
     assert r["inv_emb"] != [1.0, 1.0, 0.0, 0.0] and r["emb"] != [1.0, 1.0, 0.0, 0.0] and any(r["inv_state"])
     assert r["emb"][2:] != [0.0, 0.0]
     config.training.negatives.method = NegativeMethod.GAN
+    model.train()
+    assert model.epoch == 2 and model.tables.generator_embeddings.count() == 6
+    config.model.decoder = DecoderType.NODE
     with pytest.raises(ValueError):
         model.train()
 
 
 def test_vectors_of_any_length_are_summed(spark):
-    from pyspark.sql import functions as F
-
-    from graphloom.operators.sums import reduce_vectors
-
     rows = [(k, [float(k + i) for i in range(n)]) for k, n in ((1, 130), (1, 130), (2, 64), (3, 3), (3, 5), (4, 0))] + [(5, None)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
     got = {r["id"]: r["s"] for r in reduce_vectors(df, "id", "v", "s").collect()}
-    assert got == {1: [2.0 * (1 + i) for i in range(130)], 2: [2.0 + i for i in range(64)], 3: [6.0, 8.0, 10.0, 6.0, 7.0]}
+    assert got == {1: [2.0 * (1 + i) for i in range(130)], 2: [2.0 + i for i in range(64)], 3: [6.0, 8.0, 10.0, 6.0, 7.0], 4: []}
     known = {r["id"]: r["s"] for r in reduce_vectors(df, "id", "v", "s", width=130).collect()}
-    assert known == got | {4: []}
+    assert known == got
+    with pytest.raises(Exception, match="longer than 64"):
+        reduce_vectors(df, "id", "v", "s", width=64).collect()
     top = {r["id"]: r["s"] for r in reduce_vectors(df, "id", "v", "s", F.max).collect()}
     assert top[1] == [1.0 + i for i in range(130)]
+
+
+def test_null_elements_are_passed_over_alike(spark):
+    df = spark.createDataFrame([(1, [1.0, None, 3.0]), (1, [1.0, None, 3.0]), (2, [None, 4.0]), (2, [5.0])], "id long, v array<double>")
+    want = {1: [2.0, None, 6.0], 2: [5.0, 4.0]}
+    for width in (None, 3, 200):
+        assert {r["id"]: r["s"] for r in reduce_vectors(df, "id", "v", "s", width=width).collect()} == want
