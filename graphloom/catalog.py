@@ -11,6 +11,8 @@ from graphloom.functions import init, losses
 from graphloom.functions import vectors as V
 from graphloom.hashing import h48_sql, uniform_sql
 from graphloom.operators import batches as B
+from graphloom.operators import encoded as N
+from graphloom.operators import encoders as E
 from graphloom.operators import evaluate as M
 from graphloom.operators import graph as G
 from graphloom.operators import kernels as K
@@ -407,6 +409,9 @@ def norm_regularizer(x: Fixture) -> DataFrame:
 W8 = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(8)] for i in range(4)]
 W8B = [[((i * 5 + j * 2) % 7 - 3) / 10 for j in range(8)] for i in range(4)]
 BIAS = [0.1, -0.2, 0.3, 0.0]
+#: Weights of ten outputs over whole vectors.
+GNN_W1 = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(64)] for i in range(10)]
+GNN_W2 = [[((i * 5 + j * 2) % 7 - 3) / 10 for j in range(64)] for i in range(10)]
 _CELLS = "(SELECT unnest(range(1, 9)) AS i)"
 _NBR = f"{BASE}, v AS (SELECT id, i, emb[i] AS x FROM emb, {_CELLS}), s AS (SELECT src AS id, i, sum(x) AS x FROM e JOIN v ON v.id = dst GROUP BY src, i), d AS (SELECT src AS id, count(*) AS deg FROM e GROUP BY src)"
 
@@ -732,6 +737,72 @@ def train_epochs(x: Fixture) -> DataFrame:
     return out
 
 
+# Training through encoders.
+_GNN = f"{BASE}, {_w_sql(GNN_W1, 'w1')}, {_w_sql(GNN_W2, 'w2')}, mn AS (SELECT src AS id, i, avg(emb[i]) AS x FROM e JOIN emb ON emb.id = dst, (SELECT unnest(range(1, 65)) AS i) GROUP BY src, i), " \
+    "xc AS (SELECT emb.id, i, emb[i] AS x, coalesce(mn.x, 0) AS m FROM emb CROSS JOIN (SELECT unnest(range(1, 65)) AS i) LEFT JOIN mn USING (id, i)), hc AS (SELECT id, w1.o, sum(w1.w * x + w2.w * m) AS h FROM xc JOIN w1 USING (i) JOIN w2 USING (i, o) GROUP BY id, w1.o)"
+_CLASS = f"{_GNN}, lb AS (SELECT id, label AS y FROM nodes, cnt, embeddings WHERE vec_id = id % ne AND id < ns), zc AS (SELECT id, ln(sum(exp(h - mx))) + max(mx) AS lse FROM (SELECT *, max(h) OVER (PARTITION BY id) AS mx FROM hc) GROUP BY id), " \
+    "gc AS (SELECT hc.id, o, exp(h - lse) - CASE WHEN o = y THEN 1 ELSE 0 END AS g FROM hc JOIN zc USING (id) JOIN lb USING (id))"
+
+
+def _encoder(x: Fixture, outputs: int) -> tuple[N.Encoded, N.EncoderConfig]:
+    """One layer of given weights over all neighbours."""
+    rows = [(f"0/{n}/{o:06d}", [float(v) for v in row]) for n, w in (("w1", GNN_W1), ("w2", GNN_W2)) for o, row in enumerate(w[:outputs])]
+    weights = x.spark.createDataFrame(rows, "param string, emb array<double>")
+    return N.Encoded(materialize(x.embeddings(), "nodes"), weights, relations=x.relation_vectors()), N.EncoderConfig([E.Layer("SAGE_MEAN", 64, outputs, bias=False)])
+
+
+def _labels(x: Fixture) -> DataFrame:
+    """(id, y) of the suppliers: the classes of ``embeddings``."""
+    rows = x.read("supplier").select(F.col("s_suppkey").alias("id")).withColumn("v", F.col("id") % F.lit(x.vectors))
+    return rows.join(x.read("embeddings").select(F.col("vec_id").alias("v"), F.col("label").alias("y")), "v").select("id", "y")
+
+
+def _param_rows(g: DataFrame) -> DataFrame:
+    return g.select("param", F.posexplode("g").alias("pos", "g")).select("param", "pos", (F.round("g", 5) + F.lit(0.0)).alias("g"))
+
+
+_PARAM = "printf('0/{}/%06d', o) AS param, CAST(i - 1 AS INTEGER) AS pos, round(sum(g * {}), 5) + 0.0::DOUBLE AS g FROM gc JOIN xc USING (id) GROUP BY o, i"
+
+
+@query(f"{_CLASS} SELECT {_PARAM.format('w1', 'x')} UNION ALL SELECT {_PARAM.format('w2', 'm')}")
+def class_step_weights(x: Fixture) -> DataFrame:
+    """Weight gradients of one node classification step over all labelled nodes."""
+    p, c = _encoder(x, 10)
+    return _param_rows(N.class_step_gradients(_labels(x), materialize(x.edges(), "edges"), p, c)[0])
+
+
+@query(f"{_CLASS}, gi AS (SELECT id, i, sum(g * w) AS g FROM gc JOIN w1 USING (o) GROUP BY id, i UNION ALL SELECT dst, i, g / d FROM (SELECT id, i, sum(g * w) AS g FROM gc JOIN w2 USING (o) GROUP BY id, i) q JOIN e ON src = id JOIN (SELECT src AS id, count(*) AS d FROM e GROUP BY src) USING (id)) "
+       "SELECT id, CAST(i - 1 AS INTEGER) AS pos, round(sum(g), 5) + 0.0::DOUBLE AS g FROM gi GROUP BY id, i")
+def class_step_inputs(x: Fixture) -> DataFrame:
+    """Embedding gradients of the same step: what the encoder's adjoint scatters over neighbours."""
+    p, c = _encoder(x, 10)
+    return _grad_rows(N.class_step_gradients(_labels(x), materialize(x.edges(), "edges"), p, c)[1])
+
+
+@query(f"{_CLASS} SELECT round(avg(CASE WHEN best = y THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS accuracy FROM (SELECT id, arg_max(o, h) AS best FROM hc GROUP BY id) JOIN lb USING (id)")
+def class_accuracy(x: Fixture) -> DataFrame:
+    """Accuracy of the encoder's classes over all labelled nodes."""
+    p, c = _encoder(x, 10)
+    return N.class_accuracy(_labels(x), materialize(x.edges(), "edges"), p, c).select(r6("accuracy").alias("accuracy"))
+
+
+#: Link prediction over encodings of eight dimensions: all edges one batch, targets replaced.
+_GNN_PAIRS = _ONE.replace(BASE, _GNN.replace("FROM xc JOIN w1", "FROM xc JOIN (SELECT * FROM w1 WHERE o < 8) w1")).replace("range(1, 65), lambda i: a.emb", "range(1, 9), lambda i: a.emb").replace("JOIN emb a", "JOIN hl a").replace("JOIN emb t", "JOIN hl t").replace("\nsc AS (", "\nhl AS (SELECT id, list(h ORDER BY o) AS emb FROM hc GROUP BY id), sc AS (")
+_GNN_GRAD = _GNN_PAIRS + _GRAD.removeprefix(PAIRS).replace("range(1, 65)) AS i)", "range(1, 9)) AS i)")
+_GNN_LINK = f"{_GNN_GRAD}, gc AS (SELECT id, pos AS o, g FROM g)"
+
+
+@query(f"{_GNN_LINK} SELECT {_PARAM.format('w1', 'x')} UNION ALL SELECT {_PARAM.format('w2', 'm')}")
+def link_step_weights(x: Fixture) -> DataFrame:
+    """Weight gradients of one link prediction step over encoded nodes, DistMult on eight dimensions."""
+    p, c = _encoder(x, 8)
+    p.relations = p.relations.select("rel", *[F.slice(v, 1, 8).alias(v) for v in ("emb", "inv_emb")])
+    edges = materialize(x.edges(), "edges")
+    config = O.TrainConfig(1, 1 << 40, CHUNKS, NEGATIVES, inverse=False)
+    batches = materialize(B.with_chunks(B.assign_batches(edges, F.col("edge"), 1 << 40, "epoch0"), CHUNKS), "batches")
+    return _param_rows(N.link_step_gradients(batches, edges, p, c, config, x.n, "epoch0")[0])
+
+
 ROUND = [[0, 2], [1, 3]]
 #: Two states of two partitions each: their edges, the targets drawn among their nodes, one batch for each.
 _ROUND = f"""{BASE}, pz AS (SELECT CAST(ceil(n / 4) AS BIGINT) AS z FROM cnt), st AS (SELECT * FROM (VALUES (0, 0), (2, 0), (1, 1), (3, 1)) v(part, state)),
@@ -781,6 +852,21 @@ def rank_unfiltered(x: Fixture) -> DataFrame:
     return _ranked(x, False)
 
 
+CANDIDATES = 50
+_SAMPLED = "UNION ALL".join(f""" SELECT t.edge, '{c}' AS direction, count(n.id) FILTER (round(list_inner_product(t.q, n.emb), 9) >= t.pos AND NOT EXISTS (SELECT 1 FROM e k WHERE k.{keep} = t.{keep} AND k.rel = t.rel AND k.{c} = n.id)) + 1 AS rank FROM
+  (SELECT sb.*, list_transform(range(1, 65), lambda i: a.emb[i] * r.{vec}[i]) AS q, round(list_inner_product(list_transform(range(1, 65), lambda i: a.emb[i] * r.{vec}[i]), o.emb), 9) AS pos
+   FROM sb JOIN emb a ON a.id = {keep} JOIN emb o ON o.id = {c} JOIN relv r ON r.rel = sb.rel) t
+  JOIN (SELECT DISTINCT chunk_id, {h48_sql("'0-' || chunk_id || '-' || i", f"candidates-{c}")} % n AS node FROM (SELECT DISTINCT chunk_id FROM sb), cnt, (SELECT unnest(range({CANDIDATES})) AS i)) d ON d.chunk_id = t.chunk_id
+  JOIN emb n ON n.id = d.node GROUP BY t.edge """ for c, keep, vec in (("dst", "src", "emb"), ("src", "dst", "inv_emb")))
+
+
+@query(f"{SPLIT}, sb AS (SELECT *, {h48_sql('edge', 'candidates')} % CAST(ceil((SELECT count(*) FROM sp WHERE split = 'test') / 1000) AS BIGINT) AS chunk_id FROM sp WHERE split = 'test') {_SAMPLED}")
+def rank_candidates(x: Fixture) -> DataFrame:
+    """Ranks of all test edges against sampled candidates that blocks of edges share, known edges left out."""
+    split = materialize(x.split(), "split")
+    return M.rank_sampled(split.where("split = 'test'"), materialize(x.embeddings(), "nodes"), x.relation_vectors(), D.get_decoder("DISTMULT"), CANDIDATES, x.n, split)
+
+
 @query(f"{SPLIT}, rk AS ({_rank_sql(True)}) SELECT metric, round(value, 6) AS value FROM (SELECT 'MR' AS metric, avg(rank) AS value FROM rk UNION ALL SELECT 'MRR', avg(1.0::DOUBLE / rank) FROM rk "
        + " ".join(f"UNION ALL SELECT 'Hits@{k}', avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END) FROM rk" for k in M.HITS) + ")")
 def metrics_lp(x: Fixture) -> DataFrame:

@@ -74,6 +74,23 @@ class NeighborSampler(_Named):
     DROPOUT = 3
 
 
+class GnnType(_Named):
+    SAGE = 1
+    GRAPH_SAGE = 1
+    GCN = 2
+
+
+class Aggregator(_Named):
+    MEAN = 1
+    GCN = 2
+
+
+class Activation(_Named):
+    NONE = 1
+    RELU = 2
+    SIGMOID = 3
+
+
 class BucketOrdering(_Named):
     OLD_BETA = 1
     NEW_BETA = 2
@@ -123,6 +140,20 @@ class OptimizerConfig:
     weight_decay: float = 0.0
 
 
+@dataclass
+class LayerConfig:
+    """One graph layer of the encoder and the sampler of its hop."""
+
+    type: GnnType = GnnType.SAGE
+    aggregator: Aggregator = Aggregator.MEAN
+    output_dim: int = 64
+    activation: Activation = Activation.NONE
+    bias: bool = True
+    sampler: NeighborSampler = NeighborSampler.ALL
+    max_neighbors: int = -1
+    rate: float = 0.0
+
+
 @dataclass
 class ModelConfig:
     learning_task: LearningTask = LearningTask.LINK_PREDICTION
@@ -130,6 +161,9 @@ class ModelConfig:
     inverse_edges: bool = True
     embedding_dim: int = 64
     random_seed: int = 0
+    encoder: list[LayerConfig] = field(default_factory=list)
+    use_incoming_nbrs: bool = False
+    use_outgoing_nbrs: bool = True
     loss: LossConfig = field(default_factory=LossConfig)
     dense_optimizer: OptimizerConfig = field(default_factory=OptimizerConfig)
     sparse_optimizer: OptimizerConfig = field(default_factory=OptimizerConfig)
@@ -186,6 +220,10 @@ class GraphConfig:
     evaluation: EvaluationConfig = field(default_factory=EvaluationConfig)
 
 
+#: Options that are lists of dataclasses.
+LISTS = {(ModelConfig, "encoder"): LayerConfig}
+
+
 def merge(kind: type, values: dict[str, Any]) -> Any:
     """A dataclass from a dictionary: missing entries keep their defaults, unknown ones are errors, enums are parsed."""
     out = kind()
@@ -196,6 +234,8 @@ def merge(kind: type, values: dict[str, Any]) -> Any:
         old = getattr(out, k)
         if dataclasses.is_dataclass(old):
             v = merge(type(old), v)
+        elif (kind, k) in LISTS:
+            v = [merge(LISTS[kind, k], x) for x in v]
         elif isinstance(old, _Named) and isinstance(v, str):
             v = type(old).parse(v)
         elif isinstance(old, float) and isinstance(v, int):
@@ -217,8 +257,19 @@ def validate(c: GraphConfig) -> None:
     p, n = c.storage.partitions, c.training.negatives
     if c.model.embedding_dim <= 0 or c.training.batch_size <= 0 or c.evaluation.batch_size <= 0:
         raise ValueError("dimensions and batch sizes are positive")
-    if c.model.decoder is DecoderType.COMPLEX and c.model.embedding_dim % 2:
+    m = c.model
+    if m.decoder is DecoderType.COMPLEX and (m.encoder[-1].output_dim if m.encoder else m.embedding_dim) % 2:
         raise ValueError("ComplEx needs an even dimension")
+    if (m.learning_task is LearningTask.NODE_CLASSIFICATION) is not (m.decoder is DecoderType.NODE):
+        raise ValueError("node classification and the NODE decoder go together")
+    if m.learning_task is LearningTask.NODE_CLASSIFICATION and not m.encoder:
+        raise ValueError("node classification needs an encoder")
+    if m.learning_task is LearningTask.NODE_CLASSIFICATION and c.storage.dataset.num_classes > 0 and m.encoder[-1].output_dim != c.storage.dataset.num_classes:
+        raise ValueError("the encoder's last layer has as many outputs as there are classes")
+    if any(x.output_dim <= 0 or x.aggregator is Aggregator.GCN and x.type is not GnnType.SAGE or x.sampler is NeighborSampler.DROPOUT and not 0 <= x.rate < 1 for x in m.encoder):
+        raise ValueError("encoder layers are out of range")
+    if m.encoder and not (m.use_incoming_nbrs or m.use_outgoing_nbrs):
+        raise ValueError("an encoder follows incoming or outgoing neighbours")
     if not 0 <= n.degree_fraction <= 1 or not 0 < n.ratio <= 1 or n.num_chunks < 1:
         raise ValueError("negative sampling options are out of range")
     if c.storage.embeddings in (Backend.PARTITION_BUFFER, Backend.MEM_PARTITION_BUFFER):

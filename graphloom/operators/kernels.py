@@ -334,6 +334,27 @@ def chunk_scores(rows: DataFrame, decoder: str = "DISTMULT") -> DataFrame:
     return rows.mapInArrow(run, "edge long, src long, rel long, node long, label int, score double")
 
 
+def chunk_ranks(rows: DataFrame, operator: str, comparator: str, negate: bool = False, digits: int = 9) -> DataFrame:
+    """(edge, rank) of all edges: one more than the valid negatives of its chunk that score at least as high; scores are rounded."""
+    ship(rows.sparkSession)
+    decoder = {"hadamard": "DISTMULT", "complex_hadamard": "COMPLEX", "translation": "TRANSE"}[operator]
+    if (comparator == "l2") is not (decoder == "TRANSE") or comparator not in ("dot", "l2"):
+        raise ValueError(f"no blocks for {operator} with {comparator}")
+
+    def run(batches):
+        for _, table in groups(batches, ["batch_id", "chunk_id"]):
+            c = read_chunk(table)
+            if c is None:
+                continue
+            m = moved(decoder, c.x[c.kept], c.r[c.rel])
+            pos, neg = row_scores(decoder, m, c.x[c.other]), all_scores(decoder, m, c.x[c.negatives])
+            sign = -1 if negate else 1
+            rank = 1 + ((np.round(sign * neg, digits) >= np.round(sign * pos, digits)[:, None]) & c.valid).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(c.edges), pa.array(rank)], names=["edge", "rank"])
+
+    return rows.mapInArrow(run, "edge long, rank long")
+
+
 #: Gradient rows: sums of a task's chunks for (kind, batch, id), and rows of kind TOTAL with a chunk's loss, terms and pairs.
 GRADIENTS = "kind long, batch_id long, id long, g array<double>, loss double, terms long, pairs long"
 #: Rows of sums that a task holds before it passes them on.

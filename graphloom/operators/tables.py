@@ -49,6 +49,7 @@ class GraphTables:
     node_embeddings: DataFrame | None = None
     relation_embeddings: DataFrame | None = None
     generator_embeddings: DataFrame | None = None
+    weights: DataFrame | None = None
     features: DataFrame | None = None
     labels: DataFrame | None = None
     encoded: DataFrame | None = None

@@ -117,7 +117,7 @@ def test_chunk_gradients_match_pair_gradients(spark):
 
 def settings(epochs, optimizer=Optimizer.ADAGRAD, method=NegativeMethod.RNS):
     c = GraphConfig()
-    c.model.embedding_dim, c.training.num_epochs, c.training.batch_size = 4, epochs, 12
+    c.model.embedding_dim, c.training.num_epochs, c.training.batch_size = 4, epochs, 25
     c.training.negatives.negatives_per_positive, c.training.negatives.num_chunks, c.training.negatives.method, c.training.negatives.ratio = 5, 2, method, 0.5
     for o in (c.model.sparse_optimizer, c.model.dense_optimizer):
         o.type, o.learning_rate = optimizer, 0.05
@@ -193,13 +193,13 @@ def test_a_round_follows_its_batches_in_order(spark):
 
 def test_model_trains_several_partitions(spark):
     e, _, _ = tables(spark, 60)
-    c = settings(2)
+    c = settings(1)
     c.storage.partitions.num_partitions = 4
     model = GraphModel.create(spark, c, e)
     model.train()
     t = model.tables
     assert t.node_embeddings.count() == 12 and t.node_embeddings.where("exists(state, x -> x > 0)").count() == 12
-    assert len(model.progress) == 6 and sum(r["pairs"] for r in model.progress[:3]) > 2 * e.count()
+    assert len(model.progress) == 3 and sum(r["pairs"] for r in model.progress) > 2 * e.count()
     c.training.negatives.method = NegativeMethod.GAN
     with pytest.raises(ValueError):
         model.train()
@@ -211,7 +211,7 @@ def test_odd_tables(spark):
     lost = spark.createDataFrame([(999, 0, 0, 500, "train")], e.schema)
     a = T.train(e.unionByName(lost).where("edge = 999 or edge < 5"), n, q, T.TrainConfig(1, 100, 1, 4))[0]
     assert a.count() == 12 and a.where("id = 500").isEmpty()
-    nodes, rels = T.train(e.limit(0), n, q, T.TrainConfig(2, 10, 2, 5))
+    nodes, rels = T.train(e.limit(0), n, q, T.TrainConfig(1, 10, 2, 5))
     assert sorted(map(str, nodes.select("id", "emb").collect())) == sorted(map(str, n.collect())) and rels.count() == 2
     huge = n.withColumn("emb", F.transform("emb", lambda x: x * 1e200))
     with pytest.raises(ValueError, match="loss"):
