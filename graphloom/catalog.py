@@ -21,6 +21,7 @@ from graphloom.operators import preprocess as P
 from graphloom.operators import scoring as D
 from graphloom.operators import tables as T
 from graphloom.operators import train as O
+from graphloom.operators.ranges import RangedTable
 from graphloom.plans import schedules as S
 from graphloom.runtime import materialize, number_rows, scratch_dir
 from graphloom.sources import writers
@@ -232,6 +233,23 @@ def expand_dropout(x: Fixture) -> DataFrame:
     return G.sample_dropout(x.nodes().select(F.col("id").alias("node")), x.edges(), 0.3).drop("direction")
 
 
+def _draws_sql(name: str, lists: str, frontier: str, most: int) -> str:
+    """Up to ``most`` rows of ranked lists (node, idx, nbr, rel, deg) for each frontier node."""
+    return (f"{name} AS (SELECT l.node, nbr, l.rel FROM {lists} l JOIN {frontier} f ON f.node = l.node WHERE deg <= {most} UNION ALL SELECT l.node, nbr, l.rel FROM {lists} l JOIN "
+            f"(SELECT d.node, {h48_sql('d.node || ' + repr('-') + ' || i', 'uniform')} % deg AS idx FROM (SELECT DISTINCT l.node, deg FROM {lists} l JOIN {frontier} f ON f.node = l.node WHERE deg > {most}) d, (SELECT unnest(range({most})) AS i)) x ON x.node = l.node AND x.idx = l.idx)")
+
+
+@query(f"{BASE}, lo AS (SELECT src AS node, dst AS nbr, rel, row_number() OVER (PARTITION BY src ORDER BY dst, rel) - 1 AS idx, count(*) OVER (PARTITION BY src) AS deg FROM e), "
+       "li AS (SELECT dst AS node, src AS nbr, rel, row_number() OVER (PARTITION BY dst ORDER BY src, rel) - 1 AS idx, count(*) OVER (PARTITION BY dst) AS deg FROM e), rt AS (SELECT s_suppkey AS node FROM supplier), "
+       f"{_draws_sql('h1', 'lo', 'rt', 5)}, f1 AS (SELECT DISTINCT nbr AS node FROM h1 WHERE nbr NOT IN (SELECT node FROM rt)), {_draws_sql('h2', 'li', 'f1', 3)} "
+       "SELECT *, 'out' AS direction, 1 AS hop FROM h1 UNION ALL SELECT *, 'in', 2 FROM h2")
+def layered_uniform(x: Fixture) -> DataFrame:
+    """Two hops from all suppliers, both directions: five draws, then three, with replacement where lists are longer."""
+    roots = x.read("supplier").select(F.col("s_suppkey").alias("node"))
+    _, sampled = G.hops(roots, materialize(x.edges(), "edges"), [{"kind": "UNIFORM", "most": 5}, {"kind": "UNIFORM", "most": 3}], use_incoming=True)
+    return sampled
+
+
 @query(f"{BASE}, adj AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), h1 AS (SELECT DISTINCT b AS node FROM adj WHERE a = 0 AND b <> 0), h2 AS (SELECT DISTINCT b AS node FROM adj JOIN h1 ON a = h1.node WHERE b <> 0 AND b NOT IN (SELECT node FROM h1)) "
        "SELECT 0::BIGINT AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2")
 def two_hop_frontier(x: Fixture) -> DataFrame:
@@ -406,13 +424,13 @@ def norm_regularizer(x: Fixture) -> DataFrame:
 
 
 # Segment operators and layers.
-W8 = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(8)] for i in range(4)]
-W8B = [[((i * 5 + j * 2) % 7 - 3) / 10 for j in range(8)] for i in range(4)]
+WA = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(64)] for i in range(4)]
+WB = [[((i * 5 + j * 2) % 7 - 3) / 10 for j in range(64)] for i in range(4)]
 BIAS = [0.1, -0.2, 0.3, 0.0]
 #: Weights of ten outputs over whole vectors.
 GNN_W1 = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(64)] for i in range(10)]
 GNN_W2 = [[((i * 5 + j * 2) % 7 - 3) / 10 for j in range(64)] for i in range(10)]
-_CELLS = "(SELECT unnest(range(1, 9)) AS i)"
+_CELLS = "(SELECT unnest(range(1, 65)) AS i)"
 _NBR = f"{BASE}, v AS (SELECT id, i, emb[i] AS x FROM emb, {_CELLS}), s AS (SELECT src AS id, i, sum(x) AS x FROM e JOIN v ON v.id = dst GROUP BY src, i), d AS (SELECT src AS id, count(*) AS deg FROM e GROUP BY src)"
 
 
@@ -434,14 +452,14 @@ def _sampled(x: Fixture) -> DataFrame:
 
 @query(f"{_NBR} SELECT id, CAST(i - 1 AS INTEGER) AS pos, round(x, 6) + 0.0::DOUBLE AS x FROM s")
 def segment_sum(x: Fixture) -> DataFrame:
-    rows = _sampled(x).join(x.vec(8).withColumnRenamed("id", "nbr"), "nbr")
-    return _cells(nn.segment_sum(rows).withColumnRenamed("node", "id"))
+    rows = _sampled(x).join(x.vec(64).withColumnRenamed("id", "nbr"), "nbr")
+    return _cells(nn.segment_sum(rows, width=64).withColumnRenamed("node", "id"))
 
 
 @query(f"{_NBR} SELECT src AS id, CAST(i - 1 AS INTEGER) AS pos, round(max(x), 6) + 0.0::DOUBLE AS x FROM e JOIN v ON v.id = dst GROUP BY src, i")
 def segment_max(x: Fixture) -> DataFrame:
-    rows = _sampled(x).join(x.vec(8).withColumnRenamed("id", "nbr"), "nbr")
-    return _cells(nn.segment_max(rows).withColumnRenamed("node", "id"))
+    rows = _sampled(x).join(x.vec(64).withColumnRenamed("id", "nbr"), "nbr")
+    return _cells(nn.segment_max(rows, width=64).withColumnRenamed("node", "id"))
 
 
 @query(f"{BASE}, q AS (SELECT DISTINCT src AS node, dst AS nbr, a.emb[1] * b.emb[2] AS s FROM e JOIN emb a ON a.id = src JOIN emb b ON b.id = dst), m AS (SELECT node, max(s) AS m FROM q GROUP BY node) SELECT q.node, nbr, round(exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY q.node), 6) AS weight FROM q JOIN m ON m.node = q.node")
@@ -451,23 +469,23 @@ def attention_softmax(x: Fixture) -> DataFrame:
     return nn.attention_softmax(pairs.select("node", "nbr", (F.col("a") * F.col("b")).alias("score"))).withColumn("weight", r6("weight"))
 
 
-@query(f"{_NBR}, {_w_sql(W8, 'w')}, {_BIAS} SELECT v.id, CAST(w.o AS INTEGER) AS pos, round(greatest(sum(w.w * (v.x + coalesce(s.x, 0)) / (coalesce(deg, 0) + 1)) + any_value(b), 0), 6) + 0.0::DOUBLE AS x FROM v LEFT JOIN s ON s.id = v.id AND s.i = v.i LEFT JOIN d ON d.id = v.id JOIN w ON w.i = v.i JOIN bias ON bias.o = w.o GROUP BY v.id, w.o")
+@query(f"{_NBR}, {_w_sql(WA, 'w')}, {_BIAS} SELECT v.id, CAST(w.o AS INTEGER) AS pos, round(greatest(sum(w.w * (v.x + coalesce(s.x, 0)) / (coalesce(deg, 0) + 1)) + any_value(b), 0), 6) + 0.0::DOUBLE AS x FROM v LEFT JOIN s ON s.id = v.id AND s.i = v.i LEFT JOIN d ON d.id = v.id JOIN w ON w.i = v.i JOIN bias ON bias.o = w.o GROUP BY v.id, w.o")
 def sage_gcn(x: Fixture) -> DataFrame:
-    return _cells(nn.sage_layer(x.vec(8), _sampled(x), W8, aggregator="GCN", bias=BIAS, act="RELU"))
+    return _cells(nn.sage_layer(x.vec(64), _sampled(x), WA, aggregator="GCN", bias=BIAS, act="RELU"))
 
 
-@query(f"{_NBR}, {_w_sql(W8, 'w')}, {_w_sql(W8B, 'u')} SELECT v.id, CAST(w.o AS INTEGER) AS pos, round(sum(w.w * v.x + u.w * coalesce(s.x, 0) / greatest(coalesce(deg, 0), 1)), 6) + 0.0::DOUBLE AS x FROM v LEFT JOIN s ON s.id = v.id AND s.i = v.i LEFT JOIN d ON d.id = v.id JOIN w ON w.i = v.i JOIN u ON u.i = v.i AND u.o = w.o GROUP BY v.id, w.o")
+@query(f"{_NBR}, {_w_sql(WA, 'w')}, {_w_sql(WB, 'u')} SELECT v.id, CAST(w.o AS INTEGER) AS pos, round(sum(w.w * v.x + u.w * coalesce(s.x, 0) / greatest(coalesce(deg, 0), 1)), 6) + 0.0::DOUBLE AS x FROM v LEFT JOIN s ON s.id = v.id AND s.i = v.i LEFT JOIN d ON d.id = v.id JOIN w ON w.i = v.i JOIN u ON u.i = v.i AND u.o = w.o GROUP BY v.id, w.o")
 def sage_mean(x: Fixture) -> DataFrame:
-    return _cells(nn.sage_layer(x.vec(8), _sampled(x), W8, W8B, "MEAN"))
+    return _cells(nn.sage_layer(x.vec(64), _sampled(x), WA, WB, "MEAN"))
 
 
-@query(f"{_NBR}, f AS (SELECT v.id, v.i, v.x / sqrt(coalesce(deg, 0) + 1) AS x, coalesce(deg, 0) AS deg FROM v LEFT JOIN d ON d.id = v.id), t AS (SELECT src AS id, i, sum(x) AS x FROM e JOIN f ON f.id = dst GROUP BY src, i), {_w_sql(W8, 'w')}, {_BIAS} "
+@query(f"{_NBR}, f AS (SELECT v.id, v.i, v.x / sqrt(coalesce(deg, 0) + 1) AS x, coalesce(deg, 0) AS deg FROM v LEFT JOIN d ON d.id = v.id), t AS (SELECT src AS id, i, sum(x) AS x FROM e JOIN f ON f.id = dst GROUP BY src, i), {_w_sql(WA, 'w')}, {_BIAS} "
        "SELECT f.id, CAST(w.o AS INTEGER) AS pos, round(sum(w.w * (f.x + coalesce(t.x, 0)) / sqrt(f.deg + 1)) + any_value(b), 6) + 0.0::DOUBLE AS x FROM f LEFT JOIN t ON t.id = f.id AND t.i = f.i JOIN w ON w.i = f.i JOIN bias ON bias.o = w.o GROUP BY f.id, w.o")
 def gcn(x: Fixture) -> DataFrame:
-    return _cells(nn.gcn_layer(x.vec(8), _sampled(x), W8, BIAS))
+    return _cells(nn.gcn_layer(x.vec(64), _sampled(x), WA, BIAS))
 
 
-HEADS = [(W8, [0.3, -0.1, 0.2, 0.4], [0.1, 0.5, -0.3, 0.2]), (W8B, [-0.2, 0.3, 0.1, 0.1], [0.4, -0.4, 0.2, 0.3])]
+HEADS = [(WA, [0.3, -0.1, 0.2, 0.4], [0.1, 0.5, -0.3, 0.2]), (WB, [-0.2, 0.3, 0.1, 0.1], [0.4, -0.4, 0.2, 0.3])]
 
 
 def _gat_sql() -> str:
@@ -486,37 +504,37 @@ def _gat_sql() -> str:
 @query(_gat_sql())
 def gat(x: Fixture) -> DataFrame:
     """Two attention heads, averaged."""
-    return _cells(nn.gat_layer(x.vec(8), _sampled(x), HEADS))
+    return _cells(nn.gat_layer(x.vec(64), _sampled(x), HEADS))
 
 
-RELW = {r: [[((i * 3 + j * 5 + r * 2) % 9 - 4) / 10 for j in range(8)] for i in range(4)] for r in range(3)}
+RELW = {r: [[((i * 3 + j * 5 + r * 2) % 9 - 4) / 10 for j in range(64)] for i in range(4)] for r in range(3)}
 
 
-@query(f"{_NBR}, " + ", ".join(_w_sql(RELW[r], f"w{r}") for r in range(3)) + f", wr AS ({' UNION ALL '.join(f'SELECT {r} AS rel, * FROM w{r}' for r in range(3))}), {_w_sql(W8B, 'u')}, {_BIAS}, "
+@query(f"{_NBR}, " + ", ".join(_w_sql(RELW[r], f"w{r}") for r in range(3)) + f", wr AS ({' UNION ALL '.join(f'SELECT {r} AS rel, * FROM w{r}' for r in range(3))}), {_w_sql(WB, 'u')}, {_BIAS}, "
        "t AS (SELECT src AS id, o, sum(w * x) AS x FROM e JOIN v ON v.id = dst JOIN wr ON wr.rel = e.rel AND wr.i = v.i GROUP BY src, o), own AS (SELECT v.id, o, sum(w * x) AS x FROM v JOIN u ON u.i = v.i GROUP BY v.id, o) "
        "SELECT own.id, CAST(own.o AS INTEGER) AS pos, round(own.x + coalesce(t.x / greatest(deg, 1), 0) + b, 6) + 0.0::DOUBLE AS x FROM own LEFT JOIN t ON t.id = own.id AND t.o = own.o LEFT JOIN d ON d.id = own.id JOIN bias ON bias.o = own.o")
 def rgcn(x: Fixture) -> DataFrame:
-    return _cells(nn.rgcn_layer(x.vec(8), _sampled(x), RELW, W8B, BIAS))
+    return _cells(nn.rgcn_layer(x.vec(64), _sampled(x), RELW, WB, BIAS))
 
 
-@query(f"{_NBR}, {_w_sql(W8, 'w')}, {_w_sql(W8B, 'u')} SELECT v.id, CAST(w.o AS INTEGER) AS pos, round(1 / (1 + exp(-sum(w.w * v.x + u.w * coalesce(s.x, 0) / greatest(coalesce(deg, 0), 1)))), 6) AS x FROM v LEFT JOIN s ON s.id = v.id AND s.i = v.i LEFT JOIN d ON d.id = v.id JOIN w ON w.i = v.i JOIN u ON u.i = v.i AND u.o = w.o GROUP BY v.id, w.o")
+@query(f"{_NBR}, {_w_sql(WA, 'w')}, {_w_sql(WB, 'u')} SELECT v.id, CAST(w.o AS INTEGER) AS pos, round(1 / (1 + exp(-sum(w.w * v.x + u.w * coalesce(s.x, 0) / greatest(coalesce(deg, 0), 1)))), 6) AS x FROM v LEFT JOIN s ON s.id = v.id AND s.i = v.i LEFT JOIN d ON d.id = v.id JOIN w ON w.i = v.i JOIN u ON u.i = v.i AND u.o = w.o GROUP BY v.id, w.o")
 def encode_nodes(x: Fixture) -> DataFrame:
     """A two-stage encoder (embedding slice, GraphSage) over all nodes."""
     sampled = _sampled(x)
-    encoder = nn.Encoder([lambda t: nn.embedding_layer(t[0], 0, 8), lambda t: nn.sage_layer(t[0], sampled, W8, W8B, "MEAN", act="SIGMOID")])
+    encoder = nn.Encoder([lambda t: nn.embedding_layer(t[0], 0, 64), lambda t: nn.sage_layer(t[0], sampled, WA, WB, "MEAN", act="SIGMOID")])
     return _cells(encoder.forward([x.embeddings().withColumnRenamed("emb", "vec")]))
 
 
-@query(f"{_NBR}, {_w_sql([r + r for r in W8], 'w')}, c AS (SELECT id, i, x FROM v UNION ALL SELECT id, i + 8, greatest(x, 0) FROM v) SELECT c.id, CAST(w.o AS INTEGER) AS pos, round(sum(w * x), 6) + 0.0::DOUBLE AS x FROM c JOIN w ON w.i = c.i GROUP BY c.id, w.o")
+@query(f"{_NBR}, {_w_sql([r + r for r in WA], 'w')}, c AS (SELECT id, i, x FROM v UNION ALL SELECT id, i + 64, greatest(x, 0) FROM v) SELECT c.id, CAST(w.o AS INTEGER) AS pos, round(sum(w * x), 6) + 0.0::DOUBLE AS x FROM c JOIN w ON w.i = c.i GROUP BY c.id, w.o")
 def linear_reduction(x: Fixture) -> DataFrame:
     """W times the concatenation of a vector and its RELU."""
-    v = x.vec(8)
-    return _cells(nn.linear_reduction([v, v.select("id", V.activation(F.col("vec"), "RELU").alias("vec"))], [r + r for r in W8]))
+    v = x.vec(64)
+    return _cells(nn.linear_reduction([v, v.select("id", V.activation(F.col("vec"), "RELU").alias("vec"))], [r + r for r in WA]))
 
 
 @query(f"{BASE}, v AS (SELECT id, i, emb[i] AS x FROM emb, {_CELLS}) SELECT id, CAST(i - 1 AS INTEGER) AS pos, round(1 / (1 + exp(-x)), 6) AS x FROM v")
 def activation(x: Fixture) -> DataFrame:
-    return _cells(x.vec(8).select("id", V.activation(F.col("vec"), "SIGMOID").alias("vec")))
+    return _cells(x.vec(64).select("id", V.activation(F.col("vec"), "SIGMOID").alias("vec")))
 
 
 for _name, _scale in (("init_glorot", "sqrt(6.0::DOUBLE / (n + 8))"), ("init_uniform", "0.05::DOUBLE")):
@@ -568,6 +586,18 @@ def range_read(x: Fixture) -> DataFrame:
     return T.range_read(x.embeddings(), x.n - x.read("part").count(), 100).select("id", _fold("emb"))
 
 
+@query(f"{BASE} SELECT id, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN id < 100 THEN -emb[i] WHEN id < 300 THEN 2 * emb[i] ELSE emb[i] END * i)), 5) AS x FROM emb")
+def range_put(x: Fixture) -> DataFrame:
+    """All node vectors after a slice is overwritten and another doubled in a table kept by ranges of 128 ids."""
+    import uuid
+
+    table = RangedTable(x.spark, f"{scratch_dir(x.spark)}/ranged-{uuid.uuid4().hex}", 128).create(x.embeddings())
+    kept = materialize(table.read(), "kept")
+    table.range_put(0, T.range_read(kept, 0, 100).select("id", V.scale(F.col("emb"), F.lit(-1.0)).alias("emb")))
+    table.add(T.range_read(kept, 100, 200))
+    return table.read().select("id", _fold("emb"))
+
+
 @query(f"{BASE} SELECT id, {_FOLD.format('emb')} AS x FROM emb UNION ALL SELECT id + n, {_FOLD.format('emb')} FROM emb, cnt")
 def append_rows(x: Fixture) -> DataFrame:
     emb = x.embeddings()

@@ -252,6 +252,105 @@ def load_config(values: dict[str, Any]) -> GraphConfig:
     return config
 
 
+def _options(node: Any) -> dict[str, Any]:
+    return (node or {}).get("options") or {} if isinstance(node, dict) else {}
+
+
+#: Options of the document form that say where and how another engine runs; Spark decides these.
+ENGINE_OPTIONS = {"storage": ("device_type", "device_ids", "prefetch", "save_model", "log_level", "full_graph_evaluation", "export_encoded_nodes", "model_dir", "train_edges_pre_sorted", "gpu_model_average"), "training": ("epochs_per_shuffle", "logs_per_epoch", "save_model", "pipeline", "resume_training", "resume_from_checkpoint", "checkpoint")}
+
+
+def from_document(doc: dict[str, Any]) -> GraphConfig:
+    """A configuration from the nested document form: layer stages, ``type`` with ``options``, and sampling sections.
+
+    Stages: EMBEDDING and FEATURE layers are the encoder's inputs, GNN layers follow, one in a stage, each with the sampler
+    of its hop from train_neighbor_sampling. Options that only place work on devices are left to Spark; all others must be
+    known, or they raise.
+    """
+    model, storage, training, evaluation = (dict(doc.get(k) or {}) for k in ("model", "storage", "training", "evaluation"))
+    if unknown := set(doc) - {"model", "storage", "training", "evaluation"}:
+        raise ValueError(f"unknown sections {sorted(unknown)}")
+    out: dict[str, Any] = {"model": {}, "storage": {}, "training": {}, "evaluation": {}}
+    m = out["model"]
+    encoder, decoder = model.pop("encoder", None) or {}, model.pop("decoder", None) or {}
+    samplers = encoder.get("train_neighbor_sampling") or []
+    layers: list[dict[str, Any]] = []
+    for stage in encoder.get("layers") or []:
+        for layer in stage:
+            kind, options = str(layer.get("type", "")).upper(), _options(layer)
+            if kind == "EMBEDDING":
+                m["embedding_dim"] = layer["output_dim"]
+            elif kind == "GNN":
+                if len(stage) != 1:
+                    raise ValueError("a stage has one GNN layer")
+                sampler = samplers[len(layers)] if len(layers) < len(samplers) else {"type": "ALL"}
+                own = {"type": options.get("type", "SAGE"), "output_dim": layer["output_dim"], "activation": layer.get("activation", "NONE"), "bias": bool(layer.get("bias", False)), "sampler": sampler.get("type", "ALL")}
+                if "aggregator" in options:
+                    own["aggregator"] = options["aggregator"]
+                limits = _options(sampler)
+                own |= {a: limits[b] for a, b in (("max_neighbors", "max_neighbors"), ("rate", "rate")) if b in limits}
+                layers.append(own)
+            elif kind != "FEATURE":
+                raise ValueError(f"no layer of type {kind}")
+    if layers:
+        m["encoder"] = layers
+    for k, v in (("use_incoming_nbrs", encoder.get("use_incoming_nbrs")), ("use_outgoing_nbrs", encoder.get("use_outgoing_nbrs"))):
+        if v is not None:
+            m[k] = v
+    if decoder:
+        options = _options(decoder)
+        m["decoder"] = decoder["type"]
+        if "inverse_edges" in options:
+            m["inverse_edges"] = options["inverse_edges"]
+        if "input_dim" in options and not layers and options["input_dim"] != m.get("embedding_dim", options["input_dim"]):
+            raise ValueError("the decoder's input_dim is the encoder's output_dim")
+        if EdgeDecoderMethod.parse(options.get("edge_decoder_method", "CORRUPT_NODE")) is not EdgeDecoderMethod.CORRUPT_NODE:
+            raise ValueError("training replaces nodes")
+    if loss := model.pop("loss", None):
+        m["loss"] = {"type": loss["type"]} | {k: v for k, v in _options(loss).items() if k in ("reduction", "margin")}
+    for k in ("dense_optimizer", "sparse_optimizer"):
+        if o := model.pop(k, None):
+            m[k] = {"type": o["type"]} | {a: _options(o)[a] for a in ("learning_rate", "eps", "weight_decay") if a in _options(o)}
+    m |= model
+    dataset = storage.pop("dataset", None)
+    if dataset:
+        out["storage"]["dataset"] = {k: v for k, v in dataset.items() if k in {f.name for f in dataclasses.fields(DatasetConfig)}}
+    if edges := storage.pop("edges", None):
+        out["storage"]["edges"] = edges["type"]
+    if embeddings := storage.pop("embeddings", None):
+        out["storage"]["embeddings"] = embeddings["type"]
+        names = {"num_partitions": "num_partitions", "buffer_capacity": "buffer_capacity", "fine_to_coarse_ratio": "fine_to_coarse_ratio", "num_cache_partitions": "num_cache_partitions", "edge_bucket_ordering": "ordering"}
+        if parts := {b: _options(embeddings)[a] for a, b in names.items() if a in _options(embeddings)}:
+            out["storage"]["partitions"] = parts
+    for section, values in (("storage", storage), ("training", training)):
+        for k in ENGINE_OPTIONS[section]:
+            values.pop(k, None)
+    out["storage"] |= {k: v for k, v in storage.items() if k not in ("features", "nodes")}
+    negatives = dict(training.pop("negative_sampling", None) or {})
+    if method := training.pop("negative_sampling_method", None):
+        negatives["method"] = method
+    for k in ("negative_sampling_selected_ratio", "selected_ratio"):
+        if k in training:
+            negatives["ratio"] = training.pop(k)
+    negatives.pop("local_filter_mode", None)
+    out["training"] = training | ({"negatives": negatives} if negatives else {})
+    sampled = dict(evaluation.pop("negative_sampling", None) or {})
+    sampled.pop("local_filter_mode", None)
+    for k in ("pipeline", "epochs_per_shuffle"):
+        evaluation.pop(k, None)
+    out["evaluation"] = evaluation | ({"negatives": {"filtered": False} | sampled} if sampled else {})
+    return load_config(out)
+
+
+def load_yaml(text: str) -> GraphConfig:
+    """A configuration from YAML text in the document form."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("YAML needs the yaml package; from_document takes dictionaries") from e
+    return from_document(yaml.safe_load(text) or {})
+
+
 def validate(c: GraphConfig) -> None:
     """Raises ValueError where options are out of range or do not fit each other."""
     p, n = c.storage.partitions, c.training.negatives

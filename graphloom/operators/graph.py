@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,8 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(counts, "id", "left").select("id", zero("in_degree"), zero("out_degree"))
 
 
-def offsets(counted: DataFrame, degree: str, blocks: int = 64) -> DataFrame:
-    """(id, degree, start): where each node's edges begin in id order. Ids are dense, so ranges of ids are summed first."""
-    size = counted.agg((F.max("id") + 1).alias("n")).first()["n"] or 1
-    width = -(-size // blocks)
+def offsets(counted: DataFrame, degree: str, width: int = 1 << 16) -> DataFrame:
+    """(id, degree, start): where each node's edges begin in id order. Ids are dense, so ranges of ``width`` ids are summed first."""
     rows = counted.select("id", F.col(degree).alias("degree"), F.floor(F.col("id") / F.lit(width)).alias("_b"))
     before = lambda w: F.coalesce(F.sum("degree").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = rows.groupBy("_b").agg(F.sum("degree").alias("degree"))
@@ -39,19 +39,38 @@ def sample_all(ids: DataFrame, edges: DataFrame, incoming: bool = False) -> Data
     return neighbours(ids, edges, incoming)
 
 
-def sample_uniform(ids: DataFrame, edges: DataFrame, most: int, incoming: bool = False, salt: str = "uniform") -> DataFrame:
-    """All neighbours up to ``most``; beyond, ``most`` draws with replacement. ``draw`` numbers a node's rows."""
-    found = neighbours(ids, edges, incoming)
-    w = Window.partitionBy("node").orderBy("nbr", "rel")
-    ranked = found.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
-    counts = found.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    small = counts.where(F.col("degree") <= most)
-    large = counts.where(F.col("degree") > most).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))))
-    large = large.withColumn("idx", h48(F.concat_ws("-", "node", "draw"), salt) % F.col("degree"))
-    kept = ranked.join(small.select("node"), "node").withColumn("draw", F.col("idx"))
-    drawn = ranked.join(large.select("node", "idx", "draw"), ["node", "idx"])
-    cols = ["node", "draw", "nbr", "rel", "direction"]
-    return kept.select(*cols).unionByName(drawn.select(*cols))
+@dataclass
+class Adjacency:
+    """Neighbour lists as one numbered table, so that a draw is a join on a row number and a hub's list is spread over tasks.
+
+    ``rows``: (number, node, nbr, rel, direction) in order of (node, nbr, rel); ``starts``: (node, start, degree).
+    """
+
+    rows: DataFrame
+    starts: DataFrame
+
+
+def adjacency(edges: DataFrame, incoming: bool = False, ids: DataFrame | None = None) -> Adjacency:
+    """The index of all edges, or of those of the given (node) rows; rows are range-partitioned by the whole key."""
+    key, other = ("dst", "src") if incoming else ("src", "dst")
+    found = edges.select(F.col(key).alias("node"), F.col(other).alias("nbr"), "rel") if ids is None else neighbours(ids, edges, incoming).select("node", "nbr", "rel")
+    rows = number_rows(found, [F.col("node"), F.col("nbr"), F.col("rel")], "number")
+    starts = rows.groupBy("node").agg(F.min("number").alias("start"), F.count(F.lit(1)).alias("degree"))
+    return Adjacency(rows.withColumn("direction", F.lit("in" if incoming else "out")), materialize(starts, "starts"))
+
+
+def sample_uniform(ids: DataFrame, edges: DataFrame, most: int, incoming: bool = False, salt: str = "uniform", index: Adjacency | None = None) -> DataFrame:
+    """All neighbours up to ``most``; beyond, ``most`` draws with replacement. ``draw`` numbers a node's rows.
+
+    A draw is a place in the node's list, which is a row number of the index: nothing is joined or windowed by node but
+    the list's start and length.
+    """
+    found = index or adjacency(edges, incoming, ids)
+    long = lambda x: F.lit(x).cast("long")
+    wanted = found.starts.join(ids.select("node").distinct(), "node").withColumn("draw", F.explode(F.sequence(long(0), F.least(F.col("degree"), long(most)) - 1)))
+    place = F.when(F.col("degree") <= most, F.col("draw")).otherwise(h48(F.concat_ws("-", "node", "draw"), salt) % F.col("degree"))
+    drawn = wanted.select("draw", (F.col("start") + place).alias("number"))
+    return drawn.join(found.rows, "number").select("node", "draw", "nbr", "rel", "direction")
 
 
 def sample_dropout(ids: DataFrame, edges: DataFrame, rate: float, incoming: bool = False, salt: str = "dropout") -> DataFrame:
@@ -60,13 +79,13 @@ def sample_dropout(ids: DataFrame, edges: DataFrame, rate: float, incoming: bool
     return found.where(uniform(F.concat_ws("-", "node", "nbr", "rel"), salt) >= F.lit(rate))
 
 
-def sample(ids: DataFrame, edges: DataFrame, kind: str, incoming: bool = False, most: int = -1, rate: float = 0.0) -> DataFrame:
+def sample(ids: DataFrame, edges: DataFrame, kind: str, incoming: bool = False, most: int = -1, rate: float = 0.0, index: Adjacency | None = None) -> DataFrame:
     """Sampler by name; a negative ``most`` means all."""
     kind = kind.upper()
     if kind == "ALL" or kind == "UNIFORM" and most < 0:
         return sample_all(ids, edges, incoming)
     if kind == "UNIFORM":
-        return sample_uniform(ids, edges, most, incoming)
+        return sample_uniform(ids, edges, most, incoming, index=index)
     if kind == "DROPOUT":
         return sample_dropout(ids, edges, rate, incoming)
     raise ValueError(f"unknown sampler {kind}")
@@ -77,13 +96,15 @@ def hops(roots: DataFrame, edges: DataFrame, layers: list[dict], use_incoming: b
 
     Hop 0 holds the roots; a node belongs to the first hop that reaches it.
     """
+    wide = [x for x in layers if x.get("kind", "").upper() == "UNIFORM" and x.get("most", -1) >= 0]
+    index = {incoming: adjacency(edges, incoming) for wanted, incoming in ((use_incoming, True), (use_outgoing, False)) if wanted and wide}
     seen = materialize(roots.select("node").distinct().withColumn("hop", F.lit(0)), "hop")
     frontier, found = seen.select("node"), None
     for k, layer in enumerate(layers, 1):
         sampled = None
         for wanted, incoming in ((use_incoming, True), (use_outgoing, False)):
             if wanted:
-                part = sample(frontier, edges, incoming=incoming, **layer).select("node", "nbr", "rel", "direction")
+                part = sample(frontier, edges, incoming=incoming, index=index.get(incoming), **layer).select("node", "nbr", "rel", "direction")
                 sampled = part if sampled is None else sampled.unionByName(part)
         sampled = materialize(sampled.withColumn("hop", F.lit(k)), "hop-edges")
         found = sampled if found is None else found.unionByName(sampled)

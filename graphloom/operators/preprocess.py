@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.hashing import h48
-from graphloom.runtime import number_rows
+from graphloom.runtime import materialize, number_rows, sized_broadcast
 
 
 def node_set(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -139,7 +139,8 @@ def id_count(df: DataFrame, column: str) -> DataFrame:
 def shuffle_rows(df: DataFrame, key: Column, within: str | None = None, salt: str = "shuffle") -> DataFrame:
     """Rows with a position in hash order, inside each bucket where one is named."""
     keyed = df.withColumn("_k", key).withColumn("_h", h48(F.col("_k"), salt))
-    if within:
-        w = Window.partitionBy(within).orderBy("_h", "_k")
-        return keyed.withColumn("position", (F.row_number().over(w) - 1).cast("long")).drop("_k", "_h")
+    if within:  # a bucket's rows follow each other in the whole order, so its first number is taken off
+        rows = number_rows(keyed, [F.col(within), F.col("_h"), F.col("_k")], "_row").drop("_k", "_h")
+        first = materialize(rows.groupBy(within).agg(F.min("_row").alias("_first")), "firsts")
+        return rows.join(sized_broadcast(first, 16), within).withColumn("position", F.col("_row") - F.col("_first")).drop("_row", "_first")
     return number_rows(keyed, [F.col("_h"), F.col("_k")], "position").drop("_k", "_h")

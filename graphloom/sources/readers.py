@@ -16,27 +16,53 @@ DTYPES = {"INT": "<i4", "INT32": "<i4", "LONG": "<i8", "INT64": "<i8", "FLOAT":
 
 
 def read_delimited(spark: SparkSession, path: str, columns: tuple[int, ...] = (0, 1, 2), delimiter: str = "\t", header_rows: int = 0, strings: bool = True) -> DataFrame:
-    """(src, rel, dst), or (src, dst) for two columns, by position; the first ``header_rows`` lines of each file go."""
+    """(src, rel, dst), or (src, dst) for two columns, by position; the first ``header_rows`` lines of each file go.
+
+    With one header row files are read as CSV, quotes included; else lines are split by plain text.
+    """
     if len(columns) not in (2, 3):
         raise ValueError("two or three columns are needed")
-    if header_rows:
-        return _csv(spark, path, columns, delimiter, header_rows, strings)
-    lines = spark.read.text(path)
+    if header_rows == 1:
+        return _csv(spark, path, columns, delimiter, strings)
+    lines = _without_headers(spark, path, header_rows) if header_rows else spark.read.text(path)
     parts = F.split("value", "\\Q" + delimiter + "\\E")
     names = ("src", "rel", "dst") if len(columns) == 3 else ("src", "dst")
     kind = "string" if strings else "long"
     return lines.select(*[F.get(parts, F.lit(c)).cast(kind).alias(n) for c, n in zip(columns, names, strict=True)])
 
 
-def _csv(spark: SparkSession, path: str, columns: tuple[int, ...], delimiter: str, header_rows: int, strings: bool) -> DataFrame:
-    if header_rows != 1:
-        raise ValueError("files have one header row or none")
+def _csv(spark: SparkSession, path: str, columns: tuple[int, ...], delimiter: str, strings: bool) -> DataFrame:
     names = ("src", "rel", "dst") if len(columns) == 3 else ("src", "dst")
     rows = spark.read.option("header", True).option("sep", delimiter).csv(path)
     kind = "string" if strings else "long"
     return rows.select(*[F.col(f"`{rows.columns[c]}`").cast(kind).alias(n) for c, n in zip(columns, names, strict=True)])
 
 
+def _without_headers(spark: SparkSession, path: str, header_rows: int) -> DataFrame:
+    """(value) of the lines after each file's first ``header_rows``.
+
+    Spark reads a file's split beginning at byte 0 in order, so a header's lines are the first rows of the partition that
+    holds that split, as long as they end in it: splits are far longer than headers.
+    """
+    own = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    out = pa.schema([("value", pa.string())])
+
+    def run(batches):
+        seen: dict[str, int] = {}
+        for b in batches:
+            files, blocks = b.column("file").to_pylist(), b.column("block").to_pylist()
+            kept = []
+            for i, (file, block) in enumerate(zip(files, blocks, strict=True)):
+                n = seen.get(file, 0)
+                if block == 0 and n < header_rows:
+                    seen[file] = n + 1
+                else:
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([b.column("value").take(pa.array(kept, pa.int64()))], schema=out)
+
+    return own.mapInArrow(run, "value string")
+
+
 def read_matrix(spark: SparkSession, path: str, width: int, dtype: str, column: str = "row") -> DataFrame:
     """(file, place, row): rows of headerless row-major files; rows of a file are numbered in order."""
     ship(spark)

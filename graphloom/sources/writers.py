@@ -24,6 +24,13 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot rename {old} to {new}")
 
 
+def copy(spark: SparkSession, old: str, new: str) -> None:
+    """A copy of a file or folder, made by the store's own file systems."""
+    (a, source), (b, target) = _path(spark, old), _path(spark, new)
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(source, a, target, b, False, True, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"cannot copy {old} to {new}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.delete(p, True)
@@ -39,12 +46,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def write_dataset(edges: DataFrame, nodes: DataFrame, relations: DataFrame | None, path: str, description: dict) -> None:
+def write_dataset(edges: DataFrame, nodes: DataFrame | None, relations: DataFrame | None, path: str, description: dict) -> None:
     """Edges partitioned by split and buckets, mappings as CSV, the description as JSON."""
     spark = edges.sparkSession
     parts = [c for c in ("split", "src_part", "dst_part") if c in edges.columns]
     edges.repartition(*parts).sortWithinPartitions("src", "dst").write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/edges")
-    nodes.select("raw", "id").write.mode("overwrite").option("header", False).csv(f"{path}/node_mapping")
+    if nodes is not None:
+        nodes.select("raw", "id").write.mode("overwrite").option("header", False).csv(f"{path}/node_mapping")
     if relations is not None:
         relations.select("raw", "id").write.mode("overwrite").option("header", False).csv(f"{path}/relation_mapping")
     write_text(spark, f"{path}/dataset.json", json.dumps(description))
