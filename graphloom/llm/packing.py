@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import batch, map_arrow, materialize
+from graphloom.llm.pieces import byte_letters, latin
 from graphloom.runtime import sized_broadcast
 
 #: Ids of a sequence and of a unit of the linear program; what a sequence costs beside its ids, in units.
@@ -270,13 +271,6 @@ _MARKS = b".,;:!?#$%*&|"
 _encoders: dict[int, object] = {}
 
 
-def _byte_letters() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: printable ones themselves, the rest from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b if b in plain else next(others)) for b in range(256)]
-
-
 def _encoder(model: str):
     """Ids of texts (bytes) as little-endian 32-bit integers; words between ASCII white space are remembered.
 
@@ -290,31 +284,29 @@ def _encoder(model: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(model)
-    letters, merges = _byte_letters(), tokenizer.model
+    letters, merges = byte_letters(), tokenizer.model
     memory: dict[bytes, bytes] = {}
     older: dict[bytes, bytes] = {}
     pack = lambda ids: np.array(ids, "<u4").tobytes()
 
-    def latin(word: bytes) -> bytes | None:
+    def of_letters(word: bytes) -> bytes | None:
         """Ids of a word of Latin letters."""
         s = word.decode().lower()
-        if not s.isalpha():
+        if not latin(s):
             return None
         if not s.isascii():
-            if max(s) >= "\u0250":
-                return None
             s = "".join(map(letters.__getitem__, s.encode()))
         return array("I", [t.id for t in merges.tokenize(s)]).tobytes()
 
     library = lambda word: pack(tokenizer.encode(word.decode(), add_special_tokens=False).ids)
     probes = [x.encode() for x in ("the", "Zürich", "ÇÀ", "ofononwhnt", "œuvre", "ŐŁĲ", "Straße")]
-    direct = all(latin(x) == library(x) for x in probes) and all(library(x + m) == library(x) + library(m) for x in probes for m in (b".", b"###", b",;"))
+    direct = all(of_letters(x) == library(x) for x in probes) and all(library(x + m) == library(x) + library(m) for x in probes for m in (b".", b"###", b",;"))
 
     def learn(new: list[bytes]) -> None:
         rest = []
         for w in new:
             stem = w.rstrip(_MARKS) if direct else b""
-            ids = (memory.get(stem) or latin(stem)) if stem else None
+            ids = (memory.get(stem) or of_letters(stem)) if stem else None
             if ids is None:
                 rest.append(w)
                 continue

@@ -19,3 +19,15 @@ def split_pieces(text: str) -> list[str]:
     first, *rest = text.split(" ")
     pieces = [" " + x for x in rest]
     return [first, *pieces] if first else pieces
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones themselves, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+def latin(word: str) -> bool:
+    """Whether a word is of Latin letters only, which every usual pattern takes as one pre-token."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
