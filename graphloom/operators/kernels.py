@@ -247,7 +247,7 @@ ROWS = "batch_id long, chunk_id long, kind long, edge long, id long, rel long, o
 
 def chunk_rows(batches: DataFrame, drawn: DataFrame, nodes: DataFrame, relations: DataFrame, corrupt: str = "dst", vector: str = "emb", left_out: DataFrame | None = None, generator: DataFrame | None = None) -> DataFrame:
     """All rows of all chunks, chunk by chunk. batches: (edge, batch_id, chunk_id, src, rel, dst); drawn: (batch_id, chunk_id,
-    node); left_out: (edge, node); ``vector`` names the relations' column; generator: (id, emb)."""
+    node); left_out: (edge, node), of one batch where it has a batch_id; ``vector`` names the relations' column; generator: (id, emb)."""
     keep = "src" if corrupt == "dst" else "dst"
     keys = ["batch_id", "chunk_id"]
     edges = batches.select(*keys, "edge", F.col(keep).alias("id"), "rel", F.col(corrupt).alias("other"))
@@ -261,7 +261,8 @@ def chunk_rows(batches: DataFrame, drawn: DataFrame, nodes: DataFrame, relations
     rels = edges.select(*keys, "rel").distinct().join(sized_broadcast(relations.select("rel", F.col(vector).alias("vec")), width), "rel")
     parts = [found.withColumn("kind", F.lit(NODE)), rels.withColumn("kind", F.lit(RELATION)), edges.withColumn("kind", F.lit(EDGE)), negatives.withColumn("kind", F.lit(NEGATIVE))]
     if left_out is not None:
-        parts.append(edges.select(*keys, "edge").join(left_out.select("edge", F.col("node").alias("id")).distinct(), "edge").withColumn("kind", F.lit(LEFT_OUT)))
+        by = [c for c in ("edge", "batch_id") if c in left_out.columns]
+        parts.append(edges.select(*keys, "edge").join(left_out.select(*by, F.col("node").alias("id")).distinct(), by).withColumn("kind", F.lit(LEFT_OUT)))
     names = {f.split()[0]: f.split()[1] for f in ROWS.split(", ")}
     every = None
     for p in parts:
