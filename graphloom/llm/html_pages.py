@@ -53,6 +53,33 @@ class PageMaker:
         attr = f' {r.choice(("class", "id"))}="{name}{r.choice(("", "", " x" + str(r.randint(1, 99))))}"' if name else ""
         return f'<{tag} data-label="{label}"{attr}>{inner}' + (f"</{tag}>" if close else "")
 
+    def bare(self, text: str, label: int) -> str:
+        """Text beside blocks; the mark around it is read in training only."""
+        return f'<data data-label="{label}">{text}</data>'
+
+    def caption(self, label: int) -> str:
+        """Elements that hold a short text of their own."""
+        r = self.r
+        kind = r.random()
+        if kind < 0.35:
+            return self.node("figure", '<img src="x">' + self.node("figcaption", self.words(1, 12), label), label)
+        if kind < 0.7:
+            return self.node("details", self.node("summary", self.words(1, 7), label) + (self.paragraphs(label, 1, 2) if r.random() < 0.7 else self.bare(self.sentences(1, 2), label)), label)
+        if kind < 0.85:
+            return self.node("dl", "".join(self.node("dt", self.words(1, 3), label) + self.node("dd", self.sentences(1, 2), label) for _ in range(r.randint(1, 3))), label)
+        return self.node("blockquote", self.bare(self.sentences(1, 2), label) + self.node("p", self.words(2, 9), label), label)
+
+    def points(self, label: int, depth: int = 0) -> str:
+        """A list of short texts, some with a list inside them."""
+        r = self.r
+        items = []
+        for _ in range(r.randint(2, 5) if not depth else r.randint(1, 3)):
+            text = self.words(2, 12) if r.random() < 0.7 else self.sentences(1, 2)
+            if depth < 2 and r.random() < 0.2:
+                text = self.bare(text, label) + self.points(label, depth + 1) + (self.bare(self.words(2, 9), label) if r.random() < 0.4 else "")
+            items.append(self.node("li", text, label))
+        return self.node(r.choice(("ul", "ol")), "".join(items), label)
+
     def links(self, label: int, low: int = 2, high: int = 9) -> str:
         item = lambda: self.node("li", f'<a href="/{self.r.randint(1, 99)}">{self.words(1, 4)}</a>', label)
         return self.node("ul", "".join(item() for _ in range(self.r.randint(low, high))), label)
@@ -108,7 +135,7 @@ class PageMaker:
             elif kind < 0.78:
                 parts.append(self.node("h2", self.words(1, 6), c) + self.paragraphs(c, 1, 3))
             elif kind < 0.84:
-                parts.append(self.node(r.choice(("ul", "ol")), "".join(self.node("li", self.words(2, 12) if r.random() < 0.7 else self.sentences(1, 2), c) for _ in range(r.randint(2, 5))), c))
+                parts.append(self.points(c))
             elif kind < 0.88:
                 parts.append(self.node("blockquote", self.paragraphs(c, 1, 2), c))
             elif kind < 0.91:
@@ -116,6 +143,10 @@ class PageMaker:
                 parts.append(self.node("table", "".join(row() for _ in range(r.randint(1, 4))), c))
             elif kind < 0.93:
                 parts.append(self.node("pre", self.words(3, 20), c))
+            elif kind < 0.97:
+                parts.append(self.caption(c))
+            else:
+                parts.append(self.node("div", self.bare(self.sentences(1, 4), c) + self.paragraphs(c, 1, 2) + (self.bare(self.sentences(1, 3), c) if r.random() < 0.5 else ""), c))
             if r.random() < 0.2:
                 self.named = True
                 parts.append(self.boiler())
@@ -132,10 +163,14 @@ class PageMaker:
             body = self.node(r.choice(("div", "section", "div")), body, CONTENT, MAIN_NAMES)
         if r.random() < 0.06:
             body = ""
+        elif r.random() < 0.08:  # text of the article beside its blocks
+            body = self.bare(self.sentences(1, 6), CONTENT) + (body if r.random() < 0.6 else self.paragraphs(CONTENT, 1, 2)) + (self.bare(self.sentences(1, 3), CONTENT) if r.random() < 0.3 else "")
         if r.random() < 0.12:
             bare = r.choice((self.paragraphs(CONTENT, 1, 3), self.main(), self.node("div", self.sentences(1, 4), CONTENT)))
             return bare if r.random() < 0.4 else f"<html data-label=2><body data-label=2>{bare}</body></html>"
         before = "".join(self.boiler() for _ in range(r.choice((0, 1, 2, 2, 3))))
+        if r.random() < 0.08:  # links and notes beside blocks
+            before = self.bare(r.choice((f'<a href="#m">{self.words(1, 4)}</a>', f'<a href="/">{self.words(1, 2)}</a> | <a href="/x">{self.words(1, 2)}</a>', self.words(1, 3))), BOILER) + before
         after = "".join(self.boiler() for _ in range(r.choice((0, 1, 1, 2, 4))))
         if r.random() < 0.35:
             inside = r.random() < 0.7

@@ -7,11 +7,13 @@ probabilities of being boilerplate, content, or a wrapper that mixes both. Decod
 the whole tree in which a wrapper may hold anything, content only content and boilerplate, boilerplate only boilerplate.
 
 Text directly inside content nodes is kept: character references decoded, white space (br included) made one space,
-blocks joined by a line feed in page order. Nothing is cut off.
+blocks joined by a line feed in page order. Text beside blocks, in a wrapper or any other element, is a node of its own and
+labelled like the others. Nothing is cut off.
 
 Defined cases: null and empty pages give the empty text; the text of a page without block elements is its content; unclosed, misnested and truncated
-tags are read as far as they go; repeated rows are extracted one by one; an empty table gives an empty result; extra
-columns are ignored.
+tags are read as far as they go, in time that grows with the page's length alone; pages of any length are read whole; of
+equally likely labels boilerplate comes before content and content before wrapper; repeated rows are extracted one by one;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +40,14 @@ _LABEL = re.compile(r'data-label="?(\d)')
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 #: Elements whose content is not text, elements without content, inline elements.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select option button title head map datalist".split())
+RAW = frozenset("script style noscript template iframe svg canvas audio video textarea select option button title head datalist annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var object map math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mspace mstyle mpadded mfenced semantics".split())
 CELLS = frozenset(("td", "th"))
 #: What an opening tag closes when it is open above it, up to the named borders.
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 #: Feature groups of tags and of attribute tokens.
-TAGS = tuple(frozenset(g.split()) for g in ("article main", "nav menu", "header", "footer", "aside", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table tr td th tbody thead", "form fieldset", "blockquote pre figure", "body html"))
+TAGS = tuple(frozenset(g.split()) for g in ("article main", "nav menu", "header", "footer", "aside", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table tr td th tbody thead", "form fieldset", "blockquote pre figure figcaption details summary", "body html", "#text"))
 NAMES = tuple(frozenset(g.split()) for g in (
     "content article post entry story main text", "nav menu navbar breadcrumb breadcrumbs topbar pagination tags", "ad ads advert adverts advertisement adbox sponsored sponsor promo banner adslot", "sidebar side widget rail related aside trending recommended",
     "cookie cookies consent notice gdpr popup alert newsletter subscribe modal overlay privacy", "comments comment discussion respond replies reply disqus", "header masthead top branding", "footer bottom copyright legal", "share social sharing follow", "search login signup form"))
@@ -60,22 +62,47 @@ class Node:
 
 
 def parse(source: str, labelled: bool = False) -> list[Node]:
-    """Block elements in page order, the root first; each has its direct text as (place, text, inside a link)."""
+    """Block elements and, inside elements that hold other blocks, runs of text of their own, as #text nodes; the root first,
+    parents before children. Nodes have their direct text as (place, text, inside a link). Time grows with the length alone.
+    """
     nodes = [Node("#root", -1, "")]
     stack, at, place, link = [0], 0, 0, False
     end = len(source)
+    open_at: dict[str, list[int]] = {}
+    parents: set[int] = set()
+    run: dict[int, int] = {}
+    unclosed: set[str] = set()
+    mark = -1
 
     def add(text: str) -> None:
-        nonlocal place
-        if text:
-            nodes[stack[-1]].parts.append((place, text, link))
+        """Text of the innermost open element, or of the run of text that stands between its blocks."""
+        nonlocal mark
+        if not text:
+            return
+        own = stack[-1]
+        if own in parents:
+            if own not in run:
+                if not text.strip():
+                    return
+                nodes.append(Node("#text", own, ""))
+                nodes[-1].label = mark
+                run[own] = len(nodes) - 1
+            own = run[own]
+        elif mark >= 0 and nodes[own].after < 0 and text.strip():
+            nodes[own].after = mark
+        nodes[own].parts.append((place, text, link))
 
     def pop_to(depth: int) -> None:
         nonlocal place, link
+        for i in stack[depth:]:
+            open_at[nodes[i].tag].pop()
+            run.pop(i, None)
         del stack[depth:]
+        run.pop(stack[-1], None)
         place += 1
         link = False
 
+    nodes[0].after = -1
     while at < end:
         m = _TOKEN.search(source, at)
         if not m:
@@ -87,33 +114,38 @@ def parse(source: str, labelled: bool = False) -> list[Node]:
             tag = m[1].lower()
             if tag == "a":
                 link = False
-            elif tag not in INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        pop_to(k)
-                        break
+            elif tag == "data":
+                mark = -1
+            elif tag not in INLINE and open_at.get(tag):
+                pop_to(open_at[tag][-1])
             continue
         tag = (m[2] or m[4] or "").lower()
         if not tag:
             continue
+        attrs = m[3] or m[5] or ""
         if tag in RAW:
-            if not (m[3] or m[5] or "").endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+            if not attrs.endswith("/"):
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 if close:
                     at = close.end()
-                elif tag not in ("head", "select", "option", "button", "map", "object"):
+                elif tag not in ("head", "select", "option", "button"):
                     at = end
+                else:
+                    unclosed.add(tag)
             if tag not in ("head", "option"):
-                nodes[stack[-1]].parts.append((place, " ", False))
+                add(" ")
             continue
         if tag == "a":
             link = True
             continue
         if tag in INLINE:
+            if labelled and tag == "data" and (found := _LABEL.search(attrs)):
+                mark = int(found[1])
             continue
         if tag in VOID:
             if tag == "hr":
                 place += 1
+                run.pop(stack[-1], None)
             elif tag == "br":
                 add(" ")
             continue
@@ -121,17 +153,28 @@ def parse(source: str, labelled: bool = False) -> list[Node]:
             pop_to(len(stack) - 1)
         if tag in CLOSES:
             closed, borders = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in borders:
-                    break
-                if nodes[stack[k]].tag in closed.split():
-                    pop_to(k)
-        attrs = m[3] or m[5] or ""
-        node = Node(tag, stack[-1], " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)))
+            deepest = lambda tags: max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+            k = deepest(closed.split())
+            if k > deepest(borders):
+                pop_to(k)
+        own = stack[-1]
+        if own not in parents:
+            parents.add(own)
+            x = nodes[own]
+            if any(t.strip() for _, t, _ in x.parts):
+                first = Node("#text", own, "")
+                first.parts, x.parts, first.label = x.parts, [], x.after
+                nodes.append(first)
+            else:
+                x.parts = []
+        run.pop(own, None)
+        node = Node(tag, own, " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)))
+        node.after = -1
         if labelled:
             found = _LABEL.search(attrs)
             node.label = int(found[1]) if found else -1
         nodes.append(node)
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(len(nodes) - 1)
         link = False
         if tag in CELLS:
@@ -198,20 +241,24 @@ def features(nodes: list[Node]) -> np.ndarray:
 
 
 def decode(nodes: list[Node], logs: np.ndarray) -> np.ndarray:
-    """The likeliest consistent label of every node."""
+    """The likeliest consistent label of every node; text beside the blocks of a content element is content."""
     n = len(nodes)
     best = logs.copy()
     for i in range(n - 1, 0, -1):
         b, c, m = best[i]
         up = best[nodes[i].parent]
+        text = nodes[i].tag == "#text"
         up[BOILER] += b
-        up[CONTENT] += max(b, c)
-        up[MIXED] += max(b, c, m)
+        up[CONTENT] += c if text else max(b, c)
+        up[MIXED] += max(b, c) if text else max(b, c, m)
     label = np.zeros(n, np.int64)
-    label[0] = MIXED if n > 1 else CONTENT
+    label[0] = MIXED if n > 1 else CONTENT  # text beside the root's blocks is in nodes of its own
     for i in range(1, n):
         above = label[nodes[i].parent]
-        allowed = (BOILER,) if above == BOILER else (BOILER, CONTENT) if above == CONTENT else (BOILER, CONTENT, MIXED)
+        if nodes[i].tag == "#text":
+            allowed = (above,) if above != MIXED else (BOILER, CONTENT)
+        else:
+            allowed = (BOILER,) if above == BOILER else (BOILER, CONTENT) if above == CONTENT else (BOILER, CONTENT, MIXED)
         label[i] = max(allowed, key=lambda s: best[i, s])
     return label
 
