@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +59,13 @@ class GraphModel:
             d.num_relations = edges.agg(F.max("rel").alias("n")).first()["n"] + 1
         width = m.encoder[-1].output_dim if m.encoder else m.embedding_dim
         relations = None if m.decoder is DecoderType.NODE else new_relations(spark, d.num_relations, width, m.decoder)
-        tables = GraphTables(edges, spark.range(d.num_nodes), new_embeddings(spark, d.num_nodes, m.embedding_dim), relations, features=features, labels=labels)
+        if config.storage.edges.storage_level != "NONE":
+            edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+        salt = f"init{m.random_seed}" if m.random_seed else "init"
+        tables = GraphTables(edges, spark.range(d.num_nodes), new_embeddings(spark, d.num_nodes, m.embedding_dim, salt), relations, features=features, labels=labels)
         model = cls(spark, config, tables)
         if m.encoder:
-            tables.weights = new_weights(spark, model.layers())
+            tables.weights = new_weights(spark, model.layers(), f"weights{m.random_seed}" if m.random_seed else "weights")
         return model
 
     def layers(self) -> list[Layer]:
@@ -124,6 +128,25 @@ class GraphModel:
         t.node_embeddings, t.relation_embeddings, t.generator_embeddings = p.nodes, p.relations, p.generator
         self.steps, self.epoch = p.steps, self.epoch + settings.epochs
 
+    def fit(self, path: str | None = None, split: str = "validation") -> list[dict]:
+        """The configured epochs one by one: metrics of ``split`` after every ``epochs_per_eval`` of them, a checkpoint under
+        ``path`` after every ``epochs_per_checkpoint`` and at the end; returns a row of metrics for each evaluation."""
+        c, found = self.config, []
+        epochs, last = c.training.num_epochs, self.epoch + c.training.num_epochs
+        c.training.num_epochs = 1
+        try:
+            while self.epoch < last:
+                self.train()
+                if c.evaluation.epochs_per_eval > 0 and self.epoch % c.evaluation.epochs_per_eval == 0:
+                    rows = self.evaluate(split).collect()
+                    found.append({"epoch": self.epoch} | ({r["metric"]: r["value"] for r in rows} if "metric" in rows[0] else rows[0].asDict()))
+                every = c.training.epochs_per_checkpoint
+                if path and (self.epoch == last or every > 0 and self.epoch % every == 0):
+                    self.save(path)
+        finally:
+            c.training.num_epochs = epochs
+        return found
+
     def _keep(self, p: Encoded) -> None:
         t = self.tables
         t.node_embeddings, t.weights, t.relation_embeddings = p.embeddings, p.weights, p.relations
@@ -150,7 +173,7 @@ class GraphModel:
         t, n = self.tables, self.config.evaluation.negatives
         decoder, nodes = get_decoder(self.config.model.decoder.name), self.encodings()
         if not n.filtered and n.negatives_per_positive > 0:
-            return rank_sampled(t.split(split), nodes, t.relation_embeddings, decoder, n.negatives_per_positive, self.config.storage.dataset.num_nodes, both=self.config.model.inverse_edges)
+            return rank_sampled(t.split(split), nodes, t.relation_embeddings, decoder, n.negatives_per_positive, self.config.storage.dataset.num_nodes, both=self.config.model.inverse_edges, block=self.config.evaluation.batch_size)
         return rank_edges(t.split(split), nodes, t.relation_embeddings, decoder, t.all_edges() if n.filtered else None, self.config.model.inverse_edges)
 
     def evaluate(self, split: str = "test") -> DataFrame:

@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
-from graphloom.runtime import ship
+from graphloom.runtime import shuffle_partitions, ship
 
 
 @dataclass(frozen=True)
@@ -64,16 +65,79 @@ def score_pairs(pairs: DataFrame, nodes: DataFrame, relations: DataFrame, decode
     return base.withColumn("score", decoder.score(F.col("_e"), F.col("_r"), F.col("_n"))).select("edge", "node", "score")
 
 
+#: Relations of a block, and edges scored at a time.
+RELATION_BLOCK, SCORED = 1024, 512
+
+
 def score_relations(edges: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: Decoder) -> DataFrame:
-    """(edge, other_rel, score): every relation in place of an edge's own; relations are few by nature of the data."""
+    """(edge, other_rel, score): every relation in place of an edge's own.
+
+    Relations travel in blocks of ``RELATION_BLOCK`` packed rows; every edge meets each block by an equality join on the
+    block's number, of which a task holds one at a time, and is scored by matrix products.
+    """
+    spark = edges.sparkSession
+    ship(spark)
     side = lambda c: nodes.select(F.col("id").alias(c), F.col("emb").alias(f"{c}_emb"))
-    listed = relations.agg(F.collect_list(F.struct("rel", "emb")).alias("_rels"))
-    count = relations.count()
-    if count > 100_000:
-        raise ValueError("too many relations to try each on every edge")
-    embedded = edges.join(side("src"), "src").join(side("dst"), "dst").join(F.broadcast(listed))
-    each = embedded.withColumn("_x", F.explode("_rels"))
-    return each.select("edge", F.col("_x.rel").alias("other_rel"), decoder.score(F.col("src_emb"), F.col("_x.emb"), F.col("dst_emb")).alias("score"))
+    blocks = max(1, -(-relations.count() // RELATION_BLOCK))
+    packed = relations.select("rel", "emb", F.pmod(F.xxhash64("rel"), F.lit(blocks)).alias("block")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("rel", "emb"))).alias("rels"))
+    embedded = edges.select("edge", "src", "dst").join(side("src"), "src").join(side("dst"), "dst").select("edge", "src_emb", "dst_emb")
+    visits = embedded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    rows = packed.select("block", F.lit(0).alias("kind"), "rels", null("edge", "bigint"), null("src_emb", "array<double>"), null("dst_emb", "array<double>"))
+    rows = rows.unionByName(visits.select("block", F.lit(1).alias("kind"), null("rels", packed.schema["rels"].dataType), "edge", "src_emb", "dst_emb"))
+    if blocks == 1:  # one small block: every task gets it, and edges stay where they are
+        every = packed.select("rels")
+        rels = every.first()
+        names, vectors = (np.array([r["rel"] for r in rels["rels"]], np.int64), np.array([r["emb"] for r in rels["rels"]], float)) if rels else (np.zeros(0, np.int64), np.zeros((0, 1)))
+        source, fixed = embedded, (names, vectors)
+    else:
+        source, fixed = rows.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "kind"), None
+    operator, comparator, sign = decoder.operator, decoder.comparator, -1.0 if decoder.negate else 1.0
+    out = pa.schema([("edge", pa.int64()), ("other_rel", pa.int64()), ("score", pa.float64())])
+
+    def scored(edge, e, t, names, r):
+        for i in range(0, len(edge), SCORED):
+            a, b = e[i : i + SCORED], t[i : i + SCORED]
+            n, m = len(a), len(names)
+            s = _relation_scores(operator, comparator, a, b, r) * sign
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(edge[i : i + n], m)), pa.array(np.tile(names, n)), pa.array(s.ravel())], schema=out)
+
+    def run(batches):
+        names, r = fixed or (None, None)
+        rows_of = lambda c: np.stack([np.asarray(v, float) for v in c.to_pylist()]) if len(c) else np.zeros((0, 1))
+        for b in batches:
+            if fixed is not None:
+                yield from scored(b.column("edge").to_numpy(), rows_of(b.column("src_emb")), rows_of(b.column("dst_emb")), names, r)
+                continue
+            kinds = b.column("kind").to_numpy()
+            cuts = [0, *(1 + np.flatnonzero(np.diff(kinds))), *np.flatnonzero(kinds == 0), len(kinds)]
+            cuts = sorted(set(cuts))
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                part = b.slice(s, e - s)
+                if kinds[s] == 0:
+                    block = part.column("rels").to_pylist()[-1]
+                    names, r = np.array([x["rel"] for x in block], np.int64), np.array([x["emb"] for x in block], float)
+                else:
+                    yield from scored(part.column("edge").to_numpy(), rows_of(part.column("src_emb")), rows_of(part.column("dst_emb")), names, r)
+
+    return source.mapInArrow(run, "edge long, other_rel long, score double")
+
+
+def _relation_scores(operator: str, comparator: str, e: np.ndarray, t: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Scores of every edge (its ends in rows) under every relation."""
+    if comparator in ("dot", "cosine_compat") and operator == "hadamard":
+        return (e * t) @ r.T
+    if comparator == "dot" and operator == "complex_hadamard":
+        n = e.shape[1] // 2
+        a, b = e[:, :n] + 1j * e[:, n:], t[:, :n] + 1j * t[:, n:]
+        return np.real((a * np.conj(b)) @ (r[:, :n] + 1j * r[:, n:]).T)
+    if comparator == "l2" and operator == "translation":
+        d = e - t
+        return np.sqrt(np.maximum((d * d).sum(1)[:, None] + (r * r).sum(1)[None] + 2 * d @ r.T, 1e-8))
+    if comparator == "cosine" and operator == "hadamard":
+        norms = np.sqrt((e * e) @ (r * r).T) * np.sqrt((t * t).sum(1))[:, None]
+        return np.where(norms > 0, (e * t) @ r.T / np.where(norms > 0, norms, 1), 0.0)
+    raise ValueError(f"no blocks for {operator} with {comparator}")
 
 
 def rewards(score: Column) -> Column:

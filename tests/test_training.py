@@ -11,6 +11,7 @@ from graphloom.config import DecoderType, GraphConfig, LossFunction, NegativeMet
 from graphloom.engine import GraphModel
 from graphloom.operators import batches as B
 from graphloom.operators import kernels as K
+from graphloom.operators import scoring as D
 from graphloom.operators import train as T
 from graphloom.plans.rounds import pair_rounds
 
@@ -219,3 +220,30 @@ def test_odd_tables(spark):
     with pytest.raises(ValueError):
         K.Step("NODE")
     assert LossFunction.RANKING.name in K.LOSSES and DecoderType.TRANSE.name == "TRANSE"
+
+
+def test_fit_evaluates_and_saves(spark, tmp_path):
+    e, _, _ = tables(spark)
+    c = settings(2)
+    c.model.random_seed, c.training.epochs_per_checkpoint, c.evaluation.epochs_per_eval, c.training.batch_size = 5, 2, 2, 100
+    c.evaluation.negatives.filtered, c.evaluation.negatives.negatives_per_positive = False, 6
+    model = GraphModel.create(spark, c, e)
+    assert model.tables.node_embeddings.first()["emb"] != GraphModel.create(spark, settings(1), e).tables.node_embeddings.first()["emb"]
+    found = model.fit(str(tmp_path), "train")
+    assert [r["epoch"] for r in found] == [2] and 1 <= found[0]["MR"] <= 7 and c.training.num_epochs == 2
+    again = GraphModel.create(spark, c, e)
+    again.load(str(tmp_path), 2)
+    assert again.epoch == 2 and snapshot(again) == snapshot(model)
+
+
+@pytest.mark.parametrize("decoder", ["DISTMULT", "COMPLEX", "TRANSE", "COSINE"])
+def test_every_relation_is_tried(spark, monkeypatch, decoder):
+    e, n, _ = tables(spark)
+    q = spark.createDataFrame([(i, [float(v) for v in RNG.normal(size=4)]) for i in range(7)], "rel long, emb array<double>")
+    d = D.get_decoder(decoder, decoder == "TRANSE")
+    pairs = e.drop("rel", "split").join(n.select(F.col("id").alias("src"), F.col("emb").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("emb").alias("b")), "dst").join(q)
+    want = {(r["edge"], r["rel"]): r["s"] for r in pairs.select("edge", "rel", d.score(F.col("a"), F.col("emb"), F.col("b")).alias("s")).collect()}
+    for block in (1024, 2):
+        monkeypatch.setattr(D, "RELATION_BLOCK", block)
+        got = {(r["edge"], r["other_rel"]): r["score"] for r in D.score_relations(e, n, q, d).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
