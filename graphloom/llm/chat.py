@@ -6,7 +6,7 @@ control string at a text's end, and the escape character is doubled; so the form
 where the template put them, and unescaping gives the texts back.
 
 :func:`format_turns` emits one row per segment (mark or text) with a loss flag, streaming over turns sorted by
-conversation, so a conversation of any length takes bounded memory. :func:`read_back` parses segments into turns again.
+conversation, so a conversation of any length takes bounded memory. :func:`digest` parses segments into turns again, by :meth:`Template.turns`.
 
 Defined cases: null texts and roles are empty; turns are ordered by turn, role, text (null turns first), and repeated
 rows are separate turns; rows with a null conv_id form one conversation; roles the template does not know are written
