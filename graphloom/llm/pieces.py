@@ -6,6 +6,15 @@ import re
 
 _DOUBLE = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: White space other than the space and the line feed.
+_OTHERS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _doubled(text: str) -> bool:
+    """Whether a space stands beside other white space; the pattern is searched only where there is any but spaces and line feeds."""
+    if any(c in text for c in _OTHERS):
+        return _DOUBLE.search(text) is not None
+    return "  " in text or " \n" in text or "\n " in text
 
 
 def split_pieces(text: str) -> list[str]:
@@ -14,7 +23,7 @@ def split_pieces(text: str) -> list[str]:
     A cut lies before a single space between two characters that are not white space. The usual byte-level patterns
     begin a pre-token there whatever stands around it, so encoding the pieces one by one encodes the text.
     """
-    if _DOUBLE.search(text):
+    if _doubled(text):
         return _CUT.split(text)
     first, *rest = text.split(" ")
     pieces = [" " + x for x in rest]

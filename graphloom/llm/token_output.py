@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import batch, map_arrow, shuffle_partitions, texts_of
-from graphloom.llm.pieces import split_pieces
+from graphloom.llm.pieces import byte_letters, latin, split_pieces
 
 #: Ids of a block; ids after which a chunk is closed; pieces a worker learns before
 #: it forgets those it has not met again; pieces given to the tokenizer at a time, and joined into one line.
@@ -102,16 +103,37 @@ def _encoder(model: str):
         memory: dict[str, bytes] = {}
         older: dict[str, bytes] = {}
         feed = tokenizer.encode("\n", add_special_tokens=False).ids
+        letters, merges = byte_letters(), tokenizer.model
+        blank = letters[32]
+
+        def of_letters(piece: str) -> bytes:
+            """Ids of a piece of Latin letters, with or without a space before them, by the BPE model alone."""
+            s = piece[1:] if piece[0] == " " else piece
+            if not s.isascii():
+                s = "".join(map(letters.__getitem__, s.encode()))
+            return array("I", [t.id for t in merges.tokenize(blank + s if piece[0] == " " else s)]).tobytes()
+
+        probes = ("the", " The", "Zürich", " ofononwhnt", " œuvre", "ŐŁĲ", " ß", "I")
+        direct = all(of_letters(p) == np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in probes)
         joins = len(feed) == 1 and all(tokenizer.encode(x, add_special_tokens=False).ids.count(feed[0]) == 1 for x in ("a\n b", "a\nb", ".\n ."))
 
         def learn(new: list[str]) -> None:
-            # Letters and the marks behind them are different pre-tokens, so both are remembered on their own; a line
-            # feed between two plain pieces is a token of its own, so plain pieces are encoded many at a time.
+            # Letters and the marks behind them are different pre-tokens, so both are remembered on their own. Letters go to
+            # the BPE model itself where probes show that this gives the same ids. A line feed between two plain pieces is
+            # a token of its own, so the other plain pieces are encoded many at a time.
             parts = {}
             for p in new:
                 stem = p.rstrip(_MARKS)
                 parts[p] = (stem, p[len(stem) :]) if len(stem) < len(p) and (stem[1:] if stem[:1] == " " else stem).isalpha() else (p, "")
             wanted = {x for pair in parts.values() for x in pair if x and x not in memory}
+            if direct:
+                rest = set()
+                for p in wanted:
+                    if latin(p[1:] if p[0] == " " else p):
+                        memory[p] = of_letters(p)
+                    else:
+                        rest.add(p)
+                wanted = rest
             plain = []
             for p in wanted if joins else ():
                 words = p.split()
