@@ -425,7 +425,8 @@ def sum_gradients(rows: DataFrame, kind: int, reduction: str = "SUM") -> DataFra
 
 
 def add_vectors(rows: DataFrame) -> DataFrame:
-    """(id, g): sums of vectors of one length by id; ids are sorted inside partitions and added block by block."""
+    """(id, g): sums of vectors of one length by id; rows are sorted inside partitions, by vector where ids are equal, so that
+    reruns add in the same order, and added block by block."""
     ship(rows.sparkSession)
 
     def run(batches):
@@ -446,5 +447,5 @@ def add_vectors(rows: DataFrame) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array([last]), vectors(total[None])], names=["id", "g"])
 
-    ordered = rows.repartition(shuffle_partitions(rows.sparkSession), "id").sortWithinPartitions("id")
+    ordered = rows.repartition(shuffle_partitions(rows.sparkSession), "id").sortWithinPartitions("id", "g")
     return ordered.mapInArrow(run, "id long, g array<double>")

@@ -118,7 +118,7 @@ def test_chunk_gradients_match_pair_gradients(spark):
 
 def settings(epochs, optimizer=Optimizer.ADAGRAD, method=NegativeMethod.RNS):
     c = GraphConfig()
-    c.model.embedding_dim, c.training.num_epochs, c.training.batch_size = 4, epochs, 25
+    c.model.embedding_dim, c.training.num_epochs, c.training.batch_size = 4, epochs, 100
     c.training.negatives.negatives_per_positive, c.training.negatives.num_chunks, c.training.negatives.method, c.training.negatives.ratio = 5, 2, method, 0.5
     for o in (c.model.sparse_optimizer, c.model.dense_optimizer):
         o.type, o.learning_rate = optimizer, 0.05
