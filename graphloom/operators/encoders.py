@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.hashing import uniform
+from graphloom.operators import grid as R
 from graphloom.operators import kernels as K
 from graphloom.operators.batches import assign_batches
 from graphloom.operators.graph import hops
@@ -79,9 +80,12 @@ def aggregation(layer: Layer, sampled: DataFrame, targets: DataFrame) -> DataFra
 def product(rows: DataFrame, vectors: DataFrame, to: str = "node", source: str = "nbr") -> DataFrame:
     """(id, g): the sparse matrix (node, nbr, w) times vectors (id, g), or its transpose with ``to`` and ``source`` exchanged.
 
-    Weighted vectors are added up by node inside each Arrow batch before they are shuffled, which also spreads hubs.
+    Weighted vectors are added up by node inside each Arrow batch before they are shuffled, which also spreads hubs. Of
+    many rows, vectors meet them in a grid of blocks, so that none travels with each row. ``rows`` is a written table.
     """
     ship(rows.sparkSession)
+    if rows.count() > R.MANY:
+        return K.add_vectors(R.product(rows, vectors, to, source))
 
     def run(batches):
         for b in batches:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
 from graphloom.hashing import h48
+from graphloom.operators import grid as R
 from graphloom.operators import kernels as K
 from graphloom.operators.batches import assign_batches, global_collisions, negatives, with_chunks
 from graphloom.operators.scoring import get_decoder
@@ -254,13 +255,20 @@ class Parameters:
 
 
 def step_gradients(batches: DataFrame, edges: DataFrame, p: Parameters, config: TrainConfig, total: int, salt: str) -> DataFrame:
-    """Gradient rows of the kernels with ``side`` (0: targets replaced, 1: sources), over all batches given."""
+    """Gradient rows of the kernels with ``side`` (0: targets replaced, 1: sources), over all batches given. Summed losses of
+    many edges go over the grid, where a chunk may be of any size."""
     out = None
+    wide = config.reduction == "SUM" and not config.filtered and config.negatives >= 0 and config.batch_size * config.batches_per_step > R.MANY and batches.count() > R.MANY
     for side, (corrupt, vector) in enumerate(SIDES if config.inverse else SIDES[:1]):
         drawn = negatives(batches, total, config.negatives, config.degree_fraction, corrupt, config.filtered, salt if corrupt == "dst" else f"{salt}-{corrupt}")
-        left_out = global_collisions(batches, edges, corrupt) if config.filtered else None
-        rows = K.chunk_rows(batches, drawn, p.nodes, p.relations, corrupt, vector, left_out, p.generator if config.method in ("GAN", "KBGAN") else None)
-        part = K.chunk_gradients(rows, config.step()).withColumn("side", F.lit(side))
+        generator = p.generator if config.method in ("GAN", "KBGAN") else None
+        if wide and generator is None:
+            own = batches if corrupt == "dst" else batches.withColumnsRenamed({"src": "dst", "dst": "src"})
+            part = R.grid_gradients(own, drawn, p.nodes, p.relations, config.step(), vector)
+        else:
+            left_out = global_collisions(batches, edges, corrupt) if config.filtered else None
+            part = K.chunk_gradients(K.chunk_rows(batches, drawn, p.nodes, p.relations, corrupt, vector, left_out, generator), config.step())
+        part = part.withColumn("side", F.lit(side))
         out = part if out is None else out.unionByName(part)
     return out
 
