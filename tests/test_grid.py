@@ -1,5 +1,7 @@
 """The grid against the chunk kernels, with blocks of a few nodes."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,23 @@ def test_products(spark, blocks, monkeypatch, to):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     parts = grid.product(rows, vectors, to, source)
     assert parts.count() == parts.select("id", F.spark_partition_id()).distinct().count() or grid.BLOCK_BYTES == 400  # no row for each pair
+
+
+def test_pairs_travel_packed(tables):
+    """Rows of a stretch's pairs, not rows of pairs: what made two shuffles of all edges wide."""
+    batches, drawn, nodes, rels = tables
+    rows = grid._meeting(batches, drawn, grid.Nodes(nodes), rels.withColumnRenamed("emb", "vec"), "DISTMULT")
+    packed = rows.where(F.col("kind") == grid.PAIR).select("pairs").collect()
+    pairs = [len(grid._unpacked([bytes(r["pairs"])])) for r in packed]
+    assert sum(pairs) == 120 and len(pairs) < 120  # three edges have an unknown end or relation
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    count = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = count()
+    materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "grouped")
+    for _ in range(50):
+        if count() <= before:
+            return
+        time.sleep(0.2)
+    raise AssertionError("shuffle files stay")
