@@ -81,7 +81,7 @@ def _time(share: Column, kind: Column) -> Column:
 
 
 def plan_mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, size, source, source_size, target, draws) of every row; draws: array of (pass, words, position)."""
+    """(doc_id, text_key, size, source, source_size, target, copy, draws) of every row; copy: its number among rows equal in id and text; draws: array of (pass, words, position)."""
     spark = docs.sparkSession
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_key")
@@ -108,23 +108,34 @@ def plan_mix(docs: DataFrame) -> DataFrame:
         return F.struct(n.alias("pass"), words.alias("words"), _time(middle, F.col("kind")).alias("position"))
 
     draws = F.filter(F.array(*[draw(F.lit(n).cast("long")) for n in range(EPOCHS)]), lambda d: d["words"] > 0)
-    return rows.select("doc_id", "text_key", "size", "source", "source_size", "target", draws.alias("draws"))
+    copy = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(before))
+    return rows.select("doc_id", "text_key", "size", "source", "source_size", "target", copy.alias("copy"), draws.alias("draws"))
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
+def place(doc_id: Column, text_key: Column) -> Column:
+    """One key for a row's id, null or not, and its text, so that a join and a window share one shuffle of the texts."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("n")), text_key.cast("string"))
+
+
+def mix_documents(docs: DataFrame, plan: DataFrame | None = None, draw: str | None = None) -> DataFrame:
     """The mix itself: a row, with all columns of ``docs``, for each draw, range-sorted by training time.
 
-    A draw that takes only part of a document carries that many of its words, from the front and as they stand.
+    A draw that takes only part of a document carries that many of its words, from the front and as they stand. ``plan``:
+    that of :func:`plan_mix`, if it is written already; ``draw``: the name of one more column, (place, copy, position), which
+    says whose draw a row is and its time.
     """
-    plan = plan_mix(docs).where(F.size("draws") > 0)
-    plan = plan.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.max("size").alias("size"), F.flatten(F.collect_list("draws")).alias("draws"))
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
-    once = Window.partitionBy("own_id", "own_key").orderBy(F.xxhash64(F.to_json("row")))
-    rows = own.join(plan, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
-    rows = rows.withColumn("n", F.row_number().over(once)).where("n = 1").select("row", "own_id", "size", F.explode("draws").alias("draw"))
+    plan = (plan_mix(docs) if plan is None else plan).where(F.size("draws") > 0)
+    draws = F.transform("draws", lambda d: F.struct(F.col("copy"), d["words"].alias("words"), d["position"].alias("position")))
+    plan = plan.groupBy(place(F.col("doc_id"), F.col("text_key")).alias("place")).agg(F.max("size").alias("size"), F.flatten(F.collect_list(draws)).alias("draws"))
+    own_id = F.col("doc_id").cast("long")
+    own = docs.select(F.struct("*").alias("row"), own_id.alias("own_id"), place(own_id, F.xxhash64(F.col("text").cast("string"))).alias("place"))
+    # Rows of one place are equal in text, which so need not be hashed.
+    once = Window.partitionBy("place").orderBy(F.xxhash64(F.to_json(F.col("row").dropFields("text"))))
+    rows = own.join(plan, "place")
+    rows = rows.withColumn("n", F.row_number().over(once)).where("n = 1").select("row", "own_id", "place", "size", F.explode("draws").alias("draw"))
     text = F.col("row.text").cast("string")
     words = F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.col("draw.words").cast("int")), "")
-    rows = rows.select(F.col("row").withField("text", F.when(F.col("draw.words") < F.col("size"), cut).otherwise(text)).alias("row"), F.col("draw.position").alias("position"), "own_id")
+    rows = rows.select(F.col("row").withField("text", F.when(F.col("draw.words") < F.col("size"), cut).otherwise(text)).alias("row"), F.struct("place", "draw.copy", "draw.position").alias("draw"), F.col("draw.position").alias("position"), "own_id")
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "position").sortWithinPartitions("position", "own_id")
-    return rows.select("row.*")
+    return rows.select("row.*", *([F.col("draw").alias(draw)] if draw else []))
