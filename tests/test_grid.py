@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import runtime
 from graphloom.functions import losses
 from graphloom.operators import batches as B
 from graphloom.operators import encoders, evaluate, grid, scoring
@@ -105,3 +106,30 @@ def test_written_tables_leave_no_shuffle_files(spark):
             return
         time.sleep(0.2)
     raise AssertionError("shuffle files stay")
+
+
+def test_ends_meet_in_passes(tables, monkeypatch):
+    """Streamed vectors are shuffled in passes, each once to a held block, and the tables of the batches go when they are read."""
+    monkeypatch.setattr(grid, "BLOCK_BYTES", 400)
+    batches, drawn, nodes, rels = tables
+    edges = batches.select("edge", "src", "rel", "dst").dropna()
+    steps = grid._at_ends(edges, grid.Nodes(nodes), rels.select("rel", F.col("emb").alias("vec")), "src", "dst")
+    own = materialize(batches, "own")
+    seen = [{(r["stretch"], r["id"]) for r in x.where("kind = 1 and stretch >= 0").collect()} | {(r["stretch"], -1) for r in x.where("kind = 3").collect()} for x in steps]
+    assert len(steps) == 5 and all(not a & b for i, a in enumerate(seen) for b in seen[:i]) and len(set().union(*seen)) >= NODES
+    rows = grid.grid_gradients(own, materialize(drawn, "drawn"), nodes, rels, K.Step(), spend=True)
+    assert rows.where(F.col("kind") == K.NODE).groupBy("id").count().where(f"count > {len(steps)}").isEmpty()
+    with pytest.raises(Exception, match="NOT_EXIST|does not exist|FILE_NOT_FOUND"):
+        own.sparkSession.read.parquet(own._scratch).count()
+    want = {r["id"]: r["g"] for r in K.sum_gradients(materialize(grid.grid_gradients(batches, drawn, nodes, rels, K.Step()), "again"), K.NODE).collect()}
+    got = {r["id"]: r["g"] for r in grid.summed(rows, K.NODE).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_numbering_shuffles_the_edges_alone(tables):
+    """Keys that order the rows are made on both sides of the shuffle: the numbers are those of rows that carry them."""
+    edges = tables[0].select("edge", "src")
+    key = F.col("edge") * 31 % 17
+    carried = edges.withColumn("_a", key).orderBy("_a", "edge").collect()
+    got = runtime.number_rows(edges, [], "n", keys={"_a": key, "_b": F.col("edge")})
+    assert got.columns == ["edge", "src", "n"] and [r["edge"] for r in got.orderBy("n").collect()] == [r["edge"] for r in carried]
