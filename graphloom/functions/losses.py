@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import materialize
+
 REDUCTIONS = ("SUM", "MEAN")
 
 
@@ -65,7 +67,10 @@ def log_sum(scores: Column, *more: Column) -> Column:
 
 
 def packed_loss(name: str, margin: float = 0.1):
-    """A loss by name over rows (score, scores): an edge's own score and its negatives'. No edge's pairs are brought together again."""
+    """A loss by name over rows (score, scores): an edge's own score and its negatives'. No edge's pairs are brought together again.
+
+    Rows that come as a list are summed one after another, and the sums written.
+    """
     name, s = name.upper(), F.col("score")
     if name not in LOSSES:
         raise ValueError(f"unknown loss {name}")
@@ -77,9 +82,10 @@ def packed_loss(name: str, margin: float = 0.1):
     else:
         value, terms = log_sum(F.col("scores"), s) - s, F.lit(1)
 
-    def loss(packed: DataFrame, reduction: str = "SUM") -> DataFrame:
+    def loss(packed: DataFrame | list[DataFrame], reduction: str = "SUM") -> DataFrame:
         reduced(s, reduction)  # an unknown reduction raises
-        found = packed.agg(F.sum(value).alias("loss"), F.sum(terms).alias("n"))
+        parts = [p.agg(F.sum(value).alias("loss"), F.sum(terms).alias("n")) for p in (packed if isinstance(packed, list) else [packed])]
+        found = parts[0] if len(parts) == 1 else materialize(parts[0], "losses", *parts[1:]).agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
         empty = F.lit(None) if name == "RANKING" or reduction.upper() == "MEAN" else F.col("loss")
         whole = F.col("loss") if reduction.upper() == "SUM" else F.col("loss") / F.col("n")
         return found.select(F.when(F.col("n") == 0, empty).otherwise(whole).alias("loss"))

@@ -7,8 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.hashing import h48
-from graphloom.runtime import number_rows, sized_broadcast
+from graphloom.hashing import SPAN, h48
+from graphloom.runtime import SMALL_BYTES, materialize, number_rows, release, sized_broadcast
+
+#: Parts in which edges are made distinct and numbered, at most: one for each ``SMALL_BYTES`` of them up to that.
+PARTS = 4
 
 
 def assign_batches(edges: DataFrame, key: Column, size: int, salt: str = "batch") -> DataFrame:
@@ -19,6 +22,38 @@ def assign_batches(edges: DataFrame, key: Column, size: int, salt: str = "batch"
     return out
 
 
+def written_batches(edges: DataFrame, rows: int, spread: Column, key: Column, size: int, chunks: int, salt: str = "batch") -> DataFrame:
+    """The edges with batch_id and chunk_id as :func:`assign_batches` and :func:`with_chunks` give them, as a written table.
+
+    ``edges``, from some ``rows`` rows, are written in parts of ``spread``, a long that may be computed before they are made distinct, and
+    numbered in ranges of their hash, whose edges are deleted in turn: no shuffle, and no table beside the result, has all of them.
+    """
+    parts = max(1, min(PARTS, -(-rows * 16 // SMALL_BYTES)))
+    ranged = edges.withColumn("_range", F.floor(h48(key, salt) * F.lit(parts) / F.lit(SPAN)).cast("int"))
+    kept = materialize(*_split(ranged, spread, parts, "edges"), by="_range", codec="zstd")
+    sizes = {r["_range"]: r["count"] for r in kept.groupBy("_range").count().collect()}
+    total, start, out = sum(sizes.values()), 0, None
+    for p in sorted(sizes, key=lambda x: (x is not None, x)) or [0]:
+        numbered = number_rows(kept.where(F.col("_range").eqNullSafe(F.lit(p).cast("int"))).drop("_range"), [], "_row", start, keys={"_h": h48(key, salt), "_k": key})
+        rows_of = numbered.withColumn("batch_id", F.floor(F.col("_row") / F.lit(size)))
+        width = F.ceil(F.least(F.lit(size), F.lit(total) - F.col("batch_id") * F.lit(size)) / F.lit(chunks))
+        rows_of = rows_of.withColumn("chunk_id", F.floor(F.col("_row") % F.lit(size) / width).cast("long")).drop("_row")
+        if p is not None:
+            release(kept, f"_range={p}")
+        out = materialize(rows_of, "batches", onto=out, codec="zstd")
+        release(numbered)
+        start += sizes.get(p, 0)
+    release(kept)
+    return out
+
+
+def _split(rows: DataFrame, spread: Column, parts: int, name: str) -> tuple:
+    """Arguments of :func:`materialize`: the rows in so many parts, nulls in the first."""
+    part = F.pmod(F.coalesce(spread, F.lit(0).cast("long")), F.lit(parts))
+    split = [rows.where(part == F.lit(p)) for p in range(parts)] if parts > 1 else [rows]
+    return split[0], name, *split[1:]
+
+
 def batch_nodes(batches: DataFrame) -> DataFrame:
     """(batch_id, id, local): the distinct nodes of each batch and their places in id order."""
     ends = batches.select("batch_id", F.col("src").alias("id")).union(batches.select("batch_id", "dst")).distinct()

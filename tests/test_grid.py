@@ -133,3 +133,28 @@ def test_numbering_shuffles_the_edges_alone(tables):
     carried = edges.withColumn("_a", key).orderBy("_a", "edge").collect()
     got = runtime.number_rows(edges, [], "n", keys={"_a": key, "_b": F.col("edge")})
     assert got.columns == ["edge", "src", "n"] and [r["edge"] for r in got.orderBy("n").collect()] == [r["edge"] for r in carried]
+
+
+def test_batches_are_numbered_in_ranges(spark, monkeypatch):
+    """No shuffle, and no table but the result, has all edges at once; the numbers are those of one range."""
+    edges = spark.range(300).select((F.col("id") * 7 % 41).alias("src"), (F.col("id") % 3).alias("rel"), F.col("id").alias("dst"))
+    edges = edges.unionByName(edges.where("dst = 0").withColumn("src", F.lit(None).cast("long")))
+    key = F.col("src") * 1000 + F.col("dst")
+    want = {tuple(r) for r in B.with_chunks(B.assign_batches(edges, key, 40), 3).select("src", "rel", "dst", "batch_id", "chunk_id").collect()}
+    written = []
+    monkeypatch.setattr(B, "materialize", lambda df, *a, **b: written.append(df.count()) or materialize(df, *a, **b))
+    for rows, parts in ((301, 1), (1 << 40, B.PARTS)):
+        written.clear()
+        got = B.written_batches(edges, rows, F.xxhash64("dst"), key, 40, 3)
+        assert {tuple(r) for r in got.select("src", "rel", "dst", "batch_id", "chunk_id").collect()} == want and got.count() == len(want)
+        assert len(written) >= 1 + parts and (parts == 1 or max(written) < 200)
+
+
+def test_losses_in_passes(tables, monkeypatch):
+    """The pairs of one pass over the chunks are shuffled at a time."""
+    monkeypatch.setattr(grid, "PAIR_BYTES", grid.BLOCK_BYTES // 40)
+    whole, parts = grid.packed_scores(*tables).cache(), grid.packed_parts(*tables)
+    counts = [p.count() for p in parts]
+    assert sum(counts) == whole.count() and max(counts) < sum(counts)
+    for name, reduction in (("MSE", "SUM"), ("RANKING", "MEAN")):
+        assert losses.packed_loss(name)(parts, reduction).first()["loss"] == pytest.approx(losses.packed_loss(name)(whole, reduction).first()["loss"], abs=1e-9)
