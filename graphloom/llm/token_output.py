@@ -104,14 +104,12 @@ def _encoder(model: str):
         older: dict[str, bytes] = {}
         feed = tokenizer.encode("\n", add_special_tokens=False).ids
         letters, merges = byte_letters(), tokenizer.model
-        blank = letters[32]
+        blank, tokenize = letters[32], merges.tokenize
 
         def of_letters(piece: str) -> bytes:
             """Ids of a piece of Latin letters, with or without a space before them, by the BPE model alone."""
-            s = piece[1:] if piece[0] == " " else piece
-            if not s.isascii():
-                s = "".join(map(letters.__getitem__, s.encode()))
-            return array("I", [t.id for t in merges.tokenize(blank + s if piece[0] == " " else s)]).tobytes()
+            s = "".join(map(letters.__getitem__, piece.encode())) if not piece.isascii() else blank + piece[1:] if piece[0] == " " else piece
+            return array("I", [t.id for t in tokenize(s)]).tobytes()
 
         probes = ("the", " The", "Zürich", " ofononwhnt", " œuvre", "ŐŁĲ", " ß", "I")
         direct = all(of_letters(p) == np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in probes)
@@ -121,19 +119,28 @@ def _encoder(model: str):
             # Letters and the marks behind them are different pre-tokens, so both are remembered on their own. Letters go to
             # the BPE model itself where probes show that this gives the same ids. A line feed between two plain pieces is
             # a token of its own, so the other plain pieces are encoded many at a time.
-            parts = {}
+            parts, wanted = [], set()
             for p in new:
+                if not p:
+                    wanted.add(p)
+                    continue
+                word = p[1:] if p[0] == " " else p
+                if direct and latin(word):
+                    memory[p] = of_letters(p)
+                    continue
                 stem = p.rstrip(_MARKS)
-                parts[p] = (stem, p[len(stem) :]) if len(stem) < len(p) and (stem[1:] if stem[:1] == " " else stem).isalpha() else (p, "")
-            wanted = {x for pair in parts.values() for x in pair if x and x not in memory}
-            if direct:
-                rest = set()
-                for p in wanted:
-                    if latin(p[1:] if p[0] == " " else p):
-                        memory[p] = of_letters(p)
+                if len(stem) == len(p) or not (stem[1:] if stem[:1] == " " else stem).isalpha():
+                    wanted.add(p)
+                    continue
+                marks = p[len(stem) :]
+                parts.append((p, stem, marks))
+                if marks not in memory:
+                    wanted.add(marks)
+                if stem not in memory and stem not in wanted:
+                    if direct and latin(stem[1:] if stem[0] == " " else stem):
+                        memory[stem] = of_letters(stem)
                     else:
-                        rest.add(p)
-                wanted = rest
+                        wanted.add(stem)
             plain = []
             for p in wanted if joins else ():
                 words = p.split()
@@ -155,9 +162,8 @@ def _encoder(model: str):
             for i in range(0, len(rest), STEP):
                 for p, e in zip(rest[i : i + STEP], tokenizer.encode_batch_fast(rest[i : i + STEP], add_special_tokens=False), strict=True):
                     memory[p] = np.array(e.ids, "<u4").tobytes()
-            for p, (stem, marks) in parts.items():
-                if marks:
-                    memory[p] = memory[stem] + memory[marks]
+            for p, stem, marks in parts:
+                memory[p] = memory[stem] + memory[marks]
 
         def encode(texts: list[str]) -> list[np.ndarray]:
             """The ids of each text; one that holds an added token's string is encoded as a whole, as the library does."""
