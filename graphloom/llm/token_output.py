@@ -179,18 +179,13 @@ def _encoder(model: str):
             cut = [split_pieces(t) for t in texts]
             if len(memory) > MEMORY:
                 memory, older = {}, memory
-            found = [list(map(memory.get, pieces)) for pieces in cut]
-            gaps = [[i for i, x in enumerate(got) if x is None] if None in got else () for got in found]
-            new = {pieces[i] for pieces, gap in zip(cut, gaps, strict=True) for i in gap}
+            new = set().union(*cut).difference(memory)
             known = [p for p in new if p in older]
             memory.update(zip(known, map(older.__getitem__, known), strict=True))
             new.difference_update(known)
             if new:
                 learn(list(new))
-            for pieces, got, gap in zip(cut, found, gaps, strict=True):
-                for i in gap:
-                    got[i] = memory[pieces[i]]
-            return [np.frombuffer(b"".join(got), "<u4") for got in found]
+            return [np.frombuffer(b"".join(map(memory.__getitem__, pieces)), "<u4") for pieces in cut]
 
         _encoders[key] = encode, max(1, (tokenizer.get_vocab_size() - 1).bit_length())
     return _encoders[key]
