@@ -20,7 +20,7 @@ from graphloom.operators import kernels as K
 from graphloom.operators.batches import assign_batches, global_collisions, negatives, with_chunks
 from graphloom.operators.scoring import get_decoder
 from graphloom.operators.sums import reduce_vectors, vector_width
-from graphloom.runtime import materialize, release, shuffle_partitions, sized_broadcast
+from graphloom.runtime import materialize, release, shuffle_partitions, ship, sized_broadcast
 
 
 def sgd(p: Column, g: Column, lr: float) -> Column:
@@ -334,6 +334,8 @@ def progress_report(spark, config: TrainConfig) -> DataFrame:
 # Rounds over partitions.
 _ROUND = "state long, kind long, id long, rel long, other long, place long, emb array<double>, slot array<double>, inv array<double>, inv_slot array<double>"
 _TRAINED = "state long, kind long, id long, emb array<double>, slot array<double>, inv array<double>, inv_slot array<double>, loss double, pairs long"
+#: Edges of a round's batch whose vectors and gradients a task holds at a time.
+TILE = 1 << 13
 
 
 def _adagrad_rows(x: np.ndarray, s: np.ndarray, g: np.ndarray, optim: Optim) -> None:
@@ -358,9 +360,11 @@ def train_round(edges: DataFrame, p: Parameters, states: list[list[int]], taken:
 
     States share no partition, so no two tasks change a node. Edges of the state's buckets that no earlier round took come
     in hash order and stream through; negatives are drawn among the state's nodes. A relation's change is the mean of those
-    of the states that changed it. A task holds the vectors of one state's partitions and one batch of edges.
+    of the states that changed it. A task holds the vectors of one state's partitions, the places of one batch of edges in them, and
+    the gradients of ``TILE`` edges.
     """
     spark = edges.sparkSession
+    ship(spark)
     sparse, dense = config.optims()
     if {sparse.type, dense.type} - {"ADAGRAD", "SGD"} or sparse.weight_decay or dense.weight_decay or config.method not in ("RNS", "DNS") or config.reduction != "SUM" or config.degree_fraction or config.filtered:
         raise ValueError("rounds over partitions know SGD and plain Adagrad, RNS and DNS, uniform negatives and summed losses")
@@ -373,7 +377,8 @@ def train_round(edges: DataFrame, p: Parameters, states: list[list[int]], taken:
     own = edges.withColumn("_a", part("src")).withColumn("_b", part("dst")).join(F.broadcast(spark.createDataFrame(buckets or [(-1, -1, -1)], "_a int, _b int, state long")), ["_a", "_b"])
     owners = F.broadcast(spark.createDataFrame(parts, "_a int, state long"))
     kinds = dict(f.split() for f in _ROUND.split(", "))
-    null = lambda *names: [F.lit(None).cast(kinds[n]).alias(n) for n in names]
+    # Rows without a vector carry an empty one: Arrow's writers take time with the square of a stretch of null lists.
+    null = lambda *names: [(F.lit(None) if kinds[n] == "long" else F.array()).cast(kinds[n]).alias(n) for n in names]
     slot = lambda t, c, e: F.col(c) if c in t.columns else F.transform(e, lambda x: F.lit(0.0))
     n, r = p.nodes, p.relations
     renamed = n.withColumnRenamed("state", "slot") if "state" in n.columns else n.withColumn("slot", F.transform("emb", lambda x: F.lit(0.0)))
@@ -386,23 +391,26 @@ def train_round(edges: DataFrame, p: Parameters, states: list[list[int]], taken:
     step, inverse, size, chunks, count = config.step(), config.inverse, config.batch_size, config.chunks, config.negatives
 
     def run(batches):
-        state, tables, held, done, loss, pairs = None, {}, [], 0, 0.0, 0
+        state, tables, held, many, done, loss, pairs = None, {}, [], 0, 0, 0.0, 0
 
-        def take(edge_block: np.ndarray) -> None:
+        def take(places: np.ndarray) -> None:
             nonlocal done, loss, pairs
             ids, x, sx = tables["ids"], tables["x"], tables["sx"]
-            kept, rel, other = np.searchsorted(ids, edge_block[:, 0]), np.searchsorted(tables["rels"], edge_block[:, 1]), np.searchsorted(ids, edge_block[:, 2])
-            width = -(-len(edge_block) // chunks)
+            kept, rel, other = places.T
+            width = -(-len(places) // chunks)
             gx, gr = np.zeros_like(x), [np.zeros_like(q) for q in tables["r"]]
-            for c in range(0, len(edge_block), width):
-                s = slice(c, c + width)
+            for c in range(0, len(places), width):
                 for side in range(2 if inverse else 1):
-                    a, b = (kept[s], other[s]) if side == 0 else (other[s], kept[s])
                     neg = np.unique(draws(state, done, c // width, count, len(ids), salt if side == 0 else f"{salt}-src"))
-                    found = K.run_step(step, x, tables["r"][side], a, rel[s], b, neg, K.valid_pairs(a, b, neg))
-                    gx += found.nodes
-                    gr[side] += found.relations
-                    loss, pairs = loss + found.loss, pairs + found.pairs
+                    for i in range(c, min(c + width, len(places)), TILE):
+                        s = slice(i, min(i + TILE, c + width))
+                        a, b = (kept[s], other[s]) if side == 0 else (other[s], kept[s])
+                        used, at = np.unique(np.concatenate([a, b, neg]), return_inverse=True)
+                        a, b, n = np.split(at, [len(a), 2 * len(a)])
+                        found = K.run_step(step, x[used], tables["r"][side], a, rel[s], b, n, K.valid_pairs(a, b, n))
+                        gx[used] += found.nodes
+                        gr[side] += found.relations
+                        loss, pairs = loss + found.loss, pairs + found.pairs
             _adagrad_rows(x, sx, gx, sparse)
             for side in range(2 if inverse else 1):
                 _adagrad_rows(tables["r"][side], tables["sr"][side], gr[side], dense)
@@ -434,17 +442,19 @@ def train_round(edges: DataFrame, p: Parameters, states: list[list[int]], taken:
             if s != state:
                 if state is not None:
                     yield from close()
-                state, held, done, loss, pairs, found = s, [], 0, 0.0, 0, {K.NODE: [], K.RELATION: []}
+                state, held, many, done, loss, pairs, found = s, [], 0, 0, 0.0, 0, {K.NODE: [], K.RELATION: []}
                 tables.clear()
             if kind != K.EDGE:
                 found[kind].append(t)
                 continue
             if not tables:
                 load()
-            held.append(np.stack([t.column(c).to_numpy() for c in ("id", "rel", "other")], 1))
-            while sum(map(len, held)) >= size:
+            places = [np.searchsorted(tables[by], t.column(c).to_numpy()) for c, by in (("id", "ids"), ("rel", "rels"), ("other", "ids"))]
+            held.append(np.stack(places, 1).astype(np.int32))
+            many += len(t)
+            while many >= size:
                 block = np.concatenate(held)
-                held = [block[size:]] if len(block) > size else []
+                held, many = [block[size:]] if many > size else [], many - size
                 take(block[:size])
         if state is not None:
             yield from close()

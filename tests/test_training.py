@@ -192,6 +192,18 @@ def test_a_round_follows_its_batches_in_order(spark):
     assert np.allclose(r[0], [v["emb"] for v in got]) and np.allclose(r[1], [v["inv_emb"] for v in got])
 
 
+def test_a_round_takes_a_batch_in_tiles(spark, monkeypatch):
+    """A batch of which a task holds the vectors of a few edges at a time makes the same step."""
+    e, n, q = tables(spark)
+    found = []
+    for tile in (1 << 13, 5):
+        monkeypatch.setattr(T, "TILE", tile)
+        config = T.TrainConfig(1, 1 << 40, 2, 5, 0.1, 0.1, method="DNS", ratio=0.5)
+        nodes, rels = T.train_rounds(e, n, q, [[[0, 1]]], 6, config)
+        found.append([np.array([v[c] for v in t.orderBy(k).collect()]) for t, k, c in ((nodes, "id", "emb"), (nodes, "id", "state"), (rels, "rel", "emb"), (rels, "rel", "inv_emb"))] + [[r["loss"] for r in config.progress], [r["pairs"] for r in config.progress]])
+    assert all(np.allclose(a, b) for a, b in zip(*found, strict=True))
+
+
 def test_model_trains_several_partitions(spark):
     e, _, _ = tables(spark, 60)
     c = settings(1)
